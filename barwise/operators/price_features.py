@@ -296,7 +296,8 @@ def with_benchmarks(bars: DataFrame, mapping: DataFrame, correlation_benchmark:
     return (bars.join(mapping, "symbol", "left").join(closes, ["ts", "benchmark"], "left").join(corr, "ts", "left"))
 
 
-def factor_reversion_features(bars: DataFrame, correlation_benchmark: str, s: Rolling = Rolling()) -> DataFrame:
+def factor_reversion_features(bars: DataFrame, correlation_benchmark: str, s: Rolling = Rolling(),
+                              beta_window: int = 60, norm_window: int = 252) -> DataFrame:
     """Five reversion features per symbol; needs ``with_benchmarks`` columns.
 
     Terms of a symbol against itself are undefined and set to null.
@@ -304,24 +305,26 @@ def factor_reversion_features(bars: DataFrame, correlation_benchmark: str, s: Ro
     x = bars.withColumns({"ret": s.pct_change("close"), "_b": s.pct_change("bench_close"),
                           "_m": s.pct_change("corr_close")})
     x = x.withColumns({
-        "_beta": safe_div(s.cov("ret", "_b", 60), _paired_var(s, "_b", "ret", 60)),
-        "_corr": s.corr("ret", "_m", 60),
+        "_beta": safe_div(s.cov("ret", "_b", beta_window), _paired_var(s, "_b", "ret", beta_window)),
+        "_corr": s.corr("ret", "_m", beta_window),
         "_rv20": s.sd("ret", 20) * ANNUAL, "_rv252": s.sd("ret", 252) * ANNUAL,
         "momentum_deviation": s.pct_change("close", 20) - s.quantile("ret", 0.5, 252),
         "_dd": safe_div(F.col("close") - s.high("close", 252), s.high("close", 252))})
     frame = s.rows(252)
     full = F.count("_rv20").over(frame) == 252
     x = x.withColumns({
-        "beta_z": F.when(F.col("symbol") != F.col("benchmark"), s.zscore("_beta", 252)),
-        "correlation_extreme": F.when(F.col("symbol") != correlation_benchmark, s.zscore("_corr", 252)),
+        "beta_z": F.when(F.col("symbol") != F.col("benchmark"), s.zscore("_beta", norm_window)),
+        "correlation_extreme": F.when(F.col("symbol") != correlation_benchmark, s.zscore("_corr", norm_window)),
         "drawdown_recovery": safe_div("_dd", "_rv252"),
         "_hist": F.when(full, F.collect_list("_rv20").over(frame))})
     below = F.size(F.filter("_hist", lambda v: v < F.col("_rv20")))
     equal = F.size(F.filter("_hist", lambda v: v == F.col("_rv20")))
     pct = (below + (equal + 1) / 2.0) / 252.0
     pct = F.when(F.col("_hist").isNotNull(), F.when(pct == 1.0, 0.999).when(pct == 0.0, 0.001).otherwise(pct))
-    return x.withColumn("volatility_percentile", norm_ppf(pct)).drop(
-        "_b", "_m", "_beta", "_corr", "_rv20", "_rv252", "_dd", "_hist")
+    # Its own stage: the quantile reads the share many times, the list must be scanned once.
+    x = x.withColumn("_pct", pct)
+    return x.withColumn("volatility_percentile", norm_ppf(F.col("_pct"))).drop(
+        "_pct", "_b", "_m", "_beta", "_corr", "_rv20", "_rv252", "_dd", "_hist")
 
 
 def _paired_var(s: Rolling, x: str, other: str, n: int) -> Column:

@@ -76,7 +76,7 @@ ev AS (SELECT * FROM ev0 UNION ALL
 def sql(body: str, *views: str, ctes: str = "") -> str:
     """Prefix a SELECT with the view definitions it reads."""
     parts = [CTES[v] for v in views] + ([ctes] if ctes else [])
-    return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + body
+    return ("WITH RECURSIVE " + ",\n".join(parts) + "\n" if parts else "") + body
 
 
 def sel(source: str, keep=(), r=(), digits: int = 6) -> str:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from barwise.functions.normal import norm_cdf
 from barwise.functions.rolling import Rolling
 from barwise.operators import price_features as pf
 from barwise.plans.catalogue import (DAY, ORD, _win, out, query, s_avg, s_lag, s_pair, s_q, s_sd, s_stat, s_z, sel, sql,
@@ -190,11 +191,11 @@ ON_STAGES = [
 ]
 
 
-@query("wn_44_overnight_panel", sql(sel("f3", ["symbol", DAY], pf.OVERNIGHT_FEATURES), "bars",
+@query("wn_44_overnight_panel", sql(sel("f3", ["symbol", DAY], pf.OVERNIGHT_FEATURES, 9), "bars",
                                     ctes=VIX_CTE + ",\n" + stages("vb", *ON_STAGES)))
 def overnight(spark, sf):
     x = pf.overnight_features(with_vix(views.bars(spark, sf)))
-    return out(day(x), "symbol", "session", r=pf.OVERNIGHT_FEATURES)
+    return out(day(x), "symbol", "session", r=pf.OVERNIGHT_FEATURES, digits=9)
 
 
 SPILL_STAGES = [
@@ -232,57 +233,48 @@ REV_CTE = "g AS (SELECT * FROM bars),\nmp(symbol, benchmark) AS (VALUES " + ", "
     f"('{k}','{v}')" for k, v in BENCH.items()) + """),
 gb AS (SELECT g.*, mp.benchmark, x.close AS bench_close, y.close AS corr_close FROM g JOIN mp USING (symbol)
   LEFT JOIN g x ON x.symbol = mp.benchmark AND x.ts = g.ts LEFT JOIN g y ON y.symbol = 'STANDARD' AND y.ts = g.ts)"""
-REV_STAGES = [
-    {**RET, "b": f"bench_close / {s_lag('bench_close')} - 1", "m": f"corr_close / {s_lag('corr_close')} - 1"},
-    {"pairvar": s_stat("var_samp", "(CASE WHEN ret IS NOT NULL THEN b END)", 60),
-     "cov": s_pair("covar_samp", "ret", "b", 60), "corr60": s_pair("corr", "ret", "m", 60),
-     "rv20": f"({s_sd('ret', 20)}) * {A}", "rv252": f"({s_sd('ret', 252)}) * {A}",
-     "momentum_deviation": f"close / {s_lag('close', 20)} - 1 - ({s_q('ret', 0.5, 252)})",
-     "mx": s_stat("max", "close", 252)},
-    {"beta": "cov / nullif(pairvar, 0)", "hist": f"CASE WHEN count(rv20) {_win(252)} = 252 THEN list(rv20) {_win(252)} END"},
-    {"beta_z": f"CASE WHEN symbol <> benchmark THEN {s_z('beta', 252)} END",
-     "correlation_extreme": f"CASE WHEN symbol <> 'STANDARD' THEN {s_z('corr60', 252)} END",
-     "drawdown_recovery": "(close - mx) / mx / nullif(rv252, 0)",
-     "pct": "(len(list_filter(hist, lambda v: v < rv20)) + (len(list_filter(hist, lambda v: v = rv20)) + 1) / 2.0) / 252.0"},
-]
 
 
-def reversion(spark, sf):
+def rev_stages(bw=60, zw=252):
+    return [
+        {**RET, "b": f"bench_close / {s_lag('bench_close')} - 1", "m": f"corr_close / {s_lag('corr_close')} - 1"},
+        {"pairvar": s_stat("var_samp", "(CASE WHEN ret IS NOT NULL THEN b END)", bw),
+         "cov": s_pair("covar_samp", "ret", "b", bw), "corr60": s_pair("corr", "ret", "m", bw),
+         "rv20": f"({s_sd('ret', 20)}) * {A}", "rv252": f"({s_sd('ret', 252)}) * {A}",
+         "momentum_deviation": f"close / {s_lag('close', 20)} - 1 - ({s_q('ret', 0.5, 252)})",
+         "mx": s_stat("max", "close", 252)},
+        {"beta": "cov / nullif(pairvar, 0)", "hist": f"CASE WHEN count(rv20) {_win(252)} = 252 THEN list(rv20) {_win(252)} END"},
+        {"beta_z": f"CASE WHEN symbol <> benchmark THEN {s_z('beta', zw)} END",
+         "correlation_extreme": f"CASE WHEN symbol <> 'STANDARD' THEN {s_z('corr60', zw)} END",
+         "drawdown_recovery": "(close - mx) / mx / nullif(rv252, 0)",
+         "pct": "(len(list_filter(hist, lambda v: v < rv20)) + (len(list_filter(hist, lambda v: v = rv20)) + 1) / 2.0) / 252.0"},
+        {"volatility_pct": "CASE WHEN pct = 1 THEN 0.999 WHEN pct = 0 THEN 0.001 ELSE pct END"},
+    ]
+
+
+def reversion(spark, sf, **windows):
     b = views.bars(spark, sf)
     grid = pf.on_grid(b, "observed")
     mapping = F.create_map(*[F.lit(x) for kv in BENCH.items() for x in kv])
     pairs = b.select("symbol").distinct().withColumn("benchmark", mapping[F.col("symbol")])
-    return pf.factor_reversion_features(pf.with_benchmarks(grid, pairs, "STANDARD"), "STANDARD")
-
+    x = pf.factor_reversion_features(pf.with_benchmarks(grid, pairs, "STANDARD"), "STANDARD", **windows)
+    # The normal score is undone so that SQL can check the rank share behind it.
+    return x.withColumn("volatility_pct", norm_cdf(F.col("volatility_percentile")))
 
-REV_SQL_COLS = ["beta_z", "momentum_deviation", "correlation_extreme", "drawdown_recovery"]
 
-
-def _rev(name, cols):
-    @query(name, sql(sel("f4", ["symbol", DAY], cols), "bars", ctes=REV_CTE + ",\n" + stages("gb", *REV_STAGES)))
+def _rev(name, cols, bw=60, zw=252):
+    @query(name, sql(sel("f5", ["symbol", DAY], cols), "bars", ctes=REV_CTE + ",\n" + stages("gb", *rev_stages(bw, zw))))
     def run(spark, sf):
-        return out(day(reversion(spark, sf)), "symbol", "session", r=cols)
+        return out(day(reversion(spark, sf, beta_window=bw, norm_window=zw)), "symbol", "session", r=cols)
 
 
-_rev("wn_46_rolling_beta_z", ["beta_z"])
+# Short windows on the two benchmark terms: the small tables have gaps that leave few full 252-bar frames.
+_rev("wn_46_rolling_beta_z", ["beta_z"], 20, 20)
 _rev("wn_47_momentum_deviation", ["momentum_deviation"])
-_rev("wn_49_correlation_extreme", ["correlation_extreme"])
+_rev("wn_48_volatility_percentile", ["volatility_pct"])
+_rev("wn_49_correlation_extreme", ["correlation_extreme"], 20, 20)
 _rev("wn_50_drawdown_recovery", ["drawdown_recovery"])
-
-
-@query("wn_48_volatility_percentile", sql(
-    "SELECT symbol, " + DAY + ", round(CASE WHEN pct = 1 THEN 0.999 WHEN pct = 0 THEN 0.001 ELSE pct END, 6) + 0.0 "
-    "AS volatility_pct FROM f4", "bars", ctes=REV_CTE + ",\n" + stages("gb", *REV_STAGES)))
-def volatility_percentile(spark, sf):
-    """Rank share checked in SQL; its normal score is undone here by the distribution function."""
-    from barwise.functions.normal import norm_cdf
-    x = reversion(spark, sf).withColumn("volatility_pct", norm_cdf(F.col("volatility_percentile")))
-    return out(day(x), "symbol", "session", r=["volatility_pct"])
-
-
-@query("wn_51_reversion_stack")
-def reversion_stack(spark, sf):
-    return out(day(reversion(spark, sf)), "symbol", "session", r=pf.REVERSION_FEATURES)
+_rev("wn_51_reversion_stack", ["beta_z", "momentum_deviation", "volatility_pct", "correlation_extreme", "drawdown_recovery"])
 
 
 SHOCK_CTE = GRID_CTE.format(v="bars") + ",\n" + stages("g", RET, name="r") + """,
