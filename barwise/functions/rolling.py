@@ -107,8 +107,9 @@ class Rolling:
 
     def corr(self, x, y, n) -> Column:
         w = self.rows(n)
-        flat = (F.stddev_samp(_c(x)).over(w) == 0) | (F.stddev_samp(_c(y)).over(w) == 0)
-        return F.when(self._pairs(x, y, n) & ~flat, F.corr(_c(x), _c(y)).over(w))
+        # Built from covariance: the corr function divides by zero on a flat frame in ANSI mode.
+        spread = F.stddev_samp(_c(x)).over(w) * F.stddev_samp(_c(y)).over(w)
+        return F.when(self._pairs(x, y, n), safe_div(F.covar_samp(_c(x), _c(y)).over(w), spread))
 
     def cov(self, x, y, n) -> Column:
         return F.when(self._pairs(x, y, n), F.covar_samp(_c(x), _c(y)).over(self.rows(n)))

@@ -83,34 +83,43 @@ def labels(bars: DataFrame, horizon: int = 1, s: Rolling = Rolling()) -> DataFra
         "label", F.when(F.col("fwd_ret").isNotNull(), (F.col("fwd_ret") > 0).cast("int")))
 
 
-def recursive_mean(df: DataFrame, columns: dict[str, str], alpha: float, min_obs: int,
-                   s: Rolling = Rolling(), block: int = 4000) -> DataFrame:
-    """Exponentially weighted mean started at the first value (no bias adjustment).
+def decayed_sum(df: DataFrame, columns: dict[str, str], keep: float, s: Rolling = Rolling()) -> DataFrame:
+    """y_t = keep * y_{t-1} + x_t per series, without a row loop (null counts as 0).
 
-    y_t = (1-alpha) y_{t-1} + alpha x_t is summed in closed form inside blocks of
-    rows, with the end of the two blocks before carried in; anything older has
-    decayed below the smallest double.  Inputs may be null only before the
-    first value of a series.
+    Summed in closed form inside blocks of rows, with the end of the two blocks
+    before carried in; anything older has decayed below the smallest double.
     """
-    keep = 1.0 - alpha
-    if keep ** (-block) > 1e290 or keep ** (2 * block) > 1e-200:
-        raise ValueError("block length does not suit this alpha")
-    source = next(iter(columns))
+    block = int(280 / -math.log10(keep))
     before = s.order.rowsBetween(Window.unboundedPreceding, -1)
-    x = df.withColumn("_t", F.count(F.col(source)).over(s.so_far) - 1)
+    x = df.withColumn("_t", F.row_number().over(s.order) - 1)
     x = x.withColumns({"_block": F.floor(F.col("_t") / block), "_p": F.col("_t") % block})
     inside = (Window.partitionBy(*s.keys, "_block").orderBy(s.ts)
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     keep_p = F.pow(F.lit(keep), F.col("_p").cast("double"))
     last_row = F.col("_p") == block - 1
-    for src, dst in columns.items():
-        term = F.col(src) * F.when(F.col("_t") == 0, 1.0).otherwise(alpha) / keep_p
-        x = x.withColumn("_local", F.sum(term).over(inside) * keep_p)
-        x = x.withColumn("_prev", F.last(F.when(last_row, F.col("_local")), True).over(before))
-        x = x.withColumn("_end", F.when(last_row, F.col("_local") + F.coalesce("_prev", F.lit(0.0)) * keep ** block))
-        x = x.withColumn("_carry", F.coalesce(F.last("_end", True).over(before), F.lit(0.0)))
-        x = x.withColumn(dst, F.when(F.col("_t") + 1 >= min_obs, F.col("_local") + F.col("_carry") * keep_p * keep))
-    return x.drop("_t", "_block", "_p", "_local", "_prev", "_end", "_carry")
+    zero = F.lit(0.0)
+    x = x.withColumns({f"_l_{d}": F.sum(F.coalesce(F.col(c), zero) / keep_p).over(inside) * keep_p for c, d in columns.items()})
+    x = x.withColumns({f"_q_{d}": F.last(F.when(last_row, F.col(f"_l_{d}")), True).over(before) for d in columns.values()})
+    x = x.withColumns({f"_e_{d}": F.when(last_row, F.col(f"_l_{d}") + F.coalesce(F.col(f"_q_{d}"), zero) * keep ** block)
+                       for d in columns.values()})
+    x = x.withColumns({d: F.col(f"_l_{d}") + F.coalesce(F.last(f"_e_{d}", True).over(before), zero) * keep_p * keep
+                       for d in columns.values()})
+    return x.drop("_t", "_block", "_p", *[f"_{k}_{d}" for k in "lqe" for d in columns.values()])
+
+
+def recursive_mean(df: DataFrame, columns: dict[str, str], alpha: float, min_obs: int,
+                   s: Rolling = Rolling()) -> DataFrame:
+    """Exponentially weighted mean started at the first value (no bias adjustment).
+
+    y_t = (1-alpha) y_{t-1} + alpha x_t.  Inputs may be null only before the
+    first value of a series.
+    """
+    first = next(iter(columns))
+    x = df.withColumn("_seen", F.count(F.col(first)).over(s.so_far))
+    x = x.withColumns({f"_x_{c}": F.col(c) * F.when(F.col("_seen") == 1, 1.0).otherwise(alpha) for c in columns})
+    x = decayed_sum(x, {f"_x_{c}": d for c, d in columns.items()}, 1.0 - alpha, s)
+    x = x.withColumns({d: F.when(F.col("_seen") >= min_obs, F.col(d)) for d in columns.values()})
+    return x.drop("_seen", *[f"_x_{c}" for c in columns])
 
 
 def rsi(bars: DataFrame, n: int = 14, s: Rolling = Rolling()) -> DataFrame:
@@ -359,12 +368,13 @@ def average_peer_correlation(bars: DataFrame, n: int = 20, s: Rolling = Rolling(
         "_hist", "_mean", "_sd", "_z", "_sum", "_n")
 
 
-def volatility_shock_features(bars: DataFrame, s: Rolling = Rolling()) -> DataFrame:
-    """Five shock features on the calendar grid (the norm excludes the latest bars)."""
+def volatility_shock_features(bars: DataFrame, s: Rolling = Rolling(), norm_bars: int = 232,
+                              corr_bars: int = 252) -> DataFrame:
+    """Five shock features on the calendar grid (the norm excludes the latest 21 bars)."""
     x = average_peer_correlation(bars.withColumn("ret", s.pct_change("close")), 20, s)
     x = x.withColumn("_rv", F.sqrt(s.mean(F.col("ret") * F.col("ret"), 20) * 252.0))
-    x = x.withColumns({"_ref": s.mean("_rv", 232, 21), "_refsd": s.sd("_rv", 232, 21),
-                       "skew_20": s.skew("ret", 20), "_corr_ref": s.mean("peer_corr", 252, 1)})
+    x = x.withColumns({"_ref": s.mean("_rv", norm_bars, 21), "_refsd": s.sd("_rv", norm_bars, 21),
+                       "skew_20": s.skew("ret", 20), "_corr_ref": s.mean("peer_corr", corr_bars, 1)})
     x = x.withColumn("_shock", clip(safe_div(F.col("_rv") - F.col("_ref"), "_refsd"), low=0.0))
     return x.withColumns({
         "vshock_1d": s.lag("_shock"), "vshock_5d": s.mean("_shock", 5, 1),
