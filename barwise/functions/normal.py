@@ -57,14 +57,22 @@ def _ratio(num, den, x: Column) -> Column:
     return _poly(num, x) / _poly(den, x)
 
 
+def let(x: Column, body) -> Column:
+    """``body(x)`` with x evaluated once, however often the body reads it."""
+    return F.get(F.transform(F.array(x), body), F.lit(0))
+
+
 def norm_ppf(p: Column) -> Column:
     """Quantile of the standard normal; null outside (0, 1)."""
+    return let(p, _quantile)
+
+
+def _quantile(p: Column) -> Column:
     q = p - F.lit(0.5)
-    centre = q * _ratio(_CENTRE_NUM, _CENTRE_DEN, F.lit(0.180625) - q * q)
-    tail = F.when(q < 0, p).otherwise(F.lit(1.0) - p)
-    r = F.sqrt(-F.ln(tail))
-    size = F.when(r <= 5.0, _ratio(_NEAR_NUM, _NEAR_DEN, r - F.lit(1.6))).otherwise(
-        _ratio(_FAR_NUM, _FAR_DEN, r - F.lit(5.0)))
+    centre = q * let(F.lit(0.180625) - q * q, lambda u: _ratio(_CENTRE_NUM, _CENTRE_DEN, u))
+    tail = F.sqrt(-F.ln(F.when(q < 0, p).otherwise(F.lit(1.0) - p)))
+    size = let(tail, lambda r: F.when(r <= 5.0, _ratio(_NEAR_NUM, _NEAR_DEN, r - F.lit(1.6))).otherwise(
+        _ratio(_FAR_NUM, _FAR_DEN, r - F.lit(5.0))))
     signed = F.when(q < 0, -size).otherwise(size)
     inside = (p > 0) & (p < 1)
     return F.when(inside & (F.abs(q) <= 0.425), centre).when(inside, signed)
@@ -72,12 +80,14 @@ def norm_ppf(p: Column) -> Column:
 
 def norm_cdf(x: Column) -> Column:
     """Distribution function of the standard normal."""
-    z = F.abs(x) / F.lit(2.0 ** 0.5)
-    square = z * z
-    small = z * _ratio(_ERF_NUM, _ERF_DEN, square)
-    mid = F.exp(-square) * _ratio(_MID_NUM, _MID_DEN, z)
-    inv = F.lit(1.0) / F.greatest(square, F.lit(1.0))
-    tail = F.exp(-square) / F.greatest(z, F.lit(1.0)) * (
-        F.lit(_INV_SQRT_PI) - inv * _ratio(_TAIL_NUM, _TAIL_DEN, inv))
-    erfc = F.when(z <= 0.46875, F.lit(1.0) - small).when(z <= 4.0, mid).otherwise(tail)
-    return F.when(x > 0, F.lit(1.0) - erfc * 0.5).otherwise(erfc * 0.5)
+    return let(x, lambda v: let(_erfc(v), lambda e: F.when(v > 0, F.lit(1.0) - e * 0.5).otherwise(e * 0.5)))
+
+
+def _erfc(x: Column) -> Column:
+    def tail(z):
+        inv = F.lit(1.0) / F.greatest(z * z, F.lit(1.0))
+        series = let(inv, lambda i: F.lit(_INV_SQRT_PI) - i * _ratio(_TAIL_NUM, _TAIL_DEN, i))
+        return F.exp(-z * z) / F.greatest(z, F.lit(1.0)) * series
+    return let(F.abs(x) / F.lit(2.0 ** 0.5), lambda z: F.when(
+        z <= 0.46875, F.lit(1.0) - z * _ratio(_ERF_NUM, _ERF_DEN, z * z)).when(
+        z <= 4.0, F.exp(-z * z) * _ratio(_MID_NUM, _MID_DEN, z)).otherwise(tail(z)))

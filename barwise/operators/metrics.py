@@ -166,14 +166,15 @@ def auc(df: DataFrame, label: str, score: str, keys: list[str], buckets: int = 6
     Rows are first counted per distinct score, and score ranges are summed
     before the running count, so no task orders a whole group.
     """
-    counts = df.groupBy(*keys, score).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("q"))
-    counts = counts.withColumn("_b", F.floor(F.col(score) * buckets))
-    blocks = counts.groupBy(*keys, "_b").agg(F.sum("q").alias("bq"))
+    counts = df.groupBy(*keys, F.col(score).alias("_score")).agg(
+        F.count_if(F.col(label) == 1).alias("_pos"), F.count_if(F.col(label) == 0).alias("_neg"))
+    counts = counts.withColumn("_b", F.floor(F.col("_score") * buckets))
+    blocks = counts.groupBy(*keys, "_b").agg(F.sum("_neg").alias("_bn"))
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("start", F.coalesce(F.sum("bq").over(before), F.lit(0))).drop("bq")
-    inside = Window.partitionBy(*keys, "_b").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    x = counts.withColumn("_in", F.coalesce(F.sum("q").over(inside), F.lit(0))).join(blocks, [*keys, "_b"])
-    wins = F.sum(F.col("p") * (F.col("start") + F.col("_in") + F.col("q") / 2.0))
+    blocks = blocks.withColumn("_start", F.coalesce(F.sum("_bn").over(before), F.lit(0))).drop("_bn")
+    inside = Window.partitionBy(*keys, "_b").orderBy("_score").rowsBetween(Window.unboundedPreceding, -1)
+    x = counts.withColumn("_in", F.coalesce(F.sum("_neg").over(inside), F.lit(0))).join(blocks, [*keys, "_b"])
+    wins = F.sum(F.col("_pos") * (F.col("_start") + F.col("_in") + F.col("_neg") / 2.0))
     return x.groupBy(*keys).agg(
-        safe_div(wins, F.sum("p") * F.sum("q").cast("double")).alias("auc"),
-        F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"))
+        safe_div(wins, F.sum("_pos") * F.sum("_neg").cast("double")).alias("auc"),
+        F.sum("_pos").alias("n_pos"), F.sum("_neg").alias("n_neg"))
