@@ -13,7 +13,7 @@ from barwise.operators import models
 from barwise.operators import portfolio as pt
 from barwise.operators import price_features as pf
 from barwise.operators import statistics as st
-from barwise.plans import q_books
+from barwise.plans import q_books, q_windows
 from barwise.plans.catalogue import DAY, _win, out, query, s_lag, sel, sql, stages
 from barwise.plans.q_backtest import S_SHARPE, SIGNAL_STAGES, momentum_ledger, path_ctes, signals
 from barwise.plans.q_windows import BASE_STAGES, LIQ_STAGES, RET, grid_bars
@@ -543,3 +543,35 @@ def overfitting(spark, sf):
     led, _ = candidate_ledger(spark, sf)
     m = led.where("split = 'test' AND fold <= 6").groupBy("symbol", "candidate", (F.col("fold") - 1).alias("fold_no")).agg(mt.sharpe("net").alias("sharpe"))
     return st.overfitting_probability(m, 6, variant="candidate", keys=("symbol",))
+
+
+# ---- frozen replays and side joins ---------------------------------------------------------------------
+
+@query("wf_06_frozen_replay", sql(f"SELECT symbol, delay, fee, round({S_SHARPE('net')}, 6) + 0.0 AS sharpe, round(sum(turnover), 6) + 0.0 AS turnover FROM (SELECT *, gross - turnover * (fee + 1) / 10000.0 AS net FROM rz "
+                                  "CROSS JOIN (VALUES (5.0), (20.0)) f(fee)) GROUP BY 1, 2, 3", "bars", ctes=WF_CTE + """,
+ry AS (SELECT ot.*, delay, CASE delay WHEN 0 THEN lag(dir, 1) OVER w ELSE lag(dir, 3) OVER w END AS stg FROM ot CROSS JOIN (VALUES (0), (2)) d(delay) WINDOW w AS (PARTITION BY symbol, delay ORDER BY ts)),
+rx AS (SELECT *, coalesce(stg * scale, 0) AS position FROM ry),
+rz AS (SELECT *, position * coalesce(fwd_ret, 0) AS gross, abs(position - coalesce(lag(position) OVER (PARTITION BY symbol, delay ORDER BY ts), 0)) AS turnover FROM rx)"""))
+def frozen_replay(spark, sf):
+    """The out-of-sample directions re-priced at other costs and delays; nothing is refitted."""
+    test = walk_forward(spark, sf)[1].select("symbol", "ts", "dir", "scale", "fwd_ret").withColumns({f"_d{d}": S.lag("dir", 1 + d) for d in (0, 2)})
+    grid = F.explode(F.array(*[F.struct(F.lit(d).alias("delay"), F.col(f"_d{d}").alias("staged")) for d in (0, 2)]))
+    led = bt.price(test.withColumn("_g", grid).select("*", "_g.*").drop("_g"), bt.Execution(), ("symbol", "delay"))
+    led = bt.charge(led.withColumn("fee", F.explode(F.array(F.lit(5.0), F.lit(20.0)))), F.col("fee"), 1.0)
+    x = led.groupBy("symbol", "delay", "fee").agg(mt.sharpe("net").alias("sharpe"), F.sum("turnover").alias("turnover"))
+    return out(x, "symbol", "delay", "fee", r=["sharpe", "turnover"])
+
+
+@query("jn_07_benchmark_join", sql(f"SELECT symbol, {DAY}, benchmark, round(bench_close, 6) + 0.0 AS bench_close, round(corr_close, 6) + 0.0 AS corr_close FROM gb", "bars", ctes=q_windows.REV_CTE))
+def benchmark_join(spark, sf):
+    b = views.bars(spark, sf)
+    mapping = F.create_map(*[F.lit(x) for kv in q_windows.BENCH.items() for x in kv])
+    pairs = b.select("symbol").distinct().withColumn("benchmark", mapping[F.col("symbol")])
+    x = pf.with_benchmarks(b, pairs, "STANDARD").withColumn("session", views.day())
+    return out(x, "symbol", "session", "benchmark", r=["bench_close", "corr_close"])
+
+
+@query("jn_08_side_series_join", sql(f"SELECT symbol, {DAY}, round(vix, 9) + 0.0 AS vix FROM bars LEFT JOIN (SELECT ts, close / 50.0 AS vix FROM bars WHERE symbol = 'PROMO') USING (ts)", "bars"))
+def side_series(spark, sf):
+    x = q_windows.with_vix(views.bars(spark, sf)).withColumn("session", views.day())
+    return out(x, "symbol", "session", r=["vix"], digits=9)

