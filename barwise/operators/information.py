@@ -93,6 +93,7 @@ def _intensity(grid: DataFrame, live: DataFrame, half_life: float) -> DataFrame:
     up the log2(bars) blocks above it.
     """
     last = grid.groupBy("symbol").agg((F.max("bar_no") + 1).alias("_end"))
+    depth = F.ceil(F.log2(F.col("_end").cast("double"))).cast("int") + 1
     x = live.where("s <> 0").join(last, "symbol").withColumn("_r", F.coalesce("until_bar", "_end"))
     x = x.withColumn("key", F.log2(F.abs("s")) + F.col("first_bar") / half_life)
     # Equal intervals collapse before they are cut.
@@ -108,9 +109,10 @@ def _intensity(grid: DataFrame, live: DataFrame, half_life: float) -> DataFrame:
         return F.struct(F.shiftright(l2, 1).alias("l"), F.shiftright(r2, 1).alias("r"),
                         F.concat(st["out"], F.array_compact(F.array(take_l, take_r))).alias("out"))
     start = F.struct(F.col("l").alias("l"), F.col("r").alias("r"), empty.alias("out"))
-    blocks = x.withColumn("_b", F.explode(F.aggregate(F.sequence(F.lit(0), F.lit(31)), start, cut)["out"]))
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.col("r").cast("double") + 1.0)).cast("int"))
+    blocks = x.withColumn("_b", F.explode(F.aggregate(steps, start, cut)["out"]))
     blocks = blocks.groupBy("symbol", F.col("_b.level").alias("level"), F.col("_b.block").alias("block")).agg(F.max("key").alias("key"))
-    probes = grid.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(31)))).withColumn(
+    probes = grid.join(last, "symbol").withColumn("level", F.explode(F.sequence(F.lit(0), depth))).withColumn(
         "block", F.expr("shiftright(CAST(bar_no AS BIGINT), level)"))
     return probes.join(blocks, ["symbol", "level", "block"]).groupBy("symbol", "bar_no").agg(
         F.pow(F.lit(2.0), F.max("key") - F.first("bar_no") / half_life).alias("_intensity"))

@@ -114,7 +114,8 @@ def assign_stories(events: DataFrame, order: tuple[str, ...] = ("availability_ti
         x = x.join(many, "event_id")
         usable = usable & (F.col("_rows") == 1)
     x = x.withColumn("_bucket", F.when(usable, F.floor(F.col("_et") / span)))
-    stretch = _stretches(x.where("_bucket IS NOT NULL"), span)
+    # One row per time bucket: kept, as both the size check and the join read it.
+    stretch = _stretches(x.where("_bucket IS NOT NULL"), span).checkpoint()
     x = x.join(stretch, ["symbol", "topic", "_bucket"], "left")
     narrow = x.where("_bucket IS NOT NULL").select("symbol", "topic", "_bucket", "_stretch", "_size", "_et", "_key")
     small = narrow.where(F.col("_size") <= fold_rows)

@@ -16,7 +16,7 @@ from barwise.plans.q_backtest import S_SHARPE, led_sql
 from barwise.plans.q_windows import LIQ_STAGES
 from barwise.sources import views
 
-WIDTH = 1000  # small chunks, so the small tables exercise chunk borders
+WIDTH = 8000  # small chunks, so the small tables exercise chunk borders
 
 POS_CTE = """fr AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY account, symbol ORDER BY seq) AS rn FROM fills),
 pw(account, symbol, rn, seq, q0, q, basis0, basis, realized) AS (SELECT DISTINCT account, symbol, 0::BIGINT, NULL::BIGINT, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM fr
