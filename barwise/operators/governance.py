@@ -36,13 +36,16 @@ def stress_survival(stress: DataFrame, keys, fee_level: float = 10.0, delay_leve
 def gate_checks(evidence: DataFrame, cfg: GateConfig = GateConfig(), key: str = "experiment") -> DataFrame:
     """(experiment, gate, passed) from one evidence row each; unknown evidence never passes."""
     c = F.col
+    def family_gate(name: str, ok: Column) -> Column:
+        return F.struct(F.lit(name).alias("gate"), F.coalesce(ok, F.lit(False)).alias("passed"))
+    within_cap = c("family_searches") <= cfg.max_family_searches
     if cfg.correction != "none":
         alpha = cfg.max_adjusted_p / F.greatest(c("family_searches"), F.lit(1))
-        family = (F.when(c("family_searches") == 0, F.struct(F.lit("family_history_mandatory").alias("gate"), F.lit(False).alias("passed")))
-                  .when(c("family_searches") > cfg.max_family_searches, F.struct(F.lit("family_search_within_cap"), F.lit(False)))
-                  .otherwise(F.struct(F.lit("family_selection_corrected"), c("adjusted_p") <= alpha)))
+        family = (F.when(c("family_searches") == 0, family_gate("family_history_mandatory", F.lit(False)))
+                  .when(~within_cap, family_gate("family_search_within_cap", F.lit(False)))
+                  .otherwise(family_gate("family_selection_corrected", c("adjusted_p") <= alpha)))
     else:
-        family = F.struct(F.lit("family_search_within_cap").alias("gate"), (c("family_searches") <= cfg.max_family_searches).alias("passed"))
+        family = family_gate("family_search_within_cap", within_cap)
     rules: dict[str, Column] = {
         "median_sharpe_positive": c("median_sharpe") > cfg.min_median_sharpe,
         "mean_sharpe_positive": c("mean_sharpe") > cfg.min_mean_sharpe,

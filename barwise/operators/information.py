@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from barwise.functions.rolling import Rolling, safe_div
 from barwise.operators.pit import assign_stories, first_eligible_bar, number_bars, revision_intervals
 from barwise.operators.price_features import decayed_sum
+from barwise.session import ensure_checkpoint_dir
 
 INFO_FEATURES = ("info_sentiment", "info_abs_sentiment", "info_attention", "info_source_breadth", "info_novelty",
                  "info_disagreement", "info_intensity", "info_corroboration")
@@ -24,7 +25,11 @@ def information_features(bars: DataFrame, events: DataFrame, half_life: float =
     keep = 0.5 ** (1.0 / half_life)
     stories = assign_stories(events, fold_rows=fold_rows) if deduplicate else events.withColumns(
         {"canonical_id": F.col("event_id"), "is_copy": F.lit(False)})
-    placed = first_eligible_bar(stories, bars).where("first_bar IS NOT NULL")
+    # Read four times below; written once to the checkpoint folder instead of clustering four times.
+    ensure_checkpoint_dir(events.sparkSession)
+    placed = first_eligible_bar(stories, bars).where("first_bar IS NOT NULL").select(
+        "symbol", "event_id", "revision", "canonical_id", "is_copy", "source", "sentiment", "novelty",
+        "publication_time", "availability_time", "first_bar").checkpoint()
     live = revision_intervals(placed.where("NOT is_copy")).select(
         "symbol", "event_id", "first_bar", "until_bar", F.coalesce("source", F.lit("")).alias("source"),
         F.coalesce("sentiment", F.lit(0.0)).alias("s"), F.coalesce("novelty", F.lit(0.0)).alias("nov"))

@@ -36,12 +36,12 @@ def position_path(spark, sf):
     return out(x, "seq", "q_after", r=["avg_after", "realized"])
 
 
-@query("lg_01_final_positions", sql("SELECT account, symbol, arg_max(q, rn) AS quantity, round(coalesce(arg_max(basis, rn) / nullif(abs(arg_max(q, rn)), 0), 0), 6) + 0.0 AS avg_entry, "
-                                    "round(sum(realized), 5) + 0.0 AS realized_pnl, count(*) AS n_fills FROM pos GROUP BY 1, 2", "fills", ctes=POS_CTE))
+@query("lg_01_final_positions", sql("SELECT account, symbol, arg_max(q, rn) AS quantity, round(coalesce(arg_max(basis, rn) / nullif(abs(arg_max(q, rn)), 0), 0) + 3.3e-8, 6) + 0.0 AS avg_entry, "
+                                    "round(sum(realized) + 3.3e-8, 5) + 0.0 AS realized_pnl, count(*) AS n_fills FROM pos GROUP BY 1, 2", "fills", ctes=POS_CTE))
 def final_positions(spark, sf):
     x = lg.final_positions(views.fills(spark, sf), WIDTH)
-    return x.select("account", "symbol", "quantity", (F.round("avg_entry", 6) + F.lit(0.0)).alias("avg_entry"),
-                    (F.round("realized_pnl", 5) + F.lit(0.0)).alias("realized_pnl"), "n_fills")
+    return x.select("account", "symbol", "quantity", (F.round(F.col("avg_entry") + 3.3e-8, 6) + F.lit(0.0)).alias("avg_entry"),
+                    (F.round(F.col("realized_pnl") + 3.3e-8, 5) + F.lit(0.0)).alias("realized_pnl"), "n_fills")
 
 
 EQ_CTE = POS_CTE + """,
