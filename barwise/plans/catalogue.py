@@ -80,7 +80,7 @@ def sql(body: str, *views: str, ctes: str = "") -> str:
 
 
 def sel(source: str, keep=(), r=(), digits: int = 6) -> str:
-    cols = list(keep) + [f"round({c}, {digits}) + 0.0 AS {c}" for c in r]
+    cols = list(keep) + [f"round({c}::DOUBLE, {digits}) + 0.0 AS {c}" for c in r]
     return "SELECT " + ", ".join(cols) + f" FROM {source}"
 
 

@@ -226,7 +226,7 @@ f9 AS (SELECT *, coalesce(st * scale, 0) AS position FROM fz),
 f8 AS (SELECT *, position * coalesce(fwd_ret, 0) AS gross, abs(position - coalesce(lag(position) OVER (PARTITION BY symbol, delay ORDER BY ts), 0)) AS turnover FROM f9)"""
 
 
-@query("wf_08_fixed_split_confirmation", sql("SELECT symbol, delay, fee, round(avg(net) / nullif(stddev_samp(net), 0) * sqrt(252.0), 6) + 0.0 AS sharpe FROM "
+@query("wf_08_fixed_split_confirmation", sql("SELECT symbol, delay, fee::DOUBLE AS fee, round(avg(net) / nullif(stddev_samp(net), 0) * sqrt(252.0), 6) + 0.0 AS sharpe FROM "
                                              "(SELECT *, gross - turnover * (fee + 1) / 10000.0 AS net FROM f8 CROSS JOIN (VALUES (0.0), (5.0), (10.0), (20.0)) f(fee)) GROUP BY 1, 2, 3",
                                              "bars", ctes=SPLIT_CTE))
 def fixed_split(spark, sf):
@@ -353,7 +353,7 @@ def history_delta(spark, sf):
 # ---- book stresses --------------------------------------------------------------------------------
 
 @query("rb_06_book_stress", sql(
-    f"SELECT delay, multiple, round({S_SHARPE('net')}, 6) + 0.0 AS sharpe, round(product(1 + net) - 1, 6) + 0.0 AS net_return, round(sum(turnover) / (count(*) / 252.0), 6) + 0.0 AS annual_turnover "
+    f"SELECT delay, multiple::DOUBLE AS multiple, round({S_SHARPE('net')}, 6) + 0.0 AS sharpe, round(product(1 + net) - 1, 6) + 0.0 AS net_return, round(sum(turnover) / (count(*) / 252.0), 6) + 0.0 AS annual_turnover "
     "FROM (SELECT *, gross - turnover * 6 * multiple / 10000.0 AS net FROM dz CROSS JOIN (VALUES (1.0), (2.0), (3.0)) m(multiple)) GROUP BY 1, 2",
     "bars", ctes=q_books.MAG_CTE + """,
 dw AS (SELECT symbol, ts, delay, close, CASE delay WHEN 0 THEN lag(w, 1) OVER s WHEN 1 THEN lag(w, 2) OVER s ELSE lag(w, 4) OVER s END AS ew0, lead(close) OVER s / close - 1 AS fwd
@@ -547,7 +547,7 @@ def overfitting(spark, sf):
 
 # ---- frozen replays and side joins ---------------------------------------------------------------------
 
-@query("wf_06_frozen_replay", sql(f"SELECT symbol, delay, fee, round({S_SHARPE('net')}, 6) + 0.0 AS sharpe, round(sum(turnover), 6) + 0.0 AS turnover FROM (SELECT *, gross - turnover * (fee + 1) / 10000.0 AS net FROM rz "
+@query("wf_06_frozen_replay", sql(f"SELECT symbol, delay, fee::DOUBLE AS fee, round({S_SHARPE('net')}, 6) + 0.0 AS sharpe, round(sum(turnover), 6) + 0.0 AS turnover FROM (SELECT *, gross - turnover * (fee + 1) / 10000.0 AS net FROM rz "
                                   "CROSS JOIN (VALUES (5.0), (20.0)) f(fee)) GROUP BY 1, 2, 3", "bars", ctes=WF_CTE + """,
 ry AS (SELECT ot.*, delay, CASE delay WHEN 0 THEN lag(dir, 1) OVER w ELSE lag(dir, 3) OVER w END AS stg FROM ot CROSS JOIN (VALUES (0), (2)) d(delay) WINDOW w AS (PARTITION BY symbol, delay ORDER BY ts)),
 rx AS (SELECT *, coalesce(stg * scale, 0) AS position FROM ry),

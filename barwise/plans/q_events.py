@@ -74,7 +74,7 @@ def stories(spark, sf):
 
 
 @query("jn_06_static_dedup", sql(
-    """SELECT event_id, revision, 1.0 + CASE WHEN lead_row THEN coalesce(n, 0) ELSE 0 END AS corroboration FROM (
+    """SELECT event_id, revision, 1.0::DOUBLE + CASE WHEN lead_row THEN coalesce(n, 0) ELSE 0 END AS corroboration FROM (
   SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY publication_time, revision) = 1 AS lead_row FROM cl WHERE NOT is_copy) k
   LEFT JOIN (SELECT canonical_id AS cid, count(*) AS n FROM cl WHERE is_copy GROUP BY 1) c ON c.cid = k.event_id""",
     "ev", ctes=story_ctes("publication_time, event_id, revision", False)))

@@ -170,7 +170,7 @@ def ledger_rows(spark, sf):
         F.create_map(F.lit("priority"), F.col("o_orderpriority")).alias("meta"))
 
 
-LEDGER_AGG = "SELECT family_id, stage, count(*) AS n_rows, sum(n_trials) AS n_trials FROM x GROUP BY 1, 2"
+LEDGER_AGG = "SELECT family_id, stage, count(*) AS n_rows, CAST(sum(n_trials) AS BIGINT) AS n_trials FROM x GROUP BY 1, 2"
 
 
 @query("snk_03_ledger_append", sql(LEDGER_AGG, ctes=LEDGER_SQL))
