@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barwise.llm import decontaminate
+from barwise.llm import decontaminate, secrets
 from barwise.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,3 +47,33 @@ def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                         decontaminate.items_digest(F.col("items")).alias("items_sha256"), decontaminate.contaminated().alias("contaminated"))
+
+
+def _secret_sql(rules) -> str:
+    parts = []
+    for r, rule in enumerate(rules):
+        whole = f"(?s)(.*?)(?:({rule.body})|\\z)".replace("'", "''")
+        size = f"sl[i] >= {rule.least}" if rule.least else "true"
+        parts.append(f"""SELECT doc_id, '{rule.kind}' AS kind, {r} AS ord, s, s + hl[i] AS e FROM (
+  SELECT doc_id, hl, sl, i, CAST(list_sum(gl[1:i]) + coalesce(list_sum(hl[1:i - 1]), 0) AS BIGINT) AS s FROM (
+    SELECT doc_id, gl, hl, sl, unnest(range(1, len(hl) + 1)) AS i FROM (
+      SELECT doc_id, list_transform(regexp_extract_all(text, '{whole}', 1), lambda x: length(x)) AS gl,
+             list_transform(regexp_extract_all(text, '{whole}', 2), lambda x: length(x)) AS hl,
+             list_transform(regexp_extract_all(text, '{whole}', {2 + rule.group}), lambda x: length(x)) AS sl
+      FROM documents WHERE regexp_matches(text, '{rule.body.replace("'", "''")}')))
+  WHERE hl[i] > 0 AND {size})""")
+    return f"""WITH x AS ({" UNION ALL ".join(parts)}),
+g AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS k, count(*) FILTER (kind = 'hex') AS h,
+      string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, ord) FILTER (ord < 3) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, ord) AS every
+      FROM x GROUP BY doc_id)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(k, 0) AS n_access, coalesce(h, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(every, '') AS spans
+FROM documents LEFT JOIN g USING (doc_id)"""
+
+
+@query("op1_secret_scans", _secret_sql(secrets.RULES))
+def secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+                        F.sha2(secrets.listed(F.filter("spans", lambda s: s["ord"] < 3)), 256).alias("base_sha256"),
+                        secrets.listed(F.col("spans")).alias("spans"))
