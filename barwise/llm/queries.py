@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barwise.llm import decontaminate, secrets
+from barwise.llm import decontaminate, packing, secrets
 from barwise.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,8 @@ def secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
                         F.sha2(secrets.listed(F.filter("spans", lambda s: s["ord"] < 3)), 256).alias("base_sha256"),
                         secrets.listed(F.col("spans")).alias("spans"))
+
+
+@query("op2_best_fit_packing")
+def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "piece", "size", "bin_id")
