@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barwise.llm import decontaminate, packing, secrets
+from barwise.llm import decontaminate, packing, secrets, toxicity
 from barwise.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,11 @@ def secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_best_fit_packing")
 def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "piece", "size", "bin_id")
+
+
+@query("op7_toxicity")
+def toxicity_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, toxicity.grades_of(table(spark, sf_dir, "labels")))
+    found = toxicity.score(docs, model, keep=["doc_id"])
+    return found.select("doc_id", *[F.col("p_at_least")[k].alias(f"p_at_least_{k + 1}") for k in range(len(model.cuts))], "severity", toxicity.rejected().alias("toxic"))
