@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barwise.llm import decontaminate, packing, secrets, toxicity
-from barwise.llm.common import table
+from barwise.llm import decontaminate, language, packing, secrets, toxicity
+from barwise.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -90,3 +90,12 @@ def toxicity_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, toxicity.grades_of(table(spark, sf_dir, "labels")))
     found = toxicity.score(docs, model, keep=["doc_id"])
     return found.select("doc_id", *[F.col("p_at_least")[k].alias(f"p_at_least_{k + 1}") for k in range(len(model.cuts))], "severity", toxicity.rejected().alias("toxic"))
+
+
+@query("op5_language_id")
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.train(docs.where(fold("doc_id") != 0), F.col("lang"))
+    found = language.predict(docs.select("doc_id", "text"), model, keep=["doc_id"])
+    return found.select("doc_id", (fold("doc_id") == 0).alias("held_out"), "lang_pred", "score",
+                        F.concat_ws(",", F.transform("languages", lambda x: x["lang"])).alias("lang_set"), F.size("languages").cast("long").alias("n_languages"))
