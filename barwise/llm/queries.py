@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barwise.llm import decontaminate, language, packing, secrets, toxicity
+from barwise.llm import decontaminate, hmm, language, packing, secrets, toxicity
 from barwise.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +99,9 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = language.predict(docs.select("doc_id", "text"), model, keep=["doc_id"])
     return found.select("doc_id", (fold("doc_id") == 0).alias("held_out"), "lang_pred", "score",
                         F.concat_ws(",", F.transform("languages", lambda x: x["lang"])).alias("lang_set"), F.size("languages").cast("long").alias("n_languages"))
+
+
+@query("op10_lm_scoring")
+def lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = hmm.score(table(spark, sf_dir, "documents").select("doc_id", "text"), fold("doc_id") != 1)
+    return found.select("doc_id", F.coalesce(fold("doc_id") == 1, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
