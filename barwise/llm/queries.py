@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barwise.llm import decontaminate, hmm, language, packing, secrets, toxicity
+from barwise.llm import decontaminate, hmm, language, packing, secrets, token_counts, toxicity
 from barwise.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,9 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = hmm.score(table(spark, sf_dir, "documents").select("doc_id", "text"), fold("doc_id") != 1)
     return found.select("doc_id", F.coalesce(fold("doc_id") == 1, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op4_token_counts")
+def token_counts_by_section(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_counts.count(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    return found.select("doc_id", "section", "start", "end", F.col("n_tokens").cast("long").alias("n_tokens"), "n_crossing")
