@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barwise.llm import decontaminate, hmm, language, packing, secrets, token_counts, toxicity
+from barwise.llm import decontaminate, gif, hmm, language, packing, secrets, token_counts, toxicity
 from barwise.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,17 @@ def lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def token_counts_by_section(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = token_counts.count(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
     return found.select("doc_id", "section", "start", "end", F.col("n_tokens").cast("long").alias("n_tokens"), "n_crossing")
+
+
+@query("op3_gif_media")
+def gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    found = gif.load(gif.store(docs, keep=["doc_id", "n_bytes"]))
+    payload = F.unhex(F.concat_ws("", F.transform("frames", lambda f: F.hex(f["samples"]))))
+    sums = F.aggregate("frames", F.array_repeat(F.lit(0).cast("long"), gif.BINS), lambda acc, f: F.zip_with(acc, f["histogram"], lambda a, b: a + b))
+    delay = F.aggregate("frames", F.lit(0), lambda acc, f: acc + f["delay"])
+    feature = F.concat_ws(";", F.size("frames").cast("string"), delay.cast("string"), F.concat_ws(",", sums.cast("array<string>")))
+    read = found.select("doc_id", "n_bytes", payload.alias("payload"), "media", feature.alias("feature"))
+    return read.select("doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
+                       F.crc32(F.expr("substring(payload, -64, 64)")).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"),
+                       F.sha2("media", 256).alias("media_sha256"), "feature")
