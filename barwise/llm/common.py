@@ -132,7 +132,7 @@ class Words:
         out = np.zeros(n, np.uint64)
         up, _ = powers(size + 1)
         for j in range(size):
-            out[:n - j] += self.hashes[j:] * up[size - j]
+            out[:max(0, n - j)] += self.hashes[j:] * up[size - j]
         return mix(out)
 
 
