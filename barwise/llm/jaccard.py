@@ -11,11 +11,13 @@ H of any pair in which it is the smaller one: some segment then holds equal
 subsets in both.  The first d segments of a band also emit the subset with each
 one token left out (the one-deletion neighbourhood), so an error there costs two.
 d and the reserve of segments are allocated per band by a cost model (rows that a
-set emits against the chance that empty segments use up its reserve).  A set
+set emits against the chance that empty segments use up its reserve).  With the
+reserve a pair shares not one but ``least`` signatures; only where a set's empty
+segments eat into it (a weak set) may it be fewer.  A set
 whose subsets don't reach H + 1 all the same is ``wild`` and matches by its empty
 segments too, which no partner of it can avoid.
 
-Sets that share signatures make up families.  A family is verified in blocks of ``BLOCK`` sets in order of size,
+Sets that share signatures, enough of them or with a weak set, make up families.  A family is verified in blocks of ``BLOCK`` sets in order of size,
 block against block where the sizes allow a link, on the full token sets; only
 links that join different classes leave a task.  In a family of more than one
 block, sets with more tokens of their own than any link allows are left out
@@ -43,6 +45,7 @@ from barwise.llm.common import SPACES, Words, mix, rows_of, word_table, written
 
 WORD = word_table(SPACES)
 BLOCK = 256
+PEELS = 3  # rounds that drop sets which share too few signatures
 RISK = 1 / 400  # share of sets that may be wild
 WILD_COST = 200.0  # rows that a wild set is reckoned to cost
 
@@ -67,6 +70,7 @@ class Rule:
 class Band:
     low: int
     high: int
+    least: int  # signatures that a linked pair shares, unless its smaller set is weak
     deletions: int
     reserve: int
     segments: int
@@ -86,16 +90,16 @@ def bands(rule: Rule) -> tuple[Band, ...]:
     out, low = [], 1
     while low < 1 << 40:
         high = low * rule.den ** 3 // rule.num ** 3
-        best = None
+        best, least = None, 1 + (rule.errors(low) + 3) // 8
         for d in (0, 1, 2):
-            for reserve in range(d, d + 64):
+            for reserve in range(d + least - 1, d + least + 64):
                 k = max(1, rule.errors(low) + 1 - d + reserve)
                 m = max(1, rule.errors(high) + 1 - d + reserve)
                 per = max(1.0, low * rule.num / rule.den) / m  # tokens of a segment in the smallest set that comes here
-                risk = _tail(k * math.exp(-per), reserve)
+                risk = _tail(k * math.exp(-per), reserve - least + 1)
                 cost = k + d * low / m + WILD_COST * risk
                 if best is None or cost < best[0]:
-                    best = cost, Band(low, high, d, reserve, m)
+                    best = cost, Band(low, high, least, d, reserve, m)
                 if risk < RISK:
                     break
         out.append(best[1])
@@ -139,17 +143,18 @@ def set_ids(tokens: np.ndarray, bounds: np.ndarray, seed: int) -> tuple[np.ndarr
     return mix(a + np.diff(bounds).astype(np.uint64)).view(np.int64), mix(b).view(np.int64)
 
 
-def signatures(tokens: np.ndarray, bounds: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, signature) of every subset emitted; (row, code) of empty segments; and what each row's subsets weigh beyond its H.
+def signatures(tokens: np.ndarray, bounds: np.ndarray, rule: Rule) -> tuple[np.ndarray, ...]:
+    """(row, signature, weak) of every subset emitted; (row, code) of empty segments; and what each row's subsets weigh beyond its H.
 
-    A row where that is below 1 in some band is wild.
+    The low six bits of a signature are its band.  A pair shares at least as many signatures as the subsets of its
+    smaller set weigh beyond H; where that is below the band's ``least`` the row is weak there, and wild below 1.
     """
     table = bands(rule)
     n = np.diff(bounds)
     lows = np.array([b.low for b in table])
-    column = {k: np.array([getattr(b, k) for b in table]) for k in ("deletions", "reserve", "segments")}
+    column = {k: np.array([getattr(b, k) for b in table]) for k in ("least", "deletions", "reserve", "segments")}
     need = np.full(len(n), np.iinfo(np.int32).max, np.int64)
-    rows, sigs, empty_rows, empties = [], [], [], []
+    rows, sigs, weak, empty_rows, empties = [], [], [], [], []
     own = np.searchsorted(lows, n, side="right") - 1
     weight = mix(tokens + np.uint64(0x5851F42D4C957F2D))
     part = mix(tokens ^ np.uint64(0x14057B7EF767814F)) >> np.uint64(20)
@@ -177,14 +182,19 @@ def signatures(tokens: np.ndarray, bounds: np.ndarray, rule: Rule) -> tuple[np.n
         size = np.diff(np.append(start, len(at)))
         total = _sums(weight[at], np.append(start, len(at)))
         salt = mix((b[local] * 1_000_003 + segment).astype(np.uint64))
+        label = b.astype(np.uint64)[local]
+        coded = lambda h, of: (mix(h) & np.uint64(0xFFFFFFFFFFFFFFC0)) | label[of]
         rows.append(which[local[start]])
-        sigs.append(mix(total + salt[start]))
+        sigs.append(coded(total + salt[start], start))
         group = np.repeat(np.arange(len(start)), size)
         cut = (segment < d[local]) & (size[group] > 1)
         rows.append(which[local[cut]])
-        sigs.append(mix(total[group[cut]] - weight[at[cut]] + salt[cut]))
+        sigs.append(coded(total[group[cut]] - weight[at[cut]] + salt[cut], cut))
         have = np.bincount(local[start], minlength=len(which)) + np.bincount(local[start[(segment[start] < d[local[start]]) & (size > 1)]], minlength=len(which))
-        need[which] = np.minimum(need[which], have - rule.errors(n[which]))
+        beyond = have - rule.errors(n[which])
+        need[which] = np.minimum(need[which], beyond)
+        feeble = beyond < column["least"][b]
+        weak += [feeble[local[start]], feeble[local[cut]]]
         full = np.zeros((len(which), int(k.max())), bool) if len(which) * int(k.max()) < 1 << 26 else None
         if full is not None:
             full[local[start], segment[start]] = True
@@ -194,7 +204,7 @@ def signatures(tokens: np.ndarray, bounds: np.ndarray, rule: Rule) -> tuple[np.n
         empty_rows.append(which[r])
         empties.append(b[r] * (1 << 40) + s)
     join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-    return join(rows, np.int64), join(sigs, np.uint64), join(empty_rows, np.int64), join(empties, np.int64), need
+    return join(rows, np.int64), join(sigs, np.uint64), join(weak, bool), join(empty_rows, np.int64), join(empties, np.int64), need
 
 
 def _lists(row: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
@@ -208,7 +218,7 @@ def _describe(batches: Iterator[pa.RecordBatch], rule: Rule, seed: int) -> Itera
         for part in rows_of(batch, "text", 1 << 20):
             tokens, bounds = token_sets(part.column("text"), rule.words)
             sid, check = set_ids(tokens, bounds, seed)
-            _, _, rows, codes, need = signatures(tokens, bounds, rule)
+            _, _, _, rows, codes, need = signatures(tokens, bounds, rule)
             n = np.diff(bounds)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(sid, mask=n == 0), pa.array(check), pa.array(need, pa.int64()),
                                               _lists(rows, codes, part.num_rows)], names=["doc_id", "n", "sid", "chk", "need", "empties"])
@@ -219,8 +229,8 @@ def _signed(batches: Iterator[pa.RecordBatch], rule: Rule, seed: int) -> Iterato
         for part in rows_of(batch, "text", 1 << 20):
             tokens, bounds = token_sets(part.column("text"), rule.words)
             sid, _ = set_ids(tokens, bounds, seed)
-            rows, sigs, _, _, _ = signatures(tokens, bounds, rule)
-            yield pa.RecordBatch.from_arrays([pa.array(sigs.view(np.int64)), pa.array(sid[rows])], names=["sig", "sid"])
+            rows, sigs, weak, _, _, _ = signatures(tokens, bounds, rule)
+            yield pa.RecordBatch.from_arrays([pa.array(sigs.view(np.int64)), pa.array(sid[rows]), pa.array(weak)], names=["sig", "sid", "weak"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], rule: Rule, seed: int) -> Iterator[pa.RecordBatch]:
@@ -317,6 +327,12 @@ def _verify(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.Record
         yield done()
 
 
+def _met(rows: DataFrame) -> DataFrame:
+    """Distinct (sig, sid, weak) of the signatures that two sets or more have, with ``lo``, the least of these sets."""
+    by_sig = W.partitionBy("sig")
+    return rows.withColumns({"lo": F.min("sid").over(by_sig), "hi": F.max("sid").over(by_sig)}).where("lo < hi").select("sig", "sid", "weak", "lo").distinct()
+
+
 def _tables(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, sid, root) per row, root being the least id of the class; and the links between set ids."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -333,10 +349,15 @@ def _tables(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
         F.min("doc_id").alias("first_doc"), F.first("n").alias("n"), F.min("need").alias("need"), F.first("empties").alias("empties"))
     sets = written(sets, "jaccard-sets")
 
-    signed = rows.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(lambda it: _signed(it, rule, seed), "sig long, sid long")
-    by_sig = W.partitionBy("sig")
-    met = signed.withColumns({"lo": F.min("sid").over(by_sig), "hi": F.max("sid").over(by_sig)}).where("lo < hi").select("sig", "sid", "lo").distinct()
-    met = written(met, "jaccard-met")
+    signed = rows.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(lambda it: _signed(it, rule, seed), "sig long, sid long, weak boolean")
+    met = written(_met(signed), "jaccard-met")
+    least = F.array(*[F.lit(b.least) for b in bands(rule)])
+    of_set = W.partitionBy("sid", F.col("sig").bitwiseAND(63))
+    for _ in range(PEELS):  # what shares too little goes; so may then what shared with it
+        enough = met.withColumn("k", F.count(F.lit(1)).over(of_set)).withColumn(
+            "enough", F.col("weak") | (F.col("k") >= least[F.col("sig").bitwiseAND(63).cast("int")]))
+        with_weak = enough.withColumn("by_weak", F.max("weak").over(W.partitionBy("sig"))).where("enough OR by_weak")
+        met = written(_met(with_weak.select("sig", "sid", "weak")), "jaccard-met")
     wild = sets.where("need < 1").select(F.explode("empties").alias("code")).distinct()
     by_empty = sets.select("sid", F.explode("empties").alias("code")).join(wild, "code", "left_semi")
     edges = met.select(F.col("sid").alias("a"), F.col("lo").alias("b"))

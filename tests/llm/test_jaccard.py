@@ -92,9 +92,12 @@ def test_every_link_shares_a_signature_or_is_wild():
             if 100 * inter < 85 * (len(both[0]) + len(both[1]) - inter):
                 continue
             tokens, bounds = np.concatenate(both), np.cumsum([0, len(both[0]), len(both[1])])
-            rows, sigs, erows, codes, need = jaccard.signatures(tokens, bounds, rule)
+            rows, sigs, weak, erows, codes, need = jaccard.signatures(tokens, bounds, rule)
             small = int(np.argmin(np.diff(bounds)))
             shared = np.intersect1d(sigs[rows == 0], sigs[rows == 1])
+            band = int(np.searchsorted([b.low for b in jaccard.bands(rule)], max(np.diff(bounds)), side="right")) - 1
+            if not weak[(rows == small) & (sigs & np.uint64(63) == band)].any():
+                assert (shared & np.uint64(63) == band).sum() >= jaccard.bands(rule)[band].least
             if not len(shared):
                 assert need[small] < 1
                 assert len(np.intersect1d(codes[erows == 0], codes[erows == 1]))
