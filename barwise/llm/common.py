@@ -36,6 +36,16 @@ def fold(doc_id: Column | str, parts: int = 5) -> Column:
     return F.crc32(c.cast("string").cast("binary")) % parts
 
 
+def hash_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """``rows`` rows with the smallest hashes of ``key`` (all of a smaller table).
+
+    A threshold that lets about twice as many through comes first, so that tasks don't each hand on ``rows`` of their own.
+    """
+    n, steps = df.count(), 1 << 40
+    near = df if n <= 4 * rows else df.where(F.pmod(F.xxhash64(key), F.lit(steps)) < F.lit(-(-steps * 2 * rows // n)))
+    return near.orderBy(F.pmod(F.xxhash64(key), F.lit(steps)), key).limit(rows)
+
+
 def rows_of(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose texts hold about ``limit`` bytes; a null text counts as empty."""
     n = batch.num_rows

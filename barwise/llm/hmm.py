@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barwise.llm.common import rows_of, written
+from barwise.llm.common import hash_sample, rows_of, written
 
 STATES = 8
 VOCABULARY = 8192
@@ -94,7 +94,11 @@ class Corpus:
 def corpus(counts: DataFrame, n_docs: int, vocabulary: int = VOCABULARY) -> Corpus:
     total = counts.agg(F.count(F.lit(1)), F.sum("c")).first()
     n_words, n_tokens = total[0], total[1] or 0
-    top = counts.orderBy(F.desc("c"), "word").limit(vocabulary).collect()
+    # from the largest power of two that enough words reach, so that tasks don't each hand on a vocabulary of their own
+    sizes = sorted(counts.groupBy(F.floor(F.log2("c")).alias("e")).count().collect(), reverse=True)
+    reached = np.cumsum([r["count"] for r in sizes]) >= vocabulary
+    least = 2 ** int(sizes[int(np.argmax(reached))]["e"]) if reached.any() else 0
+    top = counts.where(F.col("c") >= least).orderBy(F.desc("c"), "word").limit(vocabulary).collect()
     in_top = sum(r["c"] for r in top)
     return Corpus(n_tokens + n_docs, n_words + (n_docs > 0), n_docs, n_tokens - in_top, n_words - len(top), {bytes(r["word"]): i for i, r in enumerate(top)},
                   np.array([*[r["c"] for r in top], n_tokens - in_top, n_docs], float))
@@ -275,7 +279,7 @@ def score(docs: DataFrame, training: Column, doc_id: str = "doc_id", text: str =
     encoded = written(base.mapInArrow(lambda it: _encode(it, shared.value), schema), "encoded")
 
     learned = encoded.where("training")
-    sample = learned.where(F.col("n_tokens") <= START_TOKENS).orderBy(F.xxhash64("doc_id"), "doc_id").select("syms").limit(start_rows).collect()
+    sample = hash_sample(learned.where(F.col("n_tokens") <= START_TOKENS).select("doc_id", "syms"), "doc_id", start_rows).collect()
     m = first_model([np.frombuffer(bytes(r["syms"]), np.uint16) for r in sample], known.counts, states)
     for _ in range(passes):
         m, _ = baum_welch(learned, m, known.counts)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barwise.llm.common import rows_of
+from barwise.llm.common import hash_sample, rows_of
 
 SAMPLE_ROWS = 20_000
 MAX_FEATURES = 20_000
@@ -110,7 +110,7 @@ def fit(docs: DataFrame, grades: DataFrame, n_grades: int = 2, sample_rows: int
         penalty: float = PENALTY) -> Model:
     """Fit on documents (doc_id, text) and grades (doc_id, grade 0..n_grades)."""
     known = grades.where("doc_id IS NOT NULL AND grade IS NOT NULL").groupBy("doc_id").agg(F.max("grade").cast("int").alias("grade"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)  # bounded by the parameter, so is its broadcast
+    chosen = hash_sample(known, "doc_id", sample_rows)  # bounded by the parameter, so is its broadcast
     sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").mapInArrow(
         _sample_features, T.StructType([docs.schema["doc_id"], T.StructField("grade", T.IntegerType()), T.StructField("features", T.ArrayType(T.StringType()))])).persist()
     try:
