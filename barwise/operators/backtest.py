@@ -9,10 +9,8 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from barwise.functions.rolling import Rolling, clip, safe_div
 
@@ -51,22 +49,38 @@ def hold_rule(df: DataFrame, wanted: str, hold: int, keys=("symbol",), ts: str =
               flat=0.0) -> DataFrame:
     """Follow ``wanted`` but change at most every ``hold`` bars (the first change is free).
 
-    A true recurrence.  A group is one series with one row per session, so the
-    calendar bounds it; groups run in parallel.
+    Each bar points at the bar of the next change, were it a change itself: the
+    first one ``hold`` bars on or later that wants something else.  That is a
+    matter of windows and runs of equal wishes; the chain of pointers from the
+    first wish is followed over one array per series, which the calendar bounds.
     """
-    kind = df.schema[wanted].dataType
-    schema = T.StructType([*df.schema.fields, T.StructField(name, kind)])
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ts)
-        current, since, staged = flat, hold, []
-        for value in pdf[wanted].where(pdf[wanted].notna(), flat):
-            since += 1
-            if value != current and since >= hold:
-                current, since = value, 0
-            staged.append(current)
-        return pdf.assign(**{name: staged})
-    return df.groupBy(*keys).applyInPandas(fold, schema)
+    keys = list(keys)
+    w = Window.partitionBy(*keys).orderBy(ts)
+    x = df.withColumn("_v", F.coalesce(F.col(wanted), F.lit(flat))).withColumn("_i", F.row_number().over(w) - 1)
+    ends = F.lead("_v").over(w).isNull() | (F.lead("_v").over(w) != F.col("_v"))
+    x = x.withColumn("_end", F.min(F.when(ends, F.col("_i"))).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    later = F.lead("_v", hold).over(w)
+    x = x.withColumn("_next", F.when(later != F.col("_v"), F.col("_i") + hold).otherwise(F.lead("_end", hold).over(w) + 1))
+    series = x.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_i", "_next"))).alias("_p"),
+                                  F.min(F.when(F.col("_v") != F.lit(flat), F.col("_i"))).alias("_at"))
+
+    def follow(acc, _):
+        to = F.get(F.col("_p")["_next"], acc["at"])
+        return F.struct(to.alias("at"), F.when(to.isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(to))).alias("out"))
+    begin = F.struct(F.col("_at").alias("at"), F.array("_at").alias("out"))
+    chain = F.aggregate(F.sequence(F.lit(1), F.ceil(F.size("_p") / hold).cast("int")), begin, follow)["out"]
+    changes = series.where("_at IS NOT NULL").select(*keys, F.explode(chain).alias("_i"), F.lit(True).alias("_changed"))
+    x = x.join(changes, [*keys, "_i"], "left").withColumn(
+        name, F.coalesce(F.last(F.when(F.col("_changed"), F.col("_v")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(flat)))
+    return x.select(*df.columns, name)
+
+
+def checked_outcome(fwd: str, keys=("symbol",), ts: str = "ts") -> Column:
+    """The forward return; one that is missing or infinite between the first and the last bar of its series is an error."""
+    w = Window.partitionBy(*keys).orderBy(ts)
+    inside = F.lag(ts).over(w).isNotNull() & F.lead(ts).over(w).isNotNull()
+    broken = F.isnan(fwd) | (F.abs(fwd) == float("inf"))
+    return F.when(broken | (inside & F.col(fwd).isNull()), F.raise_error(F.concat(F.lit("no finite outcome at "), F.col(ts).cast("string"))).cast("double")).otherwise(F.col(fwd))
 
 
 def price(df: DataFrame, cfg: Execution, keys=("symbol",), ts: str = "ts", fwd: str = "fwd_ret") -> DataFrame:
@@ -75,7 +89,7 @@ def price(df: DataFrame, cfg: Execution, keys=("symbol",), ts: str = "ts", fwd:
     m = cfg.max_position
     x = df.withColumn("position", F.coalesce(clip(F.col("staged") * F.col("scale"), -m, m), F.lit(0.0)))
     x = x.withColumns({
-        "gross": F.col("position") * F.coalesce(F.col(fwd), F.lit(0.0)),
+        "gross": F.col("position") * F.coalesce(checked_outcome(fwd, keys, ts), F.lit(0.0)),
         "turnover": F.abs(F.col("position") - F.coalesce(s.lag("position"), F.lit(0.0)))})
     return charge(x, cfg.fee_bps, cfg.slippage_bps)
 
@@ -121,7 +135,7 @@ def backtest_legs(df: DataFrame, signal: str, leg: str, leg_returns: dict[str, s
     x = hold_rule(x, "_want", hold, keys, ts, "held_leg", flat="")
     m = cfg.max_position
     held = F.col("held_leg") != ""
-    realised = F.coalesce(*[F.when(F.col("held_leg") == a, F.col(c)) for a, c in leg_returns.items()], F.lit(0.0))
+    realised = F.coalesce(*[F.when(F.col("held_leg") == a, checked_outcome(c, keys, ts)) for a, c in leg_returns.items()], F.lit(0.0))
     x = x.withColumn("position", F.when(held, clip("scale", -m, m)).otherwise(0.0)).withColumn(
         "gross", F.col("position") * realised)
     before, before_leg = F.coalesce(s.lag("position"), F.lit(0.0)), F.coalesce(s.lag("held_leg"), F.lit(""))

@@ -74,6 +74,8 @@ def fit_logistic(train: DataFrame, features: list[str], label: str, groups, c: f
         coef = sums.groupBy(*groups).applyInPandas(solve, f"{fields}, _b array<double>, _move double").checkpoint()
         if not coef.where(F.col("_move") > tol).limit(1).count():
             break
+    else:
+        raise ValueError(f"logistic fits that did not converge in {steps} steps: {coef.where(F.col('_move') > tol).count()}")
     return scale, coef.drop("_move")
 
 

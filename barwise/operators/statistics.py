@@ -140,42 +140,30 @@ def deflated_sharpe_pvalue(sharpe: Column, n_trials: Column, n_obs: Column, skew
     return F.lit(1.0) - norm_cdf(t)  # each normal function binds its argument once
 
 
-def split_halves(n_folds: int, limit: int = 70) -> list[list[int]]:
-    """In-sample fold sets: all halves, or a fixed sample of ``limit`` when there are more."""
-    half, total = n_folds // 2, math.comb(n_folds, n_folds // 2)
-    if total <= limit:
-        return [list(c) for c in combinations(range(n_folds), half)]
-    picks = np.sort(np.random.default_rng(42).choice(total, size=limit, replace=False))
-    return [_nth_half(n_folds, half, int(i)) for i in picks]
-
-
-def _nth_half(n: int, k: int, rank: int) -> list[int]:
-    """The rank-th k-subset in lexicographic order, without listing those before it."""
-    chosen, first = [], 0
-    for left in range(k, 0, -1):
-        while (block := math.comb(n - first - 1, left - 1)) <= rank:
-            rank -= block
-            first += 1
-        chosen.append(first)
-        first += 1
-    return chosen
+def split_halves(n_folds: int, limit: int | None = None) -> list[list[int]]:
+    """In-sample fold sets: all halves, or ``limit`` of them drawn with a fixed seed."""
+    halves = [list(c) for c in combinations(range(n_folds), n_folds // 2)]
+    if limit is None or len(halves) <= limit:
+        return halves
+    return [halves[i] for i in sorted(np.random.default_rng(42).choice(len(halves), size=limit, replace=False))]
 
 
 def overfitting_probability(matrix: DataFrame, n_folds: int, variant: str = "variant", fold: str = "fold_no",
-                            score: str = "sharpe", keys=()) -> DataFrame:
+                            score: str = "sharpe", keys=(), limit: int | None = None) -> DataFrame:
     """Share of fold halves whose in-sample winner lands in the worse half out of sample.
 
-    ``matrix``: one row per (keys, variant, fold 0..n-1).  Splits are at most 70
-    literal rows exploded onto the matrix; everything is grouped by split.
+    ``matrix``: one row per (keys, variant, fold 0..n-1).  Splits (all halves, or ``limit`` of them) are literal
+    rows exploded onto the matrix; everything is grouped by split.
     """
     keys = list(keys)
-    splits = split_halves(n_folds) if n_folds >= 4 else []
+    splits = split_halves(n_folds, limit) if n_folds >= 4 else []
     if not splits:
         return matrix.groupBy(*keys).agg(F.lit(None).cast("double").alias("pbo"), F.lit(0).cast("long").alias("n_splits"))
-    lits = F.array(*[F.struct(F.lit(i).alias("split"), F.array(*[F.lit(f) for f in s]).alias("folds")) for i, s in enumerate(splits)])
+    masks = F.array(*[F.lit(sum(1 << f for f in half)).cast("long") for half in splits])  # folded to one constant
     checked = F.when(F.col(score).isNull() | F.isnan(score), F.raise_error(F.lit("fold scores must be finite")).cast("double")).otherwise(F.col(score))
-    x = matrix.withColumn("_v", checked).withColumn("_s", F.explode(lits)).withColumn("_in", F.array_contains("_s.folds", F.col(fold)))
-    perf = x.groupBy(*keys, F.col("_s.split").alias("split"), variant).agg(
+    x = matrix.withColumn("_v", checked).withColumn("split", F.explode(masks)).withColumn(
+        "_in", F.expr(f"shiftright(split, CAST(`{fold}` AS INT)) & 1 = 1"))
+    perf = x.groupBy(*keys, "split", variant).agg(
         F.avg(F.when(F.col("_in"), F.col("_v"))).alias("ins"), F.avg(F.when(~F.col("_in"), F.col("_v"))).alias("oos"))
     best = perf.groupBy(*keys, "split").agg(
         F.max_by("oos", F.struct("ins", (-F.col(variant)).alias("t"))).alias("best_oos"), F.count(F.lit(1)).alias("nv"))

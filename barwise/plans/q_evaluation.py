@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barwise.functions.rolling import Rolling
@@ -270,12 +272,15 @@ def fold_logistic(spark, sf):
 
 @query("wf_03_fold_boosting")
 def fold_boosting(spark, sf):
-    """Gradient boosting of the last fold's pooled training rows on Spark ML."""
-    lab = model_frame(spark, sf)
-    last = lab.agg(F.max("fold")).first()[0]
-    lab = lab.where(F.col("fold") == last)
-    x = models.boosted_trees(lab.where("split = 'train'"), lab.where("split = 'test'"), FEATURES, "label", trees=5)
-    return x.groupBy("symbol", "fold").agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("mean_p"))
+    """Gradient boosting of each fold's pooled training rows on Spark ML (five trees a fold)."""
+    b = views.bars(spark, sf)
+    lab = model_frame(spark, sf).persist()
+    parts = []
+    for fold in plan_of(b):
+        own = lab.where(F.col("fold") == fold["fold"])
+        x = models.boosted_trees(own.where("split = 'train'"), own.where("split = 'test'"), FEATURES, "label", trees=5)
+        parts.append(x.groupBy("symbol", "fold").agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("mean_p")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("wf_09_source_ablation")
@@ -460,15 +465,16 @@ def adjusted_pvalues(spark, sf):
 
 @query("pl_01_feature_shuffle")
 def feature_shuffle(spark, sf):
-    """Feature columns permuted on their own, models refitted per run (three runs)."""
+    """Each feature column permuted on its own, models refitted per column, fold and run (three runs)."""
     b = views.bars(spark, sf)
     x = pf.labels(pf.price_volume_features(b), 1).withColumn("scale", bt.vol_scale("ret", bt.Execution(), S))
-    y = st.permute(x, ["trend_50"], 3, seed=1)
-    lab = ev.label_folds(pt.session_index(y), plan_of(b)[-1:])
-    scale, coef = models.fit_logistic(lab.where("split = 'train'"), ["trend_50", "rv_20"], "label", ["symbol", "run"])
-    p = models.predict_logistic(lab.where("split = 'test'"), ["trend_50", "rv_20"], scale, coef, ["symbol", "run"])
-    led = ev.ledger(p.withColumn("dir", F.when(F.col("p") > 0.5, 1.0).otherwise(0.0)), ["symbol", "run"])
-    return led.groupBy("symbol", "run").agg(mt.sharpe("net").alias("sharpe"))
+    y = reduce(DataFrame.unionByName, [st.permute(x, [c], 3, seed=1).withColumn("shuffled", F.lit(c)) for c in FEATURES])
+    lab = ev.label_folds(pt.session_index(y), plan_of(b))
+    by = ["symbol", "shuffled", "fold", "run"]
+    scale, coef = models.fit_logistic(lab.where("split = 'train'"), FEATURES, "label", by)
+    p = models.predict_logistic(lab.where("split = 'test'"), FEATURES, scale, coef, by)
+    led = ev.ledger(p.withColumn("dir", F.when(F.col("p") > 0.5, 1.0).otherwise(0.0)), ["symbol", "shuffled", "run"])
+    return led.groupBy("symbol", "shuffled", "run").agg(mt.sharpe("net").alias("sharpe"))
 
 
 @query("pl_03_session_permutation", sql(
@@ -536,13 +542,15 @@ def deflated_sharpe(spark, sf):
 @query("sx_04_overfitting_probability", sql("""SELECT symbol, avg(CAST(rank / (nv - 1)::DOUBLE >= 0.5 AS INTEGER)) AS pbo, count(*) AS n_splits FROM (
   SELECT symbol, split, any_value(nv) AS nv, count(*) FILTER (WHERE oos > bo) AS rank FROM (SELECT *, count(*) OVER w AS nv, first_value(oos) OVER (PARTITION BY symbol, split ORDER BY ins DESC, candidate) AS bo FROM pf
     WINDOW w AS (PARTITION BY symbol, split)) GROUP BY 1, 2) GROUP BY 1""", "bars", ctes=CAND_CTE + """,
-fs AS (SELECT symbol, candidate, fold - 1 AS f, avg(net) / nullif(stddev_samp(net), 0) * sqrt(252.0) AS sharpe FROM cl WHERE split = 'test' AND fold <= 6 GROUP BY 1, 2, 3),
-sp AS (SELECT a.f || '-' || b.f || '-' || c.f AS split, [a.f, b.f, c.f] AS ins FROM (SELECT unnest(range(6)) AS f) a JOIN (SELECT unnest(range(6)) AS f) b ON a.f < b.f JOIN (SELECT unnest(range(6)) AS f) c ON b.f < c.f),
-pf AS (SELECT symbol, split, candidate, avg(sharpe) FILTER (WHERE list_contains(ins, f)) AS ins, avg(sharpe) FILTER (WHERE NOT list_contains(ins, f)) AS oos FROM fs CROSS JOIN sp GROUP BY 1, 2, 3)"""))
+fs AS (SELECT symbol, candidate, fold - 1 AS f, avg(net) / nullif(stddev_samp(net), 0) * sqrt(252.0) AS sharpe FROM cl WHERE split = 'test' GROUP BY 1, 2, 3),
+nf AS (SELECT max(f) + 1 AS n FROM fs),
+sp AS (SELECT split FROM (SELECT unnest(range(CAST(1 AS BIGINT) << CAST(n AS BIGINT))) AS split, n FROM nf) WHERE bit_count(split) = n // 2 AND n >= 4),
+pf AS (SELECT symbol, split, candidate, avg(sharpe) FILTER (WHERE (split >> CAST(f AS BIGINT)) & 1 = 1) AS ins, avg(sharpe) FILTER (WHERE (split >> CAST(f AS BIGINT)) & 1 = 0) AS oos
+       FROM fs CROSS JOIN sp GROUP BY 1, 2, 3)"""))
 def overfitting(spark, sf):
-    led, _ = candidate_ledger(spark, sf)
-    m = led.where("split = 'test' AND fold <= 6").groupBy("symbol", "candidate", (F.col("fold") - 1).alias("fold_no")).agg(mt.sharpe("net").alias("sharpe"))
-    return st.overfitting_probability(m, 6, variant="candidate", keys=("symbol",))
+    led, plan = candidate_ledger(spark, sf)
+    m = led.where("split = 'test'").groupBy("symbol", "candidate", (F.col("fold") - 1).alias("fold_no")).agg(mt.sharpe("net").alias("sharpe"))
+    return st.overfitting_probability(m, len(plan), variant="candidate", keys=("symbol",))
 
 
 # ---- frozen replays and side joins ---------------------------------------------------------------------

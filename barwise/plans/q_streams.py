@@ -67,8 +67,8 @@ def sticky_stops(spark, sf):
     """The batch equity table replayed as a stream with a sticky stop in state."""
     path = files.scratch(spark, "equity")
     e = lg.equity(*q_ledger.books(spark, sf), width=q_ledger.WIDTH).select("account", "session", "value", "drawdown")
-    e.coalesce(1).write.parquet(path)
-    x = jobs.drain(jobs.sticky_stops(spark.readStream.schema(e.schema).parquet(path)), "stops")
+    e.write.parquet(path)
+    x = jobs.drain_latest(jobs.sticky_stops(spark.readStream.schema(e.schema).parquet(path)), "stops", ["account", "session"], "value")
     return q_ledger.ses(x).select("account", "session", "loss_breach", "dd_breach", "stopped")
 
 

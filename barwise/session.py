@@ -33,11 +33,13 @@ def pin(spark: SparkSession) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The checkpoint folder named by the cluster, or a private one where none is set."""
+    """The shared checkpoint folder of ``spark.checkpoint.dir``; a private one only where all tasks run on this machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     folder = named or tempfile.mkdtemp(prefix="spark-checkpoint-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder

@@ -7,6 +7,7 @@ is how batch and stream are compared.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -75,8 +76,20 @@ def last_marks(ticks: DataFrame, ts: str = "ts", price: str = "price") -> DataFr
 
 # ---- positions --------------------------------------------------------------------------
 
-POSITION_STATE = "quantity double, basis double, realized_pnl double, n_fills long, last_seq long"
-POSITION_ROWS = "account long, symbol string, quantity double, avg_entry double, realized_pnl double, n_fills long, last_seq long"
+POSITION_STATE = "quantity double, basis double, realized_pnl double, n_fills long, n_rejected long, pending string"
+POSITION_ROWS = "account long, symbol string, quantity double, avg_entry double, realized_pnl double, n_fills long, n_rejected long"
+
+
+def _merge_pending(pending: str, frames: Iterator[pd.DataFrame], order: str, columns: list[str], settled: int) -> tuple[list[list], int]:
+    """Waiting and new rows in order, one per order value, and how many new ones came after their place was settled."""
+    rows, late = {r[0]: r for r in json.loads(pending)}, 0
+    for frame in frames:
+        for r in frame[[order, *columns]].itertuples(index=False):
+            if int(r[0]) <= settled:
+                late += 1
+            else:
+                rows.setdefault(int(r[0]), [int(r[0]), *map(float, r[1:])])
+    return [rows[k] for k in sorted(rows)], late
 
 
 def _apply_fill(q: float, basis: float, d: float, px: float) -> tuple[float, float, float]:
@@ -88,44 +101,64 @@ def _apply_fill(q: float, basis: float, d: float, px: float) -> tuple[float, flo
     return after, abs(after) * px if abs(d) > abs(q) else basis * abs(after) / abs(q), gain
 
 
-def running_positions(fills: DataFrame) -> DataFrame:
+def running_positions(fills: DataFrame, disorder: int = 1_000_000) -> DataFrame:
     """Average-cost positions per (account, symbol), updated batch by batch.
 
-    Rows at or below the last sequence number seen are replays and are ignored.
+    Fills may come in any order.  They wait in state, one per sequence number
+    (a replay finds its number taken), until the watermark is ``disorder``
+    numbers past them; then they are settled in order and leave the state.  Every
+    update holds the position with the waiting fills applied too, so the newest
+    row counts all fills so far.  A fill behind the watermark can't be applied
+    in order: Spark drops it, or it is counted in ``n_rejected``.
     """
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        q, basis, gain, n, last = state.get if state.exists else (0.0, 0.0, 0.0, 0, -1)
-        rows = pd.concat(list(frames)).sort_values("seq")
-        for seq, d, px in zip(rows["seq"], rows["signed_qty"], rows["price"]):
-            if seq <= last:
-                continue
-            q, basis, g = _apply_fill(q, basis, float(d), float(px))
-            gain, n, last = gain + g, n + 1, int(seq)
-        state.update((q, basis, gain, n, last))
+        q, basis, gain, n, rejected, pending = state.get if state.exists else (0.0, 0.0, 0.0, 0, 0, "[]")
+        settled = state.getCurrentWatermarkMs() // 1000
+        rows, late = _merge_pending(pending, frames, "seq", ["signed_qty", "price"], settled - 1)
+        rejected += late
+        keep = [r for r in rows if r[0] >= settled]
+        for _, d, px in (r for r in rows if r[0] < settled):
+            q, basis, g = _apply_fill(q, basis, d, px)
+            gain, n = gain + g, n + 1
+        state.update((q, basis, gain, n, rejected, json.dumps(keep)))
+        for _, d, px in keep:
+            q, basis, g = _apply_fill(q, basis, d, px)
+            gain, n = gain + g, n + 1
         yield pd.DataFrame({"account": [key[0]], "symbol": [key[1]], "quantity": [q], "avg_entry": [basis / abs(q) if q else 0.0],
-                            "realized_pnl": [gain], "n_fills": [n], "last_seq": [last]})
-    return fills.groupBy("account", "symbol").applyInPandasWithState(
+                            "realized_pnl": [gain], "n_fills": [n], "n_rejected": [rejected]})
+    timed = fills.withColumn("_at", F.timestamp_seconds("seq")).withWatermark("_at", f"{disorder} seconds")
+    return timed.groupBy("account", "symbol").applyInPandasWithState(
         step, POSITION_ROWS, POSITION_STATE, "update", GroupStateTimeout.NoTimeout)
 
 
-def sticky_stops(equity: DataFrame, daily_loss: float = 0.05, max_drawdown: float = 0.20) -> DataFrame:
-    """Breach flags per account and session with a stop that never resets by itself."""
+def sticky_stops(equity: DataFrame, daily_loss: float = 0.05, max_drawdown: float = 0.20, disorder: str = "3650 days") -> DataFrame:
+    """Breach flags per account and session with a stop that never resets by itself.
+
+    Update mode.  Sessions may come in any order: they wait in state until the watermark has passed them, and
+    each update holds the waiting sessions anew, so the newest row of a session is its result.
+    """
     fields = "account long, session date, value double, drawdown double, loss_breach boolean, dd_breach boolean, stopped boolean"
+    epoch = pd.Timestamp("1970-01-01")
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        previous, stopped = state.get if state.exists else (INITIAL_CASH, False)
-        rows = pd.concat(list(frames)).sort_values("session")
-        loss, dd, stop = [], [], []
-        for value, drop in zip(rows["value"], rows["drawdown"]):
-            loss.append(bool(value / previous - 1.0 <= -daily_loss) if previous else False)
-            dd.append(bool(drop < -max_drawdown))
-            stopped = stopped or loss[-1] or dd[-1]
-            stop.append(stopped)
-            previous = float(value)
-        state.update((previous, stopped))
-        yield rows[["account", "session", "value", "drawdown"]].assign(loss_breach=loss, dd_breach=dd, stopped=stop)
-    return equity.groupBy("account").applyInPandasWithState(
-        step, fields, "previous double, stopped boolean", "append", GroupStateTimeout.NoTimeout)
+        previous, stopped, pending = state.get if state.exists else (INITIAL_CASH, False, "[]")
+        settled = state.getCurrentWatermarkMs() // 86_400_000
+        days = (f.assign(_day=(pd.to_datetime(f["session"]) - epoch).dt.days) for f in frames)
+        rows, _ = _merge_pending(pending, days, "_day", ["value", "drawdown"], settled - 1)
+        saved, out = (previous, stopped), []
+        for day, value, drop in rows:
+            loss = bool(value / previous - 1.0 <= -daily_loss) if previous else False
+            dd = bool(drop < -max_drawdown)
+            stopped = stopped or loss or dd
+            out.append((key[0], (epoch + pd.Timedelta(days=day)).date(), value, drop, loss, dd, stopped))
+            previous = value
+            if day < settled:
+                saved = previous, stopped
+        state.update((*saved, json.dumps([r for r in rows if r[0] >= settled])))
+        yield pd.DataFrame(out, columns=["account", "session", "value", "drawdown", "loss_breach", "dd_breach", "stopped"])
+    timed = equity.withColumn("_at", F.col("session").cast("timestamp")).withWatermark("_at", disorder)
+    return timed.groupBy("account").applyInPandasWithState(
+        step, fields, "previous double, stopped boolean, pending string", "update", GroupStateTimeout.NoTimeout)
 
 
 def stale_symbols(ticks: DataFrame, max_age_ms: int, ts: str = "ts", late: str = "0 seconds") -> DataFrame:
@@ -149,9 +182,11 @@ def stale_symbols(ticks: DataFrame, max_age_ms: int, ts: str = "ts", late: str =
         step, "symbol string, last_ms long", "last_ms long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def deduplicated_alerts(candidates: DataFrame) -> DataFrame:
-    """First alert per (account, dedupe key), kept by stream state."""
-    return candidates.dropDuplicates(["account", "dedupe_key"])
+def deduplicated_alerts(candidates: DataFrame, ts: str | None = None, late: str = "7 days") -> DataFrame:
+    """First alert per (account, dedupe key); with an event time, keys leave the state once the watermark has passed them."""
+    if ts is None:
+        return candidates.dropDuplicates(["account", "dedupe_key"])
+    return candidates.withWatermark(ts, late).dropDuplicatesWithinWatermark(["account", "dedupe_key"])
 
 
 def eligible_news(news: DataFrame, late: str = "36 hours") -> DataFrame:

@@ -153,3 +153,38 @@ def test_global_row_number(spark):
     df = series(spark, range(90)).unionByName(series(spark, range(40), symbol="B"))
     x = global_row_number(df, ["symbol"], "ts", F.date_trunc("month", "ts")).where("row_no <> close + 1")
     assert x.count() == 0
+
+
+@pytest.mark.parametrize("batches", [[[10, 11, 12], [1, 2, 3]], [[2, 1], [3, 2, 10], [12, 11, 1]]])
+def test_stream_positions_take_fills_in_any_order(spark, tmp_path, batches):
+    rows = {k: (k, 2.0 if k % 2 else -3.0, 10.0 + k) for k in (1, 2, 3, 10, 11, 12)}
+    path = str(tmp_path / "in")
+    schema = fills(spark, [rows[1]]).schema
+    for part in batches:
+        fills(spark, [rows[k] for k in part]).coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(schema).parquet(path)
+        query = (jobs.running_positions(stream).writeStream.outputMode("update").foreachBatch(
+            lambda b, i: b.write.mode("append").parquet(str(tmp_path / "out"))).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start())
+        query.awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).orderBy(F.desc("n_fills")).first()
+    q = basis = gain = 0.0
+    for k in sorted(rows):
+        q, basis, g = jobs._apply_fill(q, basis, rows[k][1], rows[k][2])
+        gain += g
+    assert (got["n_fills"], got["quantity"]) == (6, q) and got["realized_pnl"] == pytest.approx(gain)
+
+
+def test_shared_folder_is_required_outside_local_mode(monkeypatch):
+    from barwise.session import ensure_checkpoint_dir
+
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = type("C", (), {"get": staticmethod(lambda key, default=None: default)})
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(Session())

@@ -185,3 +185,26 @@ def test_candidate_catalogue_counts():
     groups = [{"hold": [1, 5], "c": [0.1, 1.0, 10.0]}, {"rate": [0.1], "trees": [50, 100]}]
     rows = ev.candidate_catalogue(groups)
     assert len(rows) == 8 and rows[0] == {"candidate": 0, "hold": 1, "c": 0.1} and rows[7]["trees"] == 100
+
+
+def test_hold_rule_equals_the_walk(spark):
+    import random
+    rng = random.Random(3)
+    for hold in (1, 2, 5):
+        wish = [rng.choice([None, 0.0, 1.0, 1.0, -1.0]) for _ in range(120)]
+        df = spark.createDataFrame([("A", i, v) for i, v in enumerate(wish)] + [("B", i, 0.0) for i in range(3)], "symbol string, ts int, want double")
+        got = [r.staged for r in bt.hold_rule(df, "want", hold).where("symbol = 'A'").orderBy("ts").collect()]
+        current, last, want = 0.0, -hold, []
+        for i, v in enumerate(0.0 if v is None else v for v in wish):
+            if v != current and i - last >= hold:
+                current, last = v, i
+            want.append(current)
+        assert got == want
+
+
+def test_missing_outcome_inside_a_series_is_rejected(spark):
+    rows = [("A", i, 1.0, 1.0, v) for i, v in enumerate([None, 0.01, None, 0.02, None])]
+    df = spark.createDataFrame(rows, "symbol string, ts int, staged double, scale double, fwd_ret double")
+    with pytest.raises(Exception, match="no finite outcome"):
+        bt.price(df, bt.Execution()).collect()
+    assert bt.price(df.where("ts <> 2"), bt.Execution()).count() == 4

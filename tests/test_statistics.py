@@ -85,7 +85,8 @@ def test_halves_follow_lexicographic_order():
     everything = [list(c) for c in combinations(range(10), 5)]
     assert st.split_halves(8) == [list(c) for c in combinations(range(8), 4)]
     picks = np.sort(np.random.default_rng(42).choice(252, size=70, replace=False))
-    assert st.split_halves(10) == [everything[i] for i in picks]
+    assert st.split_halves(10) == everything
+    assert st.split_halves(10, 70) == [everything[i] for i in picks]
 
 
 def test_overfitting_extremes(spark):
