@@ -91,13 +91,15 @@ def revision_intervals(events: DataFrame) -> DataFrame:
 # ---- story clusters ------------------------------------------------------------
 
 def assign_stories(events: DataFrame, order: tuple[str, ...] = ("availability_time", "publication_time"),
-                   hours: int = WINDOW_HOURS, pin_revised: bool = True, fold_rows: int = FOLD_ROWS) -> DataFrame:
+                   hours: int = WINDOW_HOURS, pin: str = "all", fold_rows: int = FOLD_ROWS) -> DataFrame:
     """Add ``canonical_id`` and ``is_copy`` by greedy leader clustering.
 
     Rows of a (symbol, topic) are taken in ``order``; a row within ``hours`` of
     an earlier leader's event time is a copy of the earliest such leader,
-    otherwise it leads.  Blank topics never cluster, nor do events with several
-    rows when ``pin_revised``.
+    otherwise it leads.  Blank topics never cluster.  ``pin`` "all": nor does an
+    event that has several rows among ``events``, whenever they come.  "later":
+    nor do its rows after the first in ``order``, so that a row never changes
+    what was known before it.  "none": every row takes part.
 
     Stretches of time separated by more than the window cannot interact.  Short
     stretches are folded as groups of at most ``fold_rows`` rows; longer ones
@@ -109,11 +111,11 @@ def assign_stories(events: DataFrame, order: tuple[str, ...] = ("availability_ti
         "_et": F.unix_micros("event_time"),
         "_key": F.struct(*[F.unix_micros(c).alias(c) for c in order], F.col("event_id"), F.col("revision"))})
     usable = F.coalesce(F.length(F.trim("topic")), F.lit(0)) > 0
-    if pin_revised:
-        many = x.groupBy("event_id").agg(F.count(F.lit(1)).alias("_rows"))
+    if pin != "none":
+        many = x.groupBy("event_id").agg(F.count(F.lit(1)).alias("_rows"), F.min("_key").alias("_earliest"))
         x = x.join(many, "event_id")
-        usable = usable & (F.col("_rows") == 1)
-    x = x.withColumn("_bucket", F.when(usable, F.floor(F.col("_et") / span)))
+        usable = usable & (F.col("_rows") == 1 if pin == "all" else F.col("_key") == F.col("_earliest"))
+    x = x.withColumn("_bucket", F.when(usable, F.floor(F.col("_et") / span))).drop("_earliest")
     # One row per time bucket: kept, as both the size check and the join read it.
     stretch = _stretches(x.where("_bucket IS NOT NULL"), span).checkpoint()
     x = x.join(stretch, ["symbol", "topic", "_bucket"], "left")
@@ -209,7 +211,7 @@ def _reached(span: int) -> Column:
 
 def deduplicate(events: DataFrame, hours: int = WINDOW_HOURS, fold_rows: int = FOLD_ROWS) -> DataFrame:
     """Keep the first-published copy of each story; corroboration counts it and its copies."""
-    x = assign_stories(events, ("publication_time",), hours, pin_revised=False, fold_rows=fold_rows)
+    x = assign_stories(events, ("publication_time",), hours, pin="none", fold_rows=fold_rows)
     absorbed = x.where("is_copy").groupBy("symbol", "topic", F.col("canonical_id").alias("event_id")).agg(
         F.count(F.lit(1)).alias("_absorbed"))
     kept = x.where("NOT is_copy")
