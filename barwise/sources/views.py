@@ -1,9 +1,9 @@
 """Bars, events, fills and calendars derived from the supplied star schema.
 
-Every view is a plain lazy DataFrame.  Bars come from one partial aggregation
-per (symbol, session): first and last trade are ``min_by``/``max_by``, so a
-symbol that holds most of the trades is combined map-side and never sorted in
-one task.
+Every view is a plain lazy DataFrame.  Bars come from one partial hash
+aggregation per (symbol, session): first and last trade are ``min_by`` and
+``max_by`` of one decimal that packs the order of trades (a struct would force a
+sort of all trades), so a symbol that holds most of them is combined map-side.
 """
 
 from __future__ import annotations
@@ -18,9 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return pin(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ohlcv_from_trades(trades: DataFrame, sequence: list[str]) -> DataFrame:
-    """(symbol, ts, px, qty, sequence...) -> one bar per (symbol, ts)."""
-    order = F.struct(*sequence)
+def packed(*parts: tuple[Column, int]) -> Column:
+    """Non-negative integers, each with its number of digits (38 in all), as one decimal in the same order."""
+    if sum(digits for _, digits in parts) > 38:
+        raise ValueError("a decimal holds 38 digits")
+    text = F.concat(*[F.lpad(c.cast("string"), digits, "0") for c, digits in parts])
+    return text.cast("decimal(38,0)")
+
+
+def ohlcv_from_trades(trades: DataFrame, order: Column) -> DataFrame:
+    """(symbol, ts, px, qty) and the order of trades -> one bar per (symbol, ts)."""
     return trades.groupBy("symbol", "ts").agg(
         F.min_by("px", order).alias("open"), F.max("px").alias("high"),
         F.min("px").alias("low"), F.max_by("px", order).alias("close"),
@@ -34,10 +41,9 @@ def bars(spark: SparkSession, sf_dir: str, by: str = "p_type") -> DataFrame:
     px = F.col("p_retailprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))
     trades = line.join(part, line.l_partkey == part.p_partkey).select(
         "symbol", F.to_date("l_shipdate").cast("timestamp").alias("ts"), px.alias("px"),
-        F.col("l_quantity").alias("qty"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-        "l_extendedprice", "l_discount", "l_tax")
-    return ohlcv_from_trades(trades, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-                                      "l_extendedprice", "l_discount", "l_tax"])
+        F.col("l_quantity").alias("qty"),
+        packed((F.col("l_orderkey"), 14), (F.col("l_linenumber"), 2), (F.col("l_partkey"), 12), (F.col("l_suppkey"), 10)).alias("place"))
+    return ohlcv_from_trades(trades, F.col("place"))
 
 
 def cross_section_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,8 +55,8 @@ def hourly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     trades = raw.select(F.col("event_type").alias("symbol"),
                         F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("ts"),
                         F.col("value").alias("px"), F.lit(1.0).alias("qty"),
-                        F.col("ts").alias("tick"), "event_id")
-    return ohlcv_from_trades(trades, ["tick", "event_id"])
+                        packed((F.unix_micros(F.col("ts").cast("timestamp")), 18), (F.col("event_id"), 18)).alias("place"))
+    return ohlcv_from_trades(trades, F.col("place"))
 
 
 def pit_events(spark: SparkSession, sf_dir: str, revisions: bool = True) -> DataFrame:

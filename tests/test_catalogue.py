@@ -37,3 +37,10 @@ def test_query_equals_sql(spark, sf, name):
 def test_no_nested_loop_or_cartesian_join(spark, sf, name):
     plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_bars_are_hash_aggregated(spark, sf):
+    from barwise.sources import views
+    for view in (views.bars, views.cross_section_bars, views.hourly_bars):
+        plan = view(spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert "HashAggregate" in plan and "SortAggregate" not in plan
