@@ -29,7 +29,7 @@ def sharpe(r) -> Column:
 def sortino(r, target: float = 0.0) -> Column:
     r = F.col(r) if isinstance(r, str) else r
     short = F.least(r - target, F.lit(0.0))
-    return safe_div(F.avg(r) - target, F.sqrt(F.avg(short * short))) * ANNUAL
+    return F.when(F.count(r) >= 2, safe_div(F.avg(r) - target, F.sqrt(F.avg(short * short))) * ANNUAL)
 
 
 def total_return(r) -> Column:
@@ -163,12 +163,16 @@ def quartile_of_rank(rank: Column, n: Column, bins: int = 4) -> Column:
 def auc(df: DataFrame, label: str, score: str, keys: list[str], buckets: int = 64) -> DataFrame:
     """ROC AUC per group from rank sums with ties at half weight.
 
-    Rows are first counted per distinct score, and score ranges are summed
-    before the running count, so no task orders a whole group.
+    Rows are first counted per distinct score, and score ranges (cut at the
+    group's own quantiles) are summed before the running count, so no task orders
+    a whole group, however narrow its scores are.
     """
+    cuts = df.withColumn("_one", F.lit(1)).groupBy("_one", *keys).agg(
+        F.array_distinct(F.percentile_approx(score, [i / buckets for i in range(1, buckets)], 10_000)).alias("_cuts"))
     counts = df.groupBy(*keys, F.col(score).alias("_score")).agg(
         F.count_if(F.col(label) == 1).alias("_pos"), F.count_if(F.col(label) == 0).alias("_neg"))
-    counts = counts.withColumn("_b", F.floor(F.col("_score") * buckets))
+    counts = counts.withColumn("_one", F.lit(1)).join(cuts, ["_one", *keys]).withColumn(
+        "_b", F.size(F.filter("_cuts", lambda c: c <= F.col("_score")))).drop("_one", "_cuts")
     blocks = counts.groupBy(*keys, "_b").agg(F.sum("_neg").alias("_bn"))
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_start", F.coalesce(F.sum("_bn").over(before), F.lit(0))).drop("_bn")

@@ -28,7 +28,7 @@ def count_rules(df: DataFrame, rules: dict[str, Column], keys: tuple[str, ...] =
 
 
 def enforce(report: DataFrame) -> None:
-    broken = report.where("n_bad > 0").orderBy("rule").limit(20).collect()
+    broken = report.where("n_bad > 0").orderBy("rule").collect()
     if broken:
         raise DataQualityError("; ".join(f"{r['rule']}: {r['n_bad']}" for r in broken))
 

@@ -73,7 +73,7 @@ def S_SHARPE(x):
 
 S_BLOCK = {
     "n_obs": "count(*)", "sharpe": S_SHARPE("net"),
-    "sortino": "avg(net) / nullif(sqrt(avg(least(net, 0) * least(net, 0))), 0) * sqrt(252.0)",
+    "sortino": "CASE WHEN count(net) >= 2 THEN avg(net) / nullif(sqrt(avg(least(net, 0) * least(net, 0))), 0) * sqrt(252.0) END",
     "cagr": "CASE WHEN product(1 + net) <= 0 THEN -1 ELSE pow(greatest(product(1 + net), 0), 252.0 / count(*)) - 1 END",
     "max_dd": "min(dd)", "ann_vol": "stddev_samp(net) * sqrt(252.0)",
     "hit_rate": "count(*) FILTER (WHERE net > 0) / nullif(count(*) FILTER (WHERE net <> 0), 0)::DOUBLE",

@@ -134,18 +134,19 @@ def dataset_hash(bars: DataFrame, columns=(*PRICE_COLUMNS, "volume"), ts: str =
     text = F.concat_ws(",", F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), "symbol",
                        *[F.format_string("%.10f", F.col(c)) for c in columns])
     rows = bars.select(F.sha2(text, 256).alias("d"))
-    lanes = [F.sum(F.conv(F.substring("d", 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)")).cast("string")
+    lanes = [F.sum(F.conv(F.substring("d", 1 + 15 * i, 15), 16, 10).cast("decimal(28,0)")).cast("string")
              for i in range(4)]
     total = rows.agg(F.count(F.lit(1)).cast("string").alias("n"), *[x.alias(f"l{i}") for i, x in enumerate(lanes)])
     return total.select(F.sha2(F.concat_ws("|", "n", "l0", "l1", "l2", "l3"), 256).alias("hash_full")).withColumn(
         "hash16", F.substring("hash_full", 1, 16))
 
 
-def save_snapshot(bars: DataFrame, folder: str, name: str, stamp: datetime) -> str:
-    """Write-once parquet snapshot plus a metadata record; an existing target is an error."""
+def save_snapshot(bars: DataFrame, folder: str, name: str, stamp: datetime, files_per_year: int = 4) -> str:
+    """Write-once parquet snapshot plus a metadata record; an existing target is an error.  Raise ``files_per_year`` with the table."""
     digest = dataset_hash(bars).first()["hash16"]
     path = f"{folder}/{stamp:%Y%m%dT%H%M%SZ}_{name}_{digest}"
-    (bars.withColumn("session_year", F.year("ts")).repartition("session_year")
+    spread = F.pmod(F.xxhash64("symbol", "ts"), F.lit(files_per_year))
+    (bars.withColumn("session_year", F.year("ts")).repartition("session_year", spread)
      .write.mode("errorifexists").partitionBy("session_year").parquet(path))
     meta = bars.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("symbol").alias("symbols"),
                     F.min("ts").alias("first"), F.max("ts").alias("last")).withColumns(
@@ -168,12 +169,19 @@ REQUIRED_RECORD_FIELDS = (
     "information_sources", "promotion_state")
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def append_records(new: DataFrame, existing: DataFrame | None, path: str, required=REQUIRED_RECORD_FIELDS) -> None:
-    """Append experiment records as JSON lines; missing fields or known ids are errors."""
+    """Append experiment records as JSON lines; missing fields and ids that the target (or ``existing``) has are errors."""
     key = "experiment_id"
     missing = [c for c in (key, *required) if c not in new.columns]
     if missing:
         raise ValueError(f"experiment record lacks {missing}")
+    if existing is None and path_exists(new.sparkSession, path):
+        existing = new.sparkSession.read.schema(new.select(key).schema).json(path)
     repeated = new.groupBy(key).count().where("count > 1").limit(1).count()
     if repeated or (existing is not None and new.join(existing, key, "left_semi").limit(1).count()):
         raise ValueError("experiment id already recorded")

@@ -188,3 +188,10 @@ def test_shared_folder_is_required_outside_local_mode(monkeypatch):
         conf = type("C", (), {"get": staticmethod(lambda key, default=None: default)})
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         ensure_checkpoint_dir(Session())
+
+
+def test_records_are_not_appended_twice(spark, tmp_path):
+    rows = spark.createDataFrame([("e1", "x")], "experiment_id string, strategy string")
+    files.append_records(rows, None, str(tmp_path / "ledger"), required=("strategy",))
+    with pytest.raises(ValueError, match="already recorded"):
+        files.append_records(rows, None, str(tmp_path / "ledger"), required=("strategy",))
