@@ -73,6 +73,11 @@ ev AS (SELECT * FROM ev0 UNION ALL
 }
 
 
+# Bars of the sessions on which every symbol trades, so that long windows are full.
+CTES["dbars"] = CTES["bars"] + """,
+dbars AS (SELECT * FROM bars WHERE ts IN (SELECT ts FROM bars GROUP BY ts HAVING count(*) = (SELECT count(DISTINCT symbol) FROM bars)))"""
+
+
 def sql(body: str, *views: str, ctes: str = "") -> str:
     """Prefix a SELECT with the view definitions it reads."""
     parts = [CTES[v] for v in views] + ([ctes] if ctes else [])

@@ -11,7 +11,7 @@ from barwise.operators import portfolio as pt
 from barwise.operators import price_features as pf
 from barwise.plans.catalogue import DAY, out, query, s_avg, s_sd, s_stat, sel, sql, stages
 from barwise.plans.q_backtest import S_SHARPE, path_ctes
-from barwise.plans.q_windows import GRID_CTE, LIQ_STAGES, RET, SHOCK_CTE, grid_bars
+from barwise.plans.q_windows import GRID_CTE, LIQ_STAGES, RET, SHOCK_CTE, SHOCK_STAGES, grid_bars, union_grid
 from barwise.sources import views
 
 S = Rolling()
@@ -53,22 +53,15 @@ def composite_signal(spark, sf):
 
 
 SIGNS = {"vshock_1d": -1, "vshock_5d": -1, "vol_mean_rev": -1, "skew_20": 1, "correlation_spike": -1}
-SHORT_STAGES = [
-    {"rv": f"sqrt(({s_avg('(ret*ret)', 20)}) * 252)"},
-    {"refm": s_avg("rv", 20, 21), "refsd": s_sd("rv", 20, 21), "skew_20": s_stat("skewness", "ret", 20),
-     "cref": s_avg("peer_corr", 20, 1)},
-    {"shock": "CASE WHEN refsd <> 0 AND rv IS NOT NULL THEN greatest((rv - refm) / refsd, 0) END"},
-    {"vshock_1d": "lag(shock) OVER (PARTITION BY symbol ORDER BY ts)", "vshock_5d": s_avg("shock", 5, 1),
-     "vol_mean_rev": "rv / nullif(refm, 0)", "correlation_spike": "peer_corr - cref"},
-    {f"{t}_xz": xz(t) for t in SIGNS},
-    {"signal": "(" + " + ".join(f"{t}_xz * {v}" for t, v in SIGNS.items()) + ") / 5.0"}]
-
-
-@query("wn_55_signed_composite", sql(sel("k6", ["symbol", DAY], ["signal"]), "bars",
-                                     ctes=SHOCK_CTE + ",\n" + stages("sh", *SHORT_STAGES, name="k")))
+SIGNED_STAGES = [*SHOCK_STAGES, {f"{t}_xz": xz(t) for t in SIGNS},
+                 {"signal": "(" + " + ".join(f"{t}_xz * {v}" for t, v in SIGNS.items()) + ") / 5.0"}]
+
+
+@query("wn_55_signed_composite", sql(sel("k6", ["symbol", DAY], ["signal"]), "dbars",
+                                     ctes=SHOCK_CTE + ",\n" + stages("sh", *SIGNED_STAGES, name="k")))
 def signed_composite(spark, sf):
-    """All five terms required; short norms keep values on the gappy small tables."""
-    x = pf.volatility_shock_features(grid_bars(spark, sf), norm_bars=20, corr_bars=20)
+    """All five terms required, default norms."""
+    x = pf.volatility_shock_features(union_grid(views.common_bars(spark, sf)))
     x = pt.cross_zscore(x, list(SIGNS))
     x = x.withColumn("signal", pt.mean_signed({f"{t}_xz": v for t, v in SIGNS.items()}))
     return out(x.withColumn("session", views.day()), "symbol", "session", r=["signal"])

@@ -570,7 +570,7 @@ def frozen_replay(spark, sf):
     return out(x, "symbol", "delay", "fee", r=["sharpe", "turnover"])
 
 
-@query("jn_07_benchmark_join", sql(f"SELECT symbol, {DAY}, benchmark, round(bench_close, 6) + 0.0 AS bench_close, round(corr_close, 6) + 0.0 AS corr_close FROM gb", "bars", ctes=q_windows.REV_CTE))
+@query("jn_07_benchmark_join", sql(f"SELECT symbol, {DAY}, benchmark, round(bench_close, 6) + 0.0 AS bench_close, round(corr_close, 6) + 0.0 AS corr_close FROM gb", "bars", ctes="g AS (SELECT * FROM bars),\n" + q_windows.MAPPED_CTE))
 def benchmark_join(spark, sf):
     b = views.bars(spark, sf)
     mapping = F.create_map(*[F.lit(x) for kv in q_windows.BENCH.items() for x in kv])

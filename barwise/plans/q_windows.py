@@ -229,10 +229,11 @@ BENCH = {"STANDARD": "STANDARD", "LARGE": "STANDARD", "MEDIUM": "STANDARD", "SMA
 GRID_CTE = """cal AS (SELECT DISTINCT ts FROM {v}), syms AS (SELECT DISTINCT symbol FROM {v}),
 g AS (SELECT syms.symbol, cal.ts, open, high, low, close, volume FROM syms CROSS JOIN cal LEFT JOIN {v} b
       ON b.symbol = syms.symbol AND b.ts = cal.ts)"""
-REV_CTE = "g AS (SELECT * FROM bars),\nmp(symbol, benchmark) AS (VALUES " + ", ".join(
+MAPPED_CTE = "mp(symbol, benchmark) AS (VALUES " + ", ".join(
     f"('{k}','{v}')" for k, v in BENCH.items()) + """),
 gb AS (SELECT g.*, mp.benchmark, x.close AS bench_close, y.close AS corr_close FROM g JOIN mp USING (symbol)
   LEFT JOIN g x ON x.symbol = mp.benchmark AND x.ts = g.ts LEFT JOIN g y ON y.symbol = 'STANDARD' AND y.ts = g.ts)"""
+REV_CTE = GRID_CTE.format(v="dbars") + ",\n" + MAPPED_CTE
 
 
 def rev_stages(bw=60, zw=252):
@@ -252,37 +253,37 @@ def rev_stages(bw=60, zw=252):
     ]
 
 
-def reversion(spark, sf, **windows):
-    b = views.bars(spark, sf)
-    grid = pf.on_grid(b, "observed")
+def reversion(spark, sf):
+    b = views.common_bars(spark, sf)
+    grid = union_grid(b)
     mapping = F.create_map(*[F.lit(x) for kv in BENCH.items() for x in kv])
     pairs = b.select("symbol").distinct().withColumn("benchmark", mapping[F.col("symbol")])
-    x = pf.factor_reversion_features(pf.with_benchmarks(grid, pairs, "STANDARD"), "STANDARD", **windows)
+    x = pf.factor_reversion_features(pf.with_benchmarks(grid, pairs, "STANDARD"), "STANDARD")
     # The normal score is undone so that SQL can check the rank share behind it.
     return x.withColumn("volatility_pct", norm_cdf(F.col("volatility_percentile")))
 
 
-def _rev(name, cols, bw=60, zw=252):
-    @query(name, sql(sel("f5", ["symbol", DAY], cols), "bars", ctes=REV_CTE + ",\n" + stages("gb", *rev_stages(bw, zw))))
+def _rev(name, cols):
+    @query(name, sql(sel("f5", ["symbol", DAY], cols), "dbars", ctes=REV_CTE + ",\n" + stages("gb", *rev_stages())))
     def run(spark, sf):
-        return out(day(reversion(spark, sf, beta_window=bw, norm_window=zw)), "symbol", "session", r=cols)
+        return out(day(reversion(spark, sf)), "symbol", "session", r=cols)
 
 
-# Short windows on the two benchmark terms: the small tables have gaps that leave few full 252-bar frames.
-_rev("wn_46_rolling_beta_z", ["beta_z"], 20, 20)
+_rev("wn_46_rolling_beta_z", ["beta_z"])
 _rev("wn_47_momentum_deviation", ["momentum_deviation"])
 _rev("wn_48_volatility_percentile", ["volatility_pct"])
-_rev("wn_49_correlation_extreme", ["correlation_extreme"], 20, 20)
+_rev("wn_49_correlation_extreme", ["correlation_extreme"])
 _rev("wn_50_drawdown_recovery", ["drawdown_recovery"])
 _rev("wn_51_reversion_stack", ["beta_z", "momentum_deviation", "volatility_pct", "correlation_extreme", "drawdown_recovery"])
 
 
-SHOCK_CTE = GRID_CTE.format(v="bars") + ",\n" + stages("g", RET, name="r") + """,
+SHOCK_TAIL = ",\n" + stages("g", RET, name="r") + """,
 pairs AS (SELECT a.symbol, a.ts, b.symbol AS peer, a.ret AS ra, b.ret AS rb FROM r1 a JOIN r1 b ON a.ts = b.ts AND a.symbol <> b.symbol),
 pc AS (SELECT symbol, ts, CASE WHEN count(CASE WHEN ra IS NOT NULL AND rb IS NOT NULL THEN 1 END) OVER w = 20 THEN corr(ra, rb) OVER w END AS c
   FROM pairs WINDOW w AS (PARTITION BY symbol, peer ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
 pm AS (SELECT symbol, ts, avg(c) AS peer_corr FROM pc GROUP BY symbol, ts),
 sh AS (SELECT r1.*, peer_corr FROM r1 LEFT JOIN pm USING (symbol, ts))"""
+SHOCK_CTE, PEER_CTE = (GRID_CTE.format(v=v) + SHOCK_TAIL for v in ("dbars", "bars"))
 SHOCK_STAGES = [
     {"rv": f"sqrt(({s_avg('(ret*ret)', 20)}) * 252)"},
     {"refm": s_avg("rv", 232, 21), "refsd": s_sd("rv", 232, 21), "skew_20": s_stat("skewness", "ret", 20),
@@ -293,18 +294,21 @@ SHOCK_STAGES = [
 ]
 
 
-def grid_bars(spark, sf, cross_section=False):
-    b = views.cross_section_bars(spark, sf) if cross_section else views.bars(spark, sf)
+def union_grid(b):
     return pf.on_grid(b, "calendar", b.select(F.to_date("ts").alias("session")).distinct())
 
 
-@query("wn_52_volatility_shock_panel", sql(sel("f4", ["symbol", DAY], pf.SHOCK_FEATURES), "bars",
+def grid_bars(spark, sf, cross_section=False):
+    return union_grid(views.cross_section_bars(spark, sf) if cross_section else views.bars(spark, sf))
+
+
+@query("wn_52_volatility_shock_panel", sql(sel("f4", ["symbol", DAY], pf.SHOCK_FEATURES), "dbars",
                                            ctes=SHOCK_CTE + ",\n" + stages("sh", *SHOCK_STAGES)))
 def shock(spark, sf):
-    return out(day(pf.volatility_shock_features(grid_bars(spark, sf))), "symbol", "session", r=pf.SHOCK_FEATURES)
+    return out(day(pf.volatility_shock_features(union_grid(views.common_bars(spark, sf)))), "symbol", "session", r=pf.SHOCK_FEATURES)
 
 
-@query("jn_10_peer_correlation", sql(sel("sh", ["symbol", DAY], ["peer_corr"]), "bars", ctes=SHOCK_CTE))
+@query("jn_10_peer_correlation", sql(sel("sh", ["symbol", DAY], ["peer_corr"]), "bars", ctes=PEER_CTE))
 def peer_correlation(spark, sf):
     x = pf.average_peer_correlation(grid_bars(spark, sf))
     return out(day(x), "symbol", "session", r=["peer_corr"])

@@ -46,6 +46,13 @@ def bars(spark: SparkSession, sf_dir: str, by: str = "p_type") -> DataFrame:
     return ohlcv_from_trades(trades, F.col("place"))
 
 
+def common_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily bars of the sessions on which every symbol trades."""
+    b = bars(spark, sf_dir)
+    symbols = b.select("symbol").distinct().count()
+    return b.join(b.groupBy("ts").count().where(F.col("count") == symbols).select("ts"), "ts", "left_semi")
+
+
 def cross_section_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars(spark, sf_dir, by="p_brand")
 
