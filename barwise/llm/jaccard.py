@@ -19,9 +19,8 @@ segments too, which no partner of it can avoid.
 
 Sets that share signatures, enough of them or with a weak set, make up families.  A family is verified in blocks of ``BLOCK`` sets in order of size,
 block against block where the sizes allow a link, on the full token sets; only
-links that join different classes leave a task.  In a family of more than one
-block, sets with more tokens of their own than any link allows are left out
-first.  So no list of pairs is ever made, and no group is collected.
+links that join different classes leave a task.  So no list of pairs is ever
+made, and no task holds more than two blocks.
 
 Defined results: a null or empty text, or one without words, is an empty set and
 its own class; fewer words than n are one n-gram; equal sets are one class
@@ -45,7 +44,6 @@ from barwise.llm.common import SPACES, Words, mix, rows_of, word_table, written
 
 WORD = word_table(SPACES)
 BLOCK = 256
-PEELS = 3  # rounds that drop sets which share too few signatures
 RISK = 1 / 400  # share of sets that may be wild
 WILD_COST = 200.0  # rows that a wild set is reckoned to cost
 
@@ -90,9 +88,9 @@ def bands(rule: Rule) -> tuple[Band, ...]:
     out, low = [], 1
     while low < 1 << 40:
         high = low * rule.den ** 3 // rule.num ** 3
-        best, least = None, 1 + (rule.errors(low) + 3) // 8
+        best, least = None, 1 + (rule.errors(low) + 1) // 4
         for d in (0, 1, 2):
-            for reserve in range(d + least - 1, d + least + 64):
+            for reserve in range(d + least - 1, d + least + 96):
                 k = max(1, rule.errors(low) + 1 - d + reserve)
                 m = max(1, rule.errors(high) + 1 - d + reserve)
                 per = max(1.0, low * rule.num / rule.den) / m  # tokens of a segment in the smallest set that comes here
@@ -328,9 +326,9 @@ def _verify(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.Record
 
 
 def _met(rows: DataFrame) -> DataFrame:
-    """Distinct (sig, sid, weak) of the signatures that two sets or more have, with ``lo``, the least of these sets."""
+    """(sig, sid, weak) of the signatures that two sets or more have, with ``lo``, the least of these sets."""
     by_sig = W.partitionBy("sig")
-    return rows.withColumns({"lo": F.min("sid").over(by_sig), "hi": F.max("sid").over(by_sig)}).where("lo < hi").select("sig", "sid", "weak", "lo").distinct()
+    return rows.withColumns({"lo": F.min("sid").over(by_sig), "hi": F.max("sid").over(by_sig)}).where("lo < hi").select("sig", "sid", "weak", "lo")
 
 
 def _tables(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
@@ -350,14 +348,14 @@ def _tables(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     sets = written(sets, "jaccard-sets")
 
     signed = rows.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(lambda it: _signed(it, rule, seed), "sig long, sid long, weak boolean")
-    met = written(_met(signed), "jaccard-met")
+    met = written(_met(signed).distinct(), "jaccard-met")
+    # what shares too little goes, and the signatures that only it shared with others
     least = F.array(*[F.lit(b.least) for b in bands(rule)])
-    of_set = W.partitionBy("sid", F.col("sig").bitwiseAND(63))
-    for _ in range(PEELS):  # what shares too little goes; so may then what shared with it
-        enough = met.withColumn("k", F.count(F.lit(1)).over(of_set)).withColumn(
-            "enough", F.col("weak") | (F.col("k") >= least[F.col("sig").bitwiseAND(63).cast("int")]))
-        with_weak = enough.withColumn("by_weak", F.max("weak").over(W.partitionBy("sig"))).where("enough OR by_weak")
-        met = written(_met(with_weak.select("sig", "sid", "weak")), "jaccard-met")
+    band = F.col("sig").bitwiseAND(63)
+    counted = met.withColumn("k", F.count(F.lit(1)).over(W.partitionBy("sid", band)))
+    enough = F.col("weak") | (F.col("k") >= least[band.cast("int")])
+    marked = counted.withColumn("enough", enough).withColumn("by_weak", F.max("weak").over(W.partitionBy("sig"))).where("enough OR by_weak")
+    met = written(_met(marked.select("sig", "sid", "weak")), "jaccard-met")
     wild = sets.where("need < 1").select(F.explode("empties").alias("code")).distinct()
     by_empty = sets.select("sid", F.explode("empties").alias("code")).join(wild, "code", "left_semi")
     edges = met.select(F.col("sid").alias("a"), F.col("lo").alias("b"))
@@ -369,13 +367,7 @@ def _tables(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     texts = rows.join(family.select(F.col("first_doc").alias("doc_id")).distinct(), "doc_id")
     full = texts.mapInArrow(lambda it: _sets(it, rule, seed), "sid long, n long, tokens array<long>").join(family.select("sid"), "sid", "left_semi")
     full = written(full.dropDuplicates(["sid"]), "jaccard-tokens")
-    hot = family.groupBy("family").count().where(F.col("count") > BLOCK).select("family")
-    in_hot = family.join(hot, "family", "left_semi").select("sid", "family")
-    alone = full.join(in_hot, "sid").select("sid", "family", F.explode("tokens").alias("t")).groupBy("family", "t").agg(
-        F.count(F.lit(1)).alias("df"), F.min("sid").alias("sid")).where("df = 1").groupBy("sid").agg(F.count(F.lit(1)).alias("own"))
-    reach = (F.col("n") + F.floor(F.col("n") * rule.den / rule.num)) * (rule.den - rule.num) / (rule.den + rule.num)
-    alive = family.join(alone, "sid", "left").where(F.coalesce("own", F.lit(0)) <= reach).select("sid", "family", "n")
-    placed = alive.withColumn("block", F.floor((F.row_number().over(W.partitionBy("family").orderBy("n", "sid")) - 1) / BLOCK)).select("sid", "family", "n", "block")
+    placed = family.withColumn("block", F.floor((F.row_number().over(W.partitionBy("family").orderBy("n", "sid")) - 1) / BLOCK)).select("sid", "family", "n", "block")
     placed = written(placed, "jaccard-blocks")
     spans = placed.groupBy("family", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     i, j = spans.select("family", F.col("block").alias("bi"), F.col("hi").alias("hi_i")), spans.select("family", F.col("block").alias("bj"), F.col("lo").alias("lo_j"))
