@@ -154,3 +154,28 @@ def first_values(features: DataFrame, names: list[str], keys=("symbol",), ts: st
     wide = x.groupBy(*keys).agg(*[F.min(F.when(F.col(n).isNotNull(), F.col("_n"))).alias(n) for n in names])
     cells = F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).alias("first_row")) for n in names]))
     return wide.select(*keys, cells.alias("c")).select(*keys, "c.feature", "c.first_row")
+
+
+def assemble_panel(index: DataFrame, sources: dict[str, DataFrame], select: list[str] | None = None, exclude=(), contract: dict | None = None,
+                   keys=("symbol", "ts")) -> DataFrame:
+    """Features of the selected sources on the rows of ``index``, by one equi-join per source.
+
+    Names must be registered for their source in ``contract`` (``HISTORY`` by default), unique over the sources,
+    and excluded names must exist; anything else is an error.
+    """
+    contract, keys = HISTORY if contract is None else contract, list(keys)
+    chosen = list(sources) if select is None else list(select)
+    if unknown := [s for s in chosen if s not in sources or s not in contract]:
+        raise ValueError(f"unknown sources {unknown}")
+    names = {s: [c for c in sources[s].columns if c not in keys] for s in chosen}
+    every = [n for own in names.values() for n in own]
+    if unregistered := sorted(n for s, own in names.items() for n in own if n not in contract[s]):
+        raise ValueError(f"features outside the contract {unregistered}")
+    if repeated := sorted({n for n in every if every.count(n) > 1}):
+        raise ValueError(f"features of several sources {repeated}")
+    if absent := sorted(set(exclude) - set(every)):
+        raise ValueError(f"excluded features that no source has {absent}")
+    panel = index.select(*keys)
+    for s in chosen:
+        panel = panel.join(sources[s].select(*keys, *[n for n in names[s] if n not in exclude]), keys, "left")
+    return panel

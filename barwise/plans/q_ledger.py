@@ -375,10 +375,10 @@ def unregistered(spark, sf):
     "SELECT symbol, count(*) AS n_rows, count(mom_63) AS n_mom, count(amihud_20d) AS n_illiq, round(avg(amihud_20d), 9) AS mean_illiq FROM m1 GROUP BY 1", "bars",
     ctes=stages("bars", *LIQ_STAGES) + ",\nm1 AS (SELECT f4.*, close / lag(close, 63) OVER (PARTITION BY symbol ORDER BY ts) - 1 AS mom_63 FROM f4)"))
 def feature_panel(spark, sf):
-    """Two sources side by side on the bar index with one feature excluded."""
+    """All registered features of two sources on the bar index with one feature excluded."""
     b = views.bars(spark, sf)
-    base = pf.price_volume_features(b).select("symbol", "ts", "mom_63", "trend_50").drop("trend_50")
-    liq = pf.liquidity_features(b).select("symbol", "ts", "amihud_20d")
-    x = b.select("symbol", "ts").join(base, ["symbol", "ts"], "left").join(liq, ["symbol", "ts"], "left")
+    parts = {"price_volume": (pf.price_volume_features(b), gov.HISTORY["price_volume"]), "liquidity": (pf.liquidity_features(b), gov.HISTORY["liquidity"])}
+    sources = {s: x.select("symbol", "ts", *[f for f in known if f in x.columns]) for s, (x, known) in parts.items()}
+    x = gov.assemble_panel(b, sources, exclude=["trend_50"])
     return x.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_rows"), F.count("mom_63").alias("n_mom"), F.count("amihud_20d").alias("n_illiq"),
                                    F.round(F.avg("amihud_20d"), 9).alias("mean_illiq"))

@@ -195,3 +195,19 @@ def test_records_are_not_appended_twice(spark, tmp_path):
     files.append_records(rows, None, str(tmp_path / "ledger"), required=("strategy",))
     with pytest.raises(ValueError, match="already recorded"):
         files.append_records(rows, None, str(tmp_path / "ledger"), required=("strategy",))
+
+
+def test_panel_assembly_checks_names(spark):
+    from barwise.operators import governance as gov
+    index = spark.createDataFrame([("A", 1), ("A", 2)], "symbol string, ts int")
+    one = spark.createDataFrame([("A", 1, 0.5, 1.0)], "symbol string, ts int, x double, y double")
+    two = spark.createDataFrame([("A", 2, 2.0)], "symbol string, ts int, z double")
+    contract = {"s1": {"x": 1, "y": 1}, "s2": {"z": 1}}
+    panel = gov.assemble_panel(index, {"s1": one, "s2": two}, exclude=["y"], contract=contract)
+    assert panel.columns == ["symbol", "ts", "x", "z"]
+    assert [tuple(r) for r in panel.orderBy("ts").collect()] == [("A", 1, 0.5, None), ("A", 2, None, 2.0)]
+    assert gov.assemble_panel(index, {"s1": one, "s2": two}, select=["s2"], contract=contract).columns == ["symbol", "ts", "z"]
+    for bad in (dict(sources={"s1": one, "s2": one}), dict(sources={"s1": one}, exclude=["q"]), dict(sources={"s1": one}, select=["s3"]),
+                dict(sources={"s1": one.withColumn("w", one.x)})):
+        with pytest.raises(ValueError):
+            gov.assemble_panel(index, contract={"s1": {"x": 1, "y": 1}, "s2": {"x": 1, "y": 1}}, **bad)
