@@ -182,3 +182,25 @@ def auc(df: DataFrame, label: str, score: str, keys: list[str], buckets: int = 6
     return x.groupBy(*keys).agg(
         safe_div(wins, F.sum("_pos") * F.sum("_neg").cast("double")).alias("auc"),
         F.sum("_pos").alias("n_pos"), F.sum("_neg").alias("n_neg"))
+
+
+def exact_quantile(df: DataFrame, value: str, q: float, keys: list[str], name: str = "quantile") -> DataFrame:
+    """Interpolated quantile of values from 0 up per group, and their number ``n``, without a buffer of a whole group.
+
+    Values are counted in ranges 1/256 of a power of two wide; only the ranges that hold the two ranks around the
+    quantile are ordered.
+    """
+    x = df.where(F.col(value) >= 0).select(*keys, F.col(value).alias("_v"), F.lit(1).alias("_one"))
+    x = x.withColumn("_b", F.coalesce(F.floor(F.log2("_v") * 256), F.lit(-1 << 40)))
+    by = ["_one", *keys]
+    ranges = x.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(*by).orderBy("_b")
+    ranges = ranges.withColumns({"_before": F.sum("_c").over(w) - F.col("_c"), "_n": F.sum("_c").over(Window.partitionBy(*by))})
+    at = (F.col("_n") - 1) * q
+    ranges = ranges.withColumns({"_lo": F.floor(at), "_hi": F.ceil(at), "_part": at - F.floor(at)})
+    inside = lambda r: (F.col(r) >= F.col("_before")) & (F.col(r) < F.col("_before") + F.col("_c"))
+    near = x.join(ranges.where(inside("_lo") | inside("_hi")), [*by, "_b"])
+    near = near.withColumn("_r", F.col("_before") + F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_v")) - 1)
+    ends = near.groupBy(*by).agg(F.max(F.when(F.col("_r") == F.col("_lo"), F.col("_v"))).alias("_a"), F.max(F.when(F.col("_r") == F.col("_hi"), F.col("_v"))).alias("_z"),
+                                 F.first("_part").alias("_part"), F.first("_n").alias("n"))
+    return ends.select(*keys, (F.col("_a") + (F.col("_z") - F.col("_a")) * F.col("_part")).alias(name), "n")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barwise.functions.rolling import Rolling, clip, safe_div
+from barwise.operators.metrics import exact_quantile
 from barwise.session import ensure_checkpoint_dir
 
 WEDNESDAY = 2
@@ -292,5 +293,5 @@ def capacity_millions(weights: DataFrame, bars: DataFrame, participation: float
     x = weights.join(bars.select("symbol", ts, "close", "volume"), ["symbol", ts], "left")
     x = x.withColumn("_adv", s.mean(F.col("close") * F.col("volume"), 20)).withColumn("_t", F.abs(F.col("w") - s.lag("w")))
     cap = F.when(F.col("_t") > 1e-12, participation * F.col("_adv") / F.col("_t"))
-    return x.withColumn("_cap", cap).where("_cap IS NOT NULL").groupBy(*keys).agg(
-        (F.percentile("_cap", F.lit(0.05)) / 1e6).alias("capacity_millions"), F.count(F.lit(1)).alias("n_trades"))
+    x = exact_quantile(x.withColumn("_cap", cap), "_cap", 0.05, list(keys))
+    return x.select(*keys, (F.col("quantile") / 1e6).alias("capacity_millions"), F.col("n").alias("n_trades"))

@@ -145,3 +145,13 @@ def test_allocator_bounds(spark):
     df = series(spark, [0.01, 0.02, -0.01], column="ret").withColumn("fold", F.lit(1))
     with pytest.raises(Exception, match="bounds"):
         scoring.allocate(df, ["fold"], ["A"], lambda m: {"A": 2.0}).collect()
+
+
+def test_exact_quantile_equals_numpy(spark):
+    from barwise.operators.metrics import exact_quantile
+    rng = np.random.default_rng(3)
+    values = [*rng.lognormal(size=200), 0.0, 0.0, 1.0, 1.0, 1.0]
+    df = spark.createDataFrame([("A", float(v)) for v in values] + [("B", 2.0), ("C", None)], "k string, v double")
+    for q in (0.0, 0.05, 0.5, 0.731, 1.0):
+        got = {r["k"]: (r["quantile"], r["n"]) for r in exact_quantile(df, "v", q, ["k"]).collect()}
+        assert got["A"] == (pytest.approx(np.quantile(values, q)), 205) and got["B"] == (2.0, 1) and "C" not in got
