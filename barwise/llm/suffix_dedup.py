@@ -40,7 +40,7 @@ from barwise.llm.common import flat, mix, powers, prefix_hash, rows_of, span_has
 LENGTH = 200
 GRAM = 64
 SHALLOW = 24
-GROUP = 2000
+GROUP = 100_000  # about 34 MB of regions
 
 
 # ---- deep-shallow sorting -----------------------------------------------------------
@@ -139,9 +139,13 @@ def repeated_windows(regions: list[bytes], leads: list[int], length: int = LENGT
     out: list[list[tuple[int, int]]] = [[] for _ in regions]
     if len(regions) < 2:
         return out
-    _, agree = deep_shallow([r[:lead][::-1] for r, lead in zip(regions, leads)])
+    order, agree = deep_shallow([r[:lead][::-1] for r, lead in zip(regions, leads)])
+    reach = [0] * len(regions)  # how far back a region agrees with any other
+    for k in range(1, len(order)):
+        reach[order[k - 1]] = max(reach[order[k - 1]], agree[k])
+        reach[order[k]] = max(reach[order[k]], agree[k])
     for back in sorted({*agree[1:]}, reverse=True):  # two regions begin to agree ``back`` bytes before the anchor
-        some = [i for i, lead in enumerate(leads) if lead >= back and len(regions[i]) - lead + back >= length]
+        some = [i for i, lead in enumerate(leads) if reach[i] >= back and len(regions[i]) - lead + back >= length]
         if len(some) < 2:
             continue
         order, lcp = deep_shallow([regions[i][leads[i] - back:] for i in some])
