@@ -312,7 +312,8 @@ def removed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: l
         lambda it: _anchor_rows(it, length, gram), "h long, region long, tid long, q long, n long")
     by_h, by_region = W.partitionBy("h"), W.partitionBy("h", "region")
     place = F.struct("tid", "q")
-    met = rows.withColumns({"first": F.min(place).over(by_region), "last": F.max(place).over(by_region)}).withColumns(
+    # dealt once by anchor, which serves all three windows and the distinct below
+    met = rows.repartition("h").withColumns({"first": F.min(place).over(by_region), "last": F.max(place).over(by_region)}).withColumns(
         {"lo": F.min("region").over(by_h), "hi": F.max("region").over(by_h), "any_single": F.max(F.col("first") == F.col("last")).over(by_h)})
     met = met.where((F.col("lo") != F.col("hi")) | (F.col("first") != F.col("last"))).select(
         "h", "tid", "q", "n", (F.col("first") == F.col("last")).alias("single"), (F.col("first") == place).alias("stands"),
