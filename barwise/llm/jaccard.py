@@ -19,8 +19,9 @@ segments too, which no partner of it can avoid.
 
 Sets that share signatures, enough of them or with a weak set, make up families.  A family is verified in blocks of ``BLOCK`` sets in order of size,
 block against block where the sizes allow a link, on the full token sets; only
-links that join different classes leave a task.  So no list of pairs is ever
-made, and no task holds more than two blocks.
+links that join different classes leave a task.  Sets with more tokens of their
+own than any link allows are left out first.  So no list of pairs is ever made,
+and no task holds more than two blocks.
 
 Defined results: a null or empty text, or one without words, is an empty set and
 its own class; fewer words than n are one n-gram; equal sets are one class
@@ -44,6 +45,7 @@ from barwise.llm.common import SPACES, Words, mix, rows_of, word_table, written
 
 WORD = word_table(SPACES)
 BLOCK = 256
+BITMAP = 1 << 24  # bits of the filter that spares tasks the token lists of sets without candidates (2 MB)
 RISK = 1 / 400  # share of sets that may be wild
 WILD_COST = 200.0  # rows that a wild set is reckoned to cost
 
@@ -231,13 +233,26 @@ def _signed(batches: Iterator[pa.RecordBatch], rule: Rule, seed: int) -> Iterato
             yield pa.RecordBatch.from_arrays([pa.array(sigs.view(np.int64)), pa.array(sid[rows]), pa.array(weak)], names=["sig", "sid", "weak"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch], rule: Rule, seed: int) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], rule: Rule, seed: int, wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(sid, tokens) of the sets whose place in the bitmap ``wanted`` is set."""
     for batch in batches:
         for part in rows_of(batch, "text", 1 << 20):
             tokens, bounds = token_sets(part.column("text"), rule.words)
             sid, _ = set_ids(tokens, bounds, seed)
-            lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(tokens.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(sid), pa.array(np.diff(bounds), pa.int64()), lists], names=["sid", "n", "tokens"])
+            place = sid & (BITMAP - 1)
+            keep = np.flatnonzero(((wanted[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1)).astype(bool) & (np.diff(bounds) > 0))
+            lists = pa.array([tokens[bounds[r]:bounds[r + 1]].view(np.int64) for r in keep], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(sid[keep]), lists], names=["sid", "tokens"])
+
+
+def _bitmap(sids: DataFrame) -> np.ndarray:
+    """Which of BITMAP places (of constant size, whatever the number of sets) hold a set id."""
+    place = F.col("sid").bitwiseAND(F.lit(BITMAP - 1))
+    words = sids.select(F.shiftright(place, 6).alias("word"), F.expr("shiftleft(1L, CAST(sid & 63 AS INT))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    out = np.zeros(BITMAP >> 6, np.uint64)
+    for r in words.collect():  # BITMAP / 64 rows at most
+        out[r["word"]] = np.int64(r["bits"]).astype(np.uint64)
+    return out
 
 
 # ---- classes ------------------------------------------------------------------------------
@@ -364,9 +379,14 @@ def _tables(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     family = components(edges, "jaccard-families").select(F.col("id").alias("sid"), F.col("root").alias("family"))
     family = written(family.join(sets.select("sid", "n", "first_doc"), "sid"), "jaccard-members")
 
-    texts = rows.join(family.select(F.col("first_doc").alias("doc_id")).distinct(), "doc_id")
-    full = texts.mapInArrow(lambda it: _sets(it, rule, seed), "sid long, n long, tokens array<long>").join(family.select("sid"), "sid", "left_semi")
-    full = written(full.dropDuplicates(["sid"]), "jaccard-tokens")
+    wanted = docs.sparkSession.sparkContext.broadcast(_bitmap(family))
+    full = rows.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(lambda it: _sets(it, rule, seed, wanted.value), "sid long, tokens array<long>")
+    full = written(full.join(family.select("sid"), "sid", "left_semi").dropDuplicates(["sid"]), "jaccard-tokens")
+    # tokens that no other set of the family has are errors in every pair; half of all tokens are looked at, which errs on the side of keeping
+    half = full.join(family, "sid").select("sid", "family", F.explode(F.filter("tokens", lambda t: t.bitwiseAND(1) == 0)).alias("t"))
+    own = half.groupBy("family", "t").agg(F.count(F.lit(1)).alias("df"), F.min("sid").alias("sid")).where("df = 1").groupBy("sid").agg(F.count(F.lit(1)).alias("own"))
+    reach = (F.col("n") + F.floor(F.col("n") * rule.den / rule.num)) * (rule.den - rule.num) / (rule.den + rule.num)
+    family = family.join(own, "sid", "left").where(F.coalesce("own", F.lit(0)) <= reach)
     placed = family.withColumn("block", F.floor((F.row_number().over(W.partitionBy("family").orderBy("n", "sid")) - 1) / BLOCK)).select("sid", "family", "n", "block")
     placed = written(placed, "jaccard-blocks")
     spans = placed.groupBy("family", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
