@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barwise.llm import decontaminate, gif, hmm, jaccard, language, packing, secrets, suffix_dedup, token_counts, toxicity
+from barwise.llm import (decontaminate, fingerprints, gif, hmm, jaccard, language, lexical_search, packing, secrets, suffix_dedup, token_counts, toxicity,
+                         vector_codes)
 from barwise.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,3 +139,59 @@ def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.removed(docs, keep=["doc_id", "n_bytes"])
     return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
                         F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op11_document_fingerprints")
+def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_next(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+c AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id),
+g AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM c),
+f AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY doc_id, term),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM f, g GROUP BY term, docs),
+i AS (SELECT item_id, term, count(*) AS times FROM (
+        SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY item_id, term),
+s AS (SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + ((75 * n * docs) // terms))))) AS BIGINT) AS score
+      FROM i JOIN f USING (term) JOIN w USING (term) JOIN c USING (doc_id), g GROUP BY item_id, doc_id)
+SELECT item_id, rank, doc_id, score FROM (
+  SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s WHERE score > 0) WHERE rank <= 10
+"""
+
+
+@query("op12_ranked_lexical_search", OP12_SQL)
+def ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _vector_sql(rounds: int = 2) -> str:
+    gap = "list_sum(list_transform(range(1, len(p.x) + 1), lambda i: (p.x[i] - b.x[i]) * (p.x[i] - b.x[i])))"
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS (SELECT vec_id, p.part, min(CAST({gap} AS BIGINT) * 64 + e) AS m FROM p JOIN b{r} AS b ON p.part = b.part GROUP BY vec_id, p.part)")
+        if r < rounds:
+            steps.append(f"""u{r} AS (SELECT part, e, pos, CAST(floor(CAST(sum(c) AS DOUBLE) / count(*)) AS BIGINT) AS c FROM (
+  SELECT a.part, m % 64 AS e, unnest(range(1, len(x) + 1)) AS pos, unnest(x) AS c FROM a{r} AS a JOIN p ON a.vec_id = p.vec_id AND a.part = p.part) GROUP BY part, e, pos),
+b{r + 1} AS (SELECT b.part, b.e, coalesce(n.x, b.x) AS x FROM b{r} AS b LEFT JOIN (SELECT part, e, list(c ORDER BY pos) AS x FROM u{r} GROUP BY part, e) AS n ON b.part = n.part AND b.e = n.e)""")
+    return f"""
+WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT vec_id, part, v[part * (len(v) // 16) + 1:(part + 1) * (len(v) // 16)] AS x FROM (SELECT vec_id, v, unnest(range(0, 16)) AS part FROM k)),
+b0 AS (SELECT p.part, s.e, p.x FROM (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM k ORDER BY vec_id LIMIT 64) AS s JOIN p USING (vec_id)),
+{", ".join(steps)},
+d AS (SELECT sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY part, e, pos)) AS codebooks_sha256
+      FROM (SELECT part, e, unnest(range(1, len(x) + 1)) AS pos, unnest(x) AS c FROM b{rounds})),
+o AS (SELECT vec_id, string_agg(printf('%02x', m % 64), '' ORDER BY part) AS code, CAST(sum(m // 64) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM o JOIN (SELECT vec_id, label FROM k) USING (vec_id), d
+"""
+
+
+@query("op13_vector_code_compression", _vector_sql())
+def vector_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    found = vector_codes.with_label_error(codes)
+    return found.select(F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(vector_codes.books_digest(books)).alias("codebooks_sha256"))
