@@ -30,6 +30,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+class Scratch:
+    """Tables written in the shared checkpoint folder; one that is superseded is deleted there."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.paths = spark, ensure_checkpoint_dir(spark).rstrip("/"), {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path, schema = f"{self.folder}/{name}-{uuid.uuid4().hex}", df.schema
+        df.write.parquet(path)
+        out = self.spark.read.schema(schema).parquet(path)
+        self.paths[id(out)] = out, path
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables of ``write``; nothing that is still to be computed may read them."""
+        for df in tables:
+            _, path = self.paths.pop(id(df))
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def fold(doc_id: Column | str, parts: int = 5) -> Column:
     """crc32 of the id as text, modulo ``parts``."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

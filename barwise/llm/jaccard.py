@@ -17,11 +17,14 @@ segments eat into it (a weak set) may it be fewer.  A set
 whose subsets don't reach H + 1 all the same is ``wild`` and matches by its empty
 segments too, which no partner of it can avoid.
 
-Sets that share signatures, enough of them or with a weak set, make up families.  A family is verified in blocks of ``BLOCK`` sets in order of size,
-block against block where the sizes allow a link, on the full token sets; only
-links that join different classes leave a task.  Sets with more tokens of their
-own than any link allows are left out first.  So no list of pairs is ever made,
-and no task holds more than two blocks.
+Of the signatures that a set shares with others it is looked for by its rarest ones only, so many that a pair which
+shares ``least`` still meets; signatures of common passages drop out.  The sets that meet by one signature are a group,
+and groups with the same members count once.  Each set is compared with the least set of its group, first by parity
+sketches (``SKETCH`` bits, which differ in no more places than the sets in tokens), then by its whole tokens; that alone
+makes one class of a group of near copies, at a linear cost.  Only groups with members of several classes are looked at
+inside: sketches of different classes are compared in blocks of ``BLOCK`` sets, and the few sets left are compared whole,
+block against block.  So sets that meet nobody's sketch cost no tokens, classes are never taken apart into pairs, and
+no task holds more than two blocks.
 
 Defined results: a null or empty text, or one without words, is an empty set and
 its own class; fewer words than n are one n-gram; equal sets are one class
@@ -41,10 +44,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from barwise.llm.common import SPACES, Words, mix, rows_of, word_table, written
+from barwise.llm.common import SPACES, Scratch, Words, mix, rows_of, word_table
 
 WORD = word_table(SPACES)
 BLOCK = 256
+SEEN = 1 << 20  # sets that a task remembers
+SKETCH = 2048  # bits of a set's sketch
 BITMAP = 1 << 24  # bits of the filter that spares tasks the token lists of sets without candidates (2 MB)
 RISK = 1 / 400  # share of sets that may be wild
 WILD_COST = 200.0  # rows that a wild set is reckoned to cost
@@ -225,24 +230,53 @@ def _describe(batches: Iterator[pa.RecordBatch], rule: Rule, seed: int) -> Itera
 
 
 def _signed(batches: Iterator[pa.RecordBatch], rule: Rule, seed: int) -> Iterator[pa.RecordBatch]:
+    """(sig, sid, weak); a task emits the copies of a set once, as long as it remembers it."""
+    seen: set[int] = set()
     for batch in batches:
         for part in rows_of(batch, "text", 1 << 20):
             tokens, bounds = token_sets(part.column("text"), rule.words)
             sid, _ = set_ids(tokens, bounds, seed)
+            new = np.zeros(len(sid), bool)
+            for r, s in enumerate(sid.tolist()):
+                if s not in seen:
+                    new[r] = True
+                    seen.add(s)
+            if len(seen) > SEEN:
+                seen.clear()
             rows, sigs, weak, _, _, _ = signatures(tokens, bounds, rule)
+            rows, sigs, weak = rows[new[rows]], sigs[new[rows]], weak[new[rows]]
             yield pa.RecordBatch.from_arrays([pa.array(sigs.view(np.int64)), pa.array(sid[rows]), pa.array(weak)], names=["sig", "sid", "weak"])
 
 
+def sketch(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """(rows, SKETCH / 64) words: bit i is set where an odd number of the row's tokens falls to i.
+
+    Where two sets differ in k tokens their sketches differ in k bits at most.
+    """
+    place = (mix(tokens ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(SKETCH)).astype(np.int64)
+    row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    key, times = np.unique(row * SKETCH + place, return_counts=True)
+    key = key[times % 2 == 1]
+    bits = np.zeros((len(bounds) - 1) * SKETCH, np.uint8)
+    bits[key] = 1
+    return np.packbits(bits.reshape(-1, SKETCH), axis=1, bitorder="little").view(np.int64) if len(bounds) > 1 else np.zeros((0, SKETCH // 64), np.int64)
+
+
 def _sets(batches: Iterator[pa.RecordBatch], rule: Rule, seed: int, wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(sid, tokens) of the sets whose place in the bitmap ``wanted`` is set."""
+    """(sid, n, sketch, tokens) of the sets whose place in the bitmap ``wanted`` is set."""
     for batch in batches:
         for part in rows_of(batch, "text", 1 << 20):
             tokens, bounds = token_sets(part.column("text"), rule.words)
             sid, _ = set_ids(tokens, bounds, seed)
             place = sid & (BITMAP - 1)
             keep = np.flatnonzero(((wanted[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1)).astype(bool) & (np.diff(bounds) > 0))
-            lists = pa.array([tokens[bounds[r]:bounds[r + 1]].view(np.int64) for r in keep], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(sid[keep]), lists], names=["sid", "tokens"])
+            own = [tokens[bounds[r]:bounds[r + 1]] for r in keep]
+            ends = np.cumsum([0, *map(len, own)])
+            flat = np.concatenate([*own, np.zeros(0, np.uint64)])
+            to_list = lambda values, offsets: pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
+            found = sketch(flat, ends)
+            yield pa.RecordBatch.from_arrays([pa.array(sid[keep]), pa.array(np.diff(ends), pa.int64()), to_list(found.ravel(), np.arange(len(keep) + 1) * found.shape[1]),
+                                              to_list(flat.view(np.int64), ends)], names=["sid", "n", "sketch", "tokens"])
 
 
 def _bitmap(sids: DataFrame) -> np.ndarray:
@@ -257,16 +291,17 @@ def _bitmap(sids: DataFrame) -> np.ndarray:
 
 # ---- classes ------------------------------------------------------------------------------
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, name: str = "components") -> DataFrame:
     """(id, root) of every id in ``edges`` (a, b): the smallest id reachable.  Rounds of hooking to the smallest neighbour."""
     both = edges.where("a <> b").select("a", "b").unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = written(both, name)
+    both = scratch.write(both, name)
     while True:
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         # every neighbour, and the node itself, is tied to the smallest of them instead
         tied = both.join(least, "a").select(F.col("b").alias("x"), F.col("m").alias("y")).unionByName(least.select(F.col("a").alias("x"), F.col("m").alias("y")))
         tied = tied.where("x <> y").distinct()
-        new = written(tied.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(tied.select(F.col("y").alias("a"), F.col("x").alias("b"))).distinct(), name)
+        new = scratch.write(tied.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(tied.select(F.col("y").alias("a"), F.col("x").alias("b"))).distinct(), name)
+        scratch.drop(both)
         # done when every edge ties an id to the least of its class and no id has two
         open_ends = new.where("b < a").groupBy("a").agg(F.count(F.lit(1)).alias("k"), F.max("b").alias("b"))
         middle = open_ends.join(new.where("b < a").select(F.col("a").alias("b")).distinct(), "b", "left_semi").limit(1)
@@ -278,8 +313,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
 # ---- verification ---------------------------------------------------------------------------
 
-def links_within(sets: list[np.ndarray], side: np.ndarray, rule: Rule) -> list[tuple[int, int]]:
-    """Links that join different classes, among sets of one block (all sides equal) or between two."""
+def links_within(sets: list[np.ndarray], known: np.ndarray, rule: Rule) -> list[tuple[int, int]]:
+    """Links among the sets that join different classes; ``known`` has the class of each so far."""
     size = np.array([len(s) for s in sets], np.int64)
     owner = np.repeat(np.arange(len(sets)), size)
     _, token, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -297,8 +332,7 @@ def links_within(sets: list[np.ndarray], side: np.ndarray, rule: Rule) -> list[t
     common = np.rint(inter).astype(np.int64)
     union = size[:, None] + size[None, :] - common
     ok = rule.den * common >= rule.num * union
-    if (side != side[0]).any():
-        ok &= side[:, None] != side[None, :]
+    ok &= known[:, None] != known[None, :]
     ok &= np.tri(len(sets), k=-1, dtype=bool)
     parent = list(range(len(sets)))
 
@@ -318,89 +352,162 @@ def links_within(sets: list[np.ndarray], side: np.ndarray, rule: Rule) -> list[t
 
 def _verify(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
     """Rows in order of (family, bi, bj): links of each such group; one group is held at a time."""
-    key, ids, sides, sets = None, [], [], []
+    key, ids, known, sets = None, [], [], []
 
     def done():
-        found = links_within(sets, np.array(sides), rule) if len(sets) > 1 else []
+        found = links_within(sets, np.array(known), rule) if len(sets) > 1 else []
         return pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in found], pa.int64()), pa.array([ids[j] for _, j in found], pa.int64())], names=["a", "b"])
     for batch in batches:
         fam, bi, bj = (batch.column(c).to_pylist() for c in ("family", "bi", "bj"))
-        side, sid = batch.column("side").to_pylist(), batch.column("sid").to_pylist()
+        cls, sid = batch.column("class").to_pylist(), batch.column("sid").to_pylist()
         tokens = batch.column("tokens")
         for r in range(batch.num_rows):
             k = fam[r], bi[r], bj[r]
             if k != key:
                 if len(ids) > 1:
                     yield done()
-                key, ids, sides, sets = k, [], [], []
+                key, ids, known, sets = k, [], [], []
             ids.append(sid[r])
-            sides.append(side[r])
+            known.append(cls[r])
             sets.append(tokens[r].values.to_numpy(zero_copy_only=False).copy())
     if len(ids) > 1:
         yield done()
 
 
-def _met(rows: DataFrame) -> DataFrame:
-    """(sig, sid, weak) of the signatures that two sets or more have, with ``lo``, the least of these sets."""
+def _near(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
+    """Rows (sig, bi, bj, sid, class, n, sketch) in order of (sig, bi, bj): pairs of different classes whose sketches allow a link."""
+    key, rows = None, []
+
+    def done():
+        sid, cls, n = (np.array([r[k] for r in rows], np.int64) for k in range(3))
+        sketches = np.array([r[3] for r in rows], np.int64).view(np.uint64)
+        a, b = [], []
+        for i in range(len(rows)):
+            gap = np.bitwise_count(sketches[i + 1:] ^ sketches[i]).sum(axis=1, dtype=np.int64)
+            total = n[i + 1:] + n[i]
+            hit = i + 1 + np.flatnonzero((gap * (rule.den + rule.num) <= (rule.den - rule.num) * total) & (cls[i + 1:] != cls[i]))
+            a.append(np.full(len(hit), sid[i]))
+            b.append(sid[hit])
+        a, b = np.concatenate(a), np.concatenate(b)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+    for batch in batches:
+        keys = zip(*(batch.column(c).to_pylist() for c in ("sig", "bi", "bj")))
+        values = zip(*(batch.column(c).to_pylist() for c in ("sid", "class", "n", "sketch")))
+        for k, v in zip(keys, values):
+            if k != key:
+                if len(rows) > 1:
+                    yield done()
+                key, rows = k, []
+            rows.append(v)
+    if len(rows) > 1:
+        yield done()
+
+
+def prefixes(signed: DataFrame, rule: Rule) -> DataFrame:
+    """(sig, sid) of the signatures that a set is looked for by, each held by two sets or more.
+
+    A linked pair shares ``least`` signatures of a band.  So of k signatures that a set shares with others, all but the
+    k - least + 1 rarest can go: one of the pair's is among these in both sets.  Weak sets keep theirs, and so does
+    whoever shares them.
+    """
     by_sig = W.partitionBy("sig")
-    return rows.withColumns({"lo": F.min("sid").over(by_sig), "hi": F.max("sid").over(by_sig)}).where("lo < hi").select("sig", "sid", "weak", "lo")
+    met = signed.withColumns({"lo": F.min("sid").over(by_sig), "hi": F.max("sid").over(by_sig), "by_weak": F.max("weak").over(by_sig)}).where("lo < hi")
+    met = met.groupBy("sig", "sid").agg(F.max("weak").alias("weak"), F.max("by_weak").alias("by_weak"))
+    met = met.withColumn("df", F.count(F.lit(1)).over(by_sig))
+    band = F.col("sig").bitwiseAND(63).cast("int")
+    own = W.partitionBy("sid", band)
+    ranked = met.withColumns({"k": F.count(F.lit(1)).over(own), "rank": F.row_number().over(own.orderBy("df", "sig"))})
+    least = F.array(*[F.lit(b.least) for b in bands(rule)])[band]
+    return ranked.where(F.col("by_weak") | (F.col("rank") <= F.col("k") - least + 1)).select("sig", "sid")
+
+
+def groups_of(rows: DataFrame) -> DataFrame:
+    """(sig, sid, hub, size) of the groups of two sets or more; of groups with the same members one stays.  ``hub`` is the least member."""
+    per = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.min("sid").alias("hub"), F.sum(F.xxhash64("sid").cast("decimal(38,0)")).alias("members")).where("size > 1")
+    one = per.groupBy("size", "hub", "members").agg(F.min("sig").alias("sig")).select("sig", "hub", "size")
+    return rows.join(one, "sig")
+
+
+def _gap(a: str, b: str):
+    """Bits in which two sketches differ."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+
+
+def _confirmed(pairs: DataFrame, full: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs (a, b) that link: sketches first, then the whole sets."""
+    of = lambda side, *names: full.select(F.col("sid").alias(side), *[F.col(n).alias(f"{side}_{n}") for n in names])
+    near = pairs.join(of("a", "n", "sketch"), "a").join(of("b", "n", "sketch"), "b").where(
+        _gap("a_sketch", "b_sketch") * (rule.den + rule.num) <= (rule.den - rule.num) * (F.col("a_n") + F.col("b_n"))).select("a", "b", "a_n", "b_n")
+    both = near.join(of("a", "tokens"), "a").join(of("b", "tokens"), "b").withColumn("common", F.size(F.array_intersect("a_tokens", "b_tokens")))
+    return both.where(F.col("common") * rule.den >= (F.col("a_n") + F.col("b_n") - F.col("common")) * rule.num).select("a", "b")
+
+
+def near_pairs(groups: DataFrame, classes: DataFrame, full: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs (a, b) of one group and different classes whose sketches allow a link; groups of one class cost nothing."""
+    classed = groups.join(classes.select(F.col("id").alias("sid"), "root"), "sid", "left").select("sig", "sid", "size", F.coalesce("root", "sid").alias("class"))
+    mixed = classed.groupBy("sig").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("sig")
+    rows = classed.join(mixed, "sig").join(full.select("sid", "n", "sketch"), "sid")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("sid"), blocks).cast("int")
+    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("own")).alias("bi"), F.greatest(x, F.col("own")).alias("bj")))
+    dealt = rows.withColumns({"blocks": blocks, "own": own}).withColumn("pair", F.explode(pair)).select("sig", "pair.bi", "pair.bj", "sid", "class", "n", "sketch")
+    work = dealt.repartition("sig", "bi", "bj").sortWithinPartitions("sig", "bi", "bj")
+    return work.mapInArrow(lambda it: _near(it, rule), "a long, b long").distinct()
+
+
+def _family_links(pairs: DataFrame, classes: DataFrame, full: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
+    """Links (a, b) between classes among the sets of ``pairs``: families of such sets, block against block on the whole sets."""
+    family = scratch.write(components(pairs, scratch, "jaccard-families").select(F.col("id").alias("sid"), F.col("root").alias("family")).join(full.select("sid", "n"), "sid"), "jaccard-members")
+    per = family.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("own")).alias("bi"), F.greatest(x, F.col("own")).alias("bj")))
+    placed = family.join(per, "family").withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")).withColumn("pair", F.explode(pair))
+    labelled = placed.select("family", "pair.bi", "pair.bj", "own", "sid").join(classes.select(F.col("id").alias("sid"), "root"), "sid", "left")
+    work = labelled.select("family", "bi", "bj", "own", "sid", F.coalesce("root", "sid").alias("class")).join(full.select("sid", "tokens"), "sid")
+    work = work.repartition("family", "bi", "bj").sortWithinPartitions("family", "bi", "bj")
+    return work.mapInArrow(lambda it: _verify(it, rule), "a long, b long")
 
 
 def _tables(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, sid, root) per row, root being the least id of the class; and the links between set ids."""
+    scratch = Scratch(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     seed = 0
     while True:  # set ids of 64 bits; another seed if two sets ever got the same
         def described(it, s=seed):
             return _describe(it, rule, s)
-        facts = written(rows.mapInArrow(described, "doc_id long, n long, sid long, chk long, need long, empties array<long>"), "jaccard-facts")
+        facts = scratch.write(rows.mapInArrow(described, "doc_id long, n long, sid long, chk long, need long, empties array<long>"), "jaccard-facts")
         twice = facts.where("sid IS NOT NULL").groupBy("sid").agg(F.min("chk").alias("lo"), F.max("chk").alias("hi")).where("lo <> hi")
         if not twice.take(1):
             break
+        scratch.drop(facts)
         seed += 1
-    sets = facts.where("sid IS NOT NULL AND doc_id IS NOT NULL").groupBy("sid").agg(
-        F.min("doc_id").alias("first_doc"), F.first("n").alias("n"), F.min("need").alias("need"), F.first("empties").alias("empties"))
-    sets = written(sets, "jaccard-sets")
-
-    signed = rows.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(lambda it: _signed(it, rule, seed), "sig long, sid long, weak boolean")
-    met = written(_met(signed).distinct(), "jaccard-met")
-    # what shares too little goes, and the signatures that only it shared with others
-    least = F.array(*[F.lit(b.least) for b in bands(rule)])
-    band = F.col("sig").bitwiseAND(63)
-    counted = met.withColumn("k", F.count(F.lit(1)).over(W.partitionBy("sid", band)))
-    enough = F.col("weak") | (F.col("k") >= least[band.cast("int")])
-    marked = counted.withColumn("enough", enough).withColumn("by_weak", F.max("weak").over(W.partitionBy("sig"))).where("enough OR by_weak")
-    met = written(_met(marked.select("sig", "sid", "weak")), "jaccard-met")
-    wild = sets.where("need < 1").select(F.explode("empties").alias("code")).distinct()
-    by_empty = sets.select("sid", F.explode("empties").alias("code")).join(wild, "code", "left_semi")
-    edges = met.select(F.col("sid").alias("a"), F.col("lo").alias("b"))
-    hubs = by_empty.groupBy("code").agg(F.min("sid").alias("c"))
-    edges = edges.unionByName(by_empty.join(hubs, "code").select(F.col("sid").alias("a"), F.col("c").alias("b"))).where("a <> b").distinct()
-    family = components(edges, "jaccard-families").select(F.col("id").alias("sid"), F.col("root").alias("family"))
-    family = written(family.join(sets.select("sid", "n", "first_doc"), "sid"), "jaccard-members")
-
-    wanted = docs.sparkSession.sparkContext.broadcast(_bitmap(family))
-    full = rows.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(lambda it: _sets(it, rule, seed, wanted.value), "sid long, tokens array<long>")
-    full = written(full.join(family.select("sid"), "sid", "left_semi").dropDuplicates(["sid"]), "jaccard-tokens")
-    # tokens that no other set of the family has are errors in every pair; half of all tokens are looked at, which errs on the side of keeping
-    half = full.join(family, "sid").select("sid", "family", F.explode(F.filter("tokens", lambda t: t.bitwiseAND(1) == 0)).alias("t"))
-    own = half.groupBy("family", "t").agg(F.count(F.lit(1)).alias("df"), F.min("sid").alias("sid")).where("df = 1").groupBy("sid").agg(F.count(F.lit(1)).alias("own"))
-    reach = (F.col("n") + F.floor(F.col("n") * rule.den / rule.num)) * (rule.den - rule.num) / (rule.den + rule.num)
-    family = family.join(own, "sid", "left").where(F.coalesce("own", F.lit(0)) <= reach)
-    placed = family.withColumn("block", F.floor((F.row_number().over(W.partitionBy("family").orderBy("n", "sid")) - 1) / BLOCK)).select("sid", "family", "n", "block")
-    placed = written(placed, "jaccard-blocks")
-    spans = placed.groupBy("family", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    i, j = spans.select("family", F.col("block").alias("bi"), F.col("hi").alias("hi_i")), spans.select("family", F.col("block").alias("bj"), F.col("lo").alias("lo_j"))
-    pairs = i.join(j, "family").where((F.col("bi") <= F.col("bj")) & (F.col("lo_j") * rule.num <= F.col("hi_i") * rule.den))
-    left = placed.join(pairs.withColumn("block", F.col("bi")), ["family", "block"]).select("sid", "family", "bi", "bj", F.lit(0).alias("side"))
-    right = placed.join(pairs.where("bi < bj").withColumn("block", F.col("bj")), ["family", "block"]).select("sid", "family", "bi", "bj", F.lit(1).alias("side"))
-    work = left.unionByName(right).join(full.select("sid", "tokens"), "sid").repartition("family", "bi", "bj").sortWithinPartitions("family", "bi", "bj")
-    links = written(work.mapInArrow(lambda it: _verify(it, rule), "a long, b long"), "jaccard-links")
-    classes = components(links, "jaccard-classes")
-    named = classes.join(sets.select(F.col("sid").alias("id"), "first_doc"), "id").groupBy("root").agg(F.min("first_doc").alias("least"))
-    label = classes.join(named, "root").select(F.col("id").alias("sid"), "least")
-    of_set = sets.select("sid", "first_doc").join(label, "sid", "left").select("sid", F.coalesce("least", "first_doc").alias("root"))
-    out = facts.select("doc_id", "n", "sid").join(of_set, "sid", "left").select("doc_id", "n", "sid", F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("doc_id")).alias("root"))
+    named = facts.where("sid IS NOT NULL AND doc_id IS NOT NULL")
+
+    usable = rows.where("doc_id IS NOT NULL AND text IS NOT NULL")
+    signed = usable.mapInArrow(lambda it: _signed(it, rule, seed), "sig long, sid long, weak boolean")
+    wild = named.where("need < 1").select(F.explode("empties").alias("sig")).distinct()
+    by_empty = named.select("sid", F.explode("empties").alias("sig")).join(wild, "sig", "left_semi").distinct()
+    kept = scratch.write(prefixes(signed, rule).unionByName(by_empty.select("sig", "sid")), "jaccard-prefixes")
+    groups = scratch.write(groups_of(kept), "jaccard-groups")
+    scratch.drop(kept)
+    wanted = docs.sparkSession.sparkContext.broadcast(_bitmap(groups.select("sid").distinct()))
+    full = usable.mapInArrow(lambda it: _sets(it, rule, seed, wanted.value), "sid long, n long, sketch array<long>, tokens array<long>")
+    full = scratch.write(full.dropDuplicates(["sid"]), "jaccard-sets")
+    # every set meets the hub of its group; only groups whose members are of several classes then are looked at inside
+    star = groups.where("sid <> hub").select(F.col("hub").alias("a"), F.col("sid").alias("b")).distinct()
+    links = scratch.write(_confirmed(star, full, rule), "jaccard-links")
+    classes = scratch.write(components(links, scratch), "jaccard-classes")
+    pairs = scratch.write(near_pairs(groups, classes, full, rule), "jaccard-pairs")
+    if pairs.take(1):
+        more = scratch.write(_family_links(pairs, classes, full, rule, scratch), "jaccard-links")
+        links = links.unionByName(more)
+        classes = scratch.write(components(links, scratch), "jaccard-classes")
+    scratch.drop(groups, pairs, full)
+    first = named.groupBy("sid").agg(F.min("doc_id").alias("first_doc"))
+    joined = first.join(classes.select(F.col("id").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    least = joined.groupBy("root").agg(F.min("first_doc").alias("least"))
+    label = joined.join(least, "root").select("sid", F.col("least").alias("root"))
+    out = facts.select("doc_id", "n", "sid").join(label, "sid", "left").select("doc_id", "n", "sid", F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("doc_id")).alias("root"))
     return out.withColumn("root", F.when(F.col("doc_id").isNotNull(), F.col("root"))), links
 
 

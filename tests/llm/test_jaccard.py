@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from barwise.llm import jaccard
 
@@ -77,6 +78,40 @@ def test_empty_table(spark):
     assert jaccard.join(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+def test_a_chain_of_sets_that_share_signatures_costs_a_linear_number_of_comparisons(spark):
+    """Each set shares four fifths of its words with the next one and less with others: one family by signatures, no link."""
+    n = 20_000
+    words = lambda i: " ".join(f"p{i}x{j}" for j in range(20))
+    df = spark.createDataFrame([(i, " ".join(words(i + k) for k in range(5))) for i in range(n)], "doc_id long, text string").repartition(8)
+    rule = jaccard.Rule(4, 85, 100)
+    signed = df.mapInArrow(lambda it: jaccard._signed(it, rule, 0), "sig long, sid long, weak boolean")
+    everyone = signed.groupBy("sig").agg({"sid": "count"}).where("`count(sid)` > 1").count()
+    groups = jaccard.groups_of(jaccard.prefixes(signed, rule)).cache()
+    assert everyone > 2 * n  # they do meet
+    compared = groups.agg(F.sum(F.col("size") - 1)).first()[0]  # a set meets the members of its groups at most
+    assert compared <= 8 * n and groups.agg({"size": "max"}).first()[0] <= 5
+    found = jaccard.join(df)
+    assert found.where("component_id = doc_id").count() == n
+
+
+def test_a_large_group_of_near_copies_is_taken_by_its_hub(spark):
+    """Every copy meets the least set; no pairs inside the group are looked at."""
+    base = [f"b{j}" for j in range(200)]
+    texts = [" ".join(base[:i % 190] + [f"new{i}"] + base[i % 190:]) for i in range(1500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    assert jaccard.join(df).where("component_id <> 0").count() == 0
+
+
+def test_sketches_never_exclude_a_link():
+    import numpy as np
+    rng = np.random.default_rng(2)
+    for n in (5, 300, 6000):
+        a = np.unique(rng.integers(0, 1 << 62, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[n // 8:], rng.integers(0, 1 << 62, n // 9, dtype=np.uint64)]))
+        s = jaccard.sketch(np.concatenate([a, b]), np.cumsum([0, len(a), len(b)])).view(np.uint64)
+        assert np.bitwise_count(s[0] ^ s[1]).sum() <= len(np.setxor1d(a, b))
+
+
 def test_every_link_shares_a_signature_or_is_wild():
     import numpy as np
     rule = jaccard.Rule()
