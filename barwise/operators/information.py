@@ -19,11 +19,10 @@ INFO_FEATURES = ("info_sentiment", "info_abs_sentiment", "info_attention", "info
                  "info_disagreement", "info_intensity", "info_corroboration")
 
 
-def information_features(bars: DataFrame, events: DataFrame, half_life: float = 5.0, deduplicate: bool = True,
-                         fold_rows: int = 200_000, pin: str = "all") -> DataFrame:
+def information_features(bars: DataFrame, events: DataFrame, half_life: float = 5.0, deduplicate: bool = True, pin: str = "all") -> DataFrame:
     """Eight features for every bar; zeros where no event is live.  With ``pin`` "later" no row changes the past (see ``assign_stories``)."""
     keep = 0.5 ** (1.0 / half_life)
-    stories = assign_stories(events, pin=pin, fold_rows=fold_rows) if deduplicate else events.withColumns(
+    stories = assign_stories(events, pin=pin) if deduplicate else events.withColumns(
         {"canonical_id": F.col("event_id"), "is_copy": F.lit(False)})
     # Read four times below; written once to the checkpoint folder instead of clustering four times.
     ensure_checkpoint_dir(events.sparkSession)

@@ -9,17 +9,15 @@ independent stretches of time.
 from __future__ import annotations
 
 from bisect import bisect_left
-from functools import reduce
+from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barwise.operators.validation import require_zoned_time
-from barwise.session import ensure_checkpoint_dir
 
 WINDOW_HOURS = 12
-FOLD_ROWS = 200_000
 
 
 def available_asof(events: DataFrame, when: str) -> DataFrame:
@@ -91,7 +89,7 @@ def revision_intervals(events: DataFrame) -> DataFrame:
 # ---- story clusters ------------------------------------------------------------
 
 def assign_stories(events: DataFrame, order: tuple[str, ...] = ("availability_time", "publication_time"),
-                   hours: int = WINDOW_HOURS, pin: str = "all", fold_rows: int = FOLD_ROWS) -> DataFrame:
+                   hours: int = WINDOW_HOURS, pin: str = "all") -> DataFrame:
     """Add ``canonical_id`` and ``is_copy`` by greedy leader clustering.
 
     Rows of a (symbol, topic) are taken in ``order``; a row within ``hours`` of
@@ -101,11 +99,12 @@ def assign_stories(events: DataFrame, order: tuple[str, ...] = ("availability_ti
     nor do its rows after the first in ``order``, so that a row never changes
     what was known before it.  "none": every row takes part.
 
-    Stretches of time separated by more than the window cannot interact.  Short
-    stretches are folded as groups of at most ``fold_rows`` rows; longer ones
-    are solved by rounds of aggregation, whatever their size.
+    Of rows with the same event time only the first in order can lead, so the
+    leaders are found among distinct times, which the clock bounds and not the
+    number of rows.  Stretches of time that are further apart than the window
+    don't touch; each is read once in order, and all that is held of it are its
+    leaders, one per window at most.  Rows then meet the leaders around them.
     """
-    ensure_checkpoint_dir(events.sparkSession)
     span = hours * 3_600_000_000
     x = events.withColumns({
         "_et": F.unix_micros("event_time"),
@@ -115,103 +114,62 @@ def assign_stories(events: DataFrame, order: tuple[str, ...] = ("availability_ti
         many = x.groupBy("event_id").agg(F.count(F.lit(1)).alias("_rows"), F.min("_key").alias("_earliest"))
         x = x.join(many, "event_id")
         usable = usable & (F.col("_rows") == 1 if pin == "all" else F.col("_key") == F.col("_earliest"))
-    x = x.withColumn("_bucket", F.when(usable, F.floor(F.col("_et") / span))).drop("_earliest")
-    # One row per time bucket: kept, as both the size check and the join read it.
-    stretch = _stretches(x.where("_bucket IS NOT NULL"), span).checkpoint()
-    x = x.join(stretch, ["symbol", "topic", "_bucket"], "left")
-    narrow = x.where("_bucket IS NOT NULL").select("symbol", "topic", "_bucket", "_stretch", "_size", "_et", "_key")
-    small = narrow.where(F.col("_size") <= fold_rows)
-    solved = _fold_stretches(small, span)
-    large = narrow.where(F.col("_size") > fold_rows)
-    if stretch.where(F.col("_size") > fold_rows).limit(1).count():
-        solved = solved.unionByName(_solve_by_rounds(large, span))
-    out = x.join(solved, ["symbol", "topic", "_key"], "left")
-    leader = F.coalesce("_leader", F.col("event_id"))
-    return out.withColumns({"canonical_id": leader, "is_copy": F.coalesce("_copy", F.lit(False))}).drop(
-        "_et", "_key", "_rows", "_bucket", "_stretch", "_size", "_leader", "_copy")
+    x = x.withColumn("_bucket", F.when(usable, F.floor(F.col("_et") / span))).drop("_earliest", "_rows")
+    near = _near(story_leaders(x.where("_bucket IS NOT NULL"), span))
+    hits = F.filter("_near", lambda c: F.abs(c["_et"] - F.col("_et")) <= span)
+    out = x.join(near, ["symbol", "topic", "_bucket"], "left").withColumn("_best", F.array_min(hits)["_key"])
+    leader = F.coalesce("_best.event_id", F.col("event_id"))
+    return out.withColumns({"canonical_id": leader, "is_copy": F.coalesce(F.col("_best") != F.col("_key"), F.lit(False))}).drop(
+        "_et", "_key", "_bucket", "_near", "_best")
+
+
+def story_leaders(rows: DataFrame, span: int) -> DataFrame:
+    """(symbol, topic, _home, _c) of every leader, ``_c`` holding its key and event time."""
+    first = rows.groupBy("symbol", "topic", "_bucket", "_et").agg(F.min("_key").alias("_key"))
+    in_order = first.join(_stretches(first, span), ["symbol", "topic", "_bucket"]).select(
+        "symbol", "topic", "_stretch", "_bucket", "_et", "_key").repartition("symbol", "topic", "_stretch").sortWithinPartitions(
+        "symbol", "topic", "_stretch", "_key")
+
+    def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, times = None, []  # event times of the leaders of one stretch, ascending
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("symbol", "topic", "_stretch", "_et")))
+            leads = []
+            for symbol, topic, stretch, t in rows:
+                if (symbol, topic, stretch) != group:
+                    group, times = (symbol, topic, stretch), []
+                at = bisect_left(times, t)
+                free = not (at < len(times) and times[at] - t <= span) and not (at and t - times[at - 1] <= span)
+                if free:
+                    times.insert(at, t)
+                leads.append(free)
+            yield batch.filter(pa.array(leads, pa.bool_()))
+    leaders = in_order.mapInArrow(lead, in_order.schema)
+    return leaders.select("symbol", "topic", F.col("_bucket").alias("_home"), F.struct("_key", "_et").alias("_c"))
 
 
 def _stretches(rows: DataFrame, span: int) -> DataFrame:
-    """Per (symbol, topic, bucket): the stretch of linked buckets it belongs to and its row count."""
-    per = rows.groupBy("symbol", "topic", "_bucket").agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_et").alias("_lo"), F.max("_et").alias("_hi"))
+    """Per (symbol, topic, bucket): the stretch of linked buckets it belongs to."""
+    per = rows.groupBy("symbol", "topic", "_bucket").agg(F.min("_et").alias("_lo"), F.max("_et").alias("_hi"))
     w = Window.partitionBy("symbol", "topic").orderBy("_bucket")
-    cut = (F.col("_lo") - F.lag("_hi").over(w) > span).cast("int")
-    per = per.withColumn("_cut", F.coalesce(cut, F.lit(0)))
-    per = per.withColumn("_stretch", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    size = F.sum("_n").over(Window.partitionBy("symbol", "topic", "_stretch"))
-    return per.select("symbol", "topic", "_bucket", "_stretch", size.alias("_size"))
-
-
-def _fold_stretches(rows: DataFrame, span: int) -> DataFrame:
-    id_type = rows.schema["_key"].dataType["event_id"].dataType.simpleString()
-    key_type = rows.schema["_key"].dataType.simpleString()
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys = [tuple(k.values()) for k in pdf["_key"]]
-        times, ids, ranks, leaders, copies = [], [], [], [None] * len(pdf), [False] * len(pdf)
-        stamps = pdf["_et"].to_numpy()
-        for rank, i in enumerate(sorted(range(len(keys)), key=keys.__getitem__)):
-            at = bisect_left(times, stamps[i])
-            # Leaders are more than one window apart, so only the two neighbours can be in reach.
-            near = [j for j in (at - 1, at) if 0 <= j < len(times) and abs(times[j] - stamps[i]) <= span]
-            if near:
-                best = min(near, key=ranks.__getitem__)
-                leaders[i], copies[i] = ids[best], True
-            else:
-                times.insert(at, stamps[i])
-                ids.insert(at, pdf["_key"].iat[i]["event_id"])
-                ranks.insert(at, rank)
-                leaders[i] = ids[at]
-        return pd.DataFrame({"symbol": pdf["symbol"], "topic": pdf["topic"], "_key": pdf["_key"],
-                             "_leader": leaders, "_copy": copies})
-    return rows.groupBy("symbol", "topic", "_stretch").applyInPandas(
-        fold, f"symbol string, topic string, _key {key_type}, _leader {id_type}, _copy boolean")
+    cut = F.coalesce((F.col("_lo") - F.lag("_hi").over(w) > span).cast("int"), F.lit(0))
+    per = per.withColumn("_cut", cut)
+    stretch = F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return per.select("symbol", "topic", "_bucket", stretch.alias("_stretch"))
 
 
 def _around(df: DataFrame, column: str, offsets: tuple[int, ...]) -> DataFrame:
     return df.withColumn("_bucket", F.explode(F.array(*[F.col(column) + d for d in offsets])))
 
 
-def _solve_by_rounds(rows: DataFrame, span: int) -> DataFrame:
-    """Leaders as local minima of the order, found in rounds; any group size.
-
-    A bucket is as wide as the window, so it holds at most one leader and only
-    neighbours matter.  Each round takes the first open row of every bucket,
-    keeps those that precede all open rows in reach, and closes the rows they
-    reach.  Rows are only ever aggregated or matched with a few leaders.
-    """
-    by = ["symbol", "topic", "_bucket"]
-    open_rows = rows.select(*by, "_et", "_key").checkpoint()
-    found: list[DataFrame] = []
-    while open_rows.limit(1).count():
-        first = open_rows.groupBy(*by).agg(F.min(F.struct("_key", "_et")).alias("_c")).withColumnRenamed("_bucket", "_home")
-        reach = _around(first, "_home", (-1, 1)).join(open_rows, by).where(F.abs(F.col("_et") - F.col("_c._et")) <= span)
-        rival = reach.groupBy("symbol", "topic", "_home").agg(F.min("_key").alias("_rival"))
-        winners = first.join(rival, ["symbol", "topic", "_home"], "left").where(
-            F.col("_rival").isNull() | (F.col("_c._key") < F.col("_rival"))).select("symbol", "topic", "_home", "_c").checkpoint()
-        found.append(winners)
-        near = _near(winners)
-        open_rows = open_rows.join(near, by, "left").where(~_reached(span)).select(*by, "_et", "_key").checkpoint()
-    leaders = _near(reduce(DataFrame.unionByName, found))
-    hits = F.filter("_near", lambda c: F.abs(c["_et"] - F.col("_et")) <= span)
-    best = F.array_min(hits)["_key"]
-    return rows.join(leaders, by, "left").select(
-        "symbol", "topic", "_key", best["event_id"].alias("_leader"), (best != F.col("_key")).alias("_copy"))
-
-
 def _near(leaders: DataFrame) -> DataFrame:
     """Leaders of each bucket and its neighbours as an array of at most three."""
     return _around(leaders, "_home", (-1, 0, 1)).groupBy("symbol", "topic", "_bucket").agg(F.collect_list("_c").alias("_near"))
 
 
-def _reached(span: int) -> Column:
-    return F.coalesce(F.exists("_near", lambda c: F.abs(c["_et"] - F.col("_et")) <= span), F.lit(False))
-
-
-def deduplicate(events: DataFrame, hours: int = WINDOW_HOURS, fold_rows: int = FOLD_ROWS) -> DataFrame:
+def deduplicate(events: DataFrame, hours: int = WINDOW_HOURS) -> DataFrame:
     """Keep the first-published copy of each story; corroboration counts it and its copies."""
-    x = assign_stories(events, ("publication_time",), hours, pin="none", fold_rows=fold_rows)
+    x = assign_stories(events, ("publication_time",), hours, pin="none")
     absorbed = x.where("is_copy").groupBy("symbol", "topic", F.col("canonical_id").alias("event_id")).agg(
         F.count(F.lit(1)).alias("_absorbed"))
     kept = x.where("NOT is_copy")

@@ -7,7 +7,10 @@ session (one row per symbol), holding is a window by symbol.
 from __future__ import annotations
 
 import math
+import uuid
+from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +20,7 @@ from barwise.operators.metrics import exact_quantile
 from barwise.session import ensure_checkpoint_dir
 
 WEDNESDAY = 2
+TURNOVER_BLOCK = 256  # sessions of a job
 
 
 def cross_zscore(df: DataFrame, columns: list[str], ts: str = "ts", suffix: str = "_xz") -> DataFrame:
@@ -210,41 +214,55 @@ def position_limits(weights: DataFrame, max_weight: float = 0.40, max_gross: flo
     return x.withColumn("w", F.col("w") * _scaled_to(max_gross, F.sum(F.abs("w")).over(w)))
 
 
-def turnover_control(weights: DataFrame, max_daily: float = 0.20, keys=("strategy",), ts: str = "ts") -> DataFrame:
+def turnover_control(weights: DataFrame, max_daily: float = 0.20, keys=("strategy",), ts: str = "ts", block: int = TURNOVER_BLOCK) -> DataFrame:
     """Move at most ``max_daily`` of total weight per session toward the target book.
 
-    The step of a session depends on the adjusted books before it, summed over
-    symbols.  Steps are found by fixed-point rounds: with given steps every
-    symbol's path is independent, and the paths give new steps.  A session's
-    step is final once those before it are, so rounds end exactly, after as
-    many as the longest run of limited sessions.
+    The step of a session depends on the adjusted book before it, summed over
+    symbols, so sessions follow one another.  They are taken in blocks of
+    ``block``: a task folds a block of one strategy from the book at the end of
+    the block before, which is carried as a table (one row per symbol).  There
+    are as many jobs as blocks, whatever is limited; a task holds a block's rows
+    of one strategy, and a lost one repeats its block alone.
     """
-    ensure_checkpoint_dir(weights.sparkSession)
-    keys = list(keys)
-    base = weights.select(*keys, "symbol", ts, "w").checkpoint()
-    steps = base.select(*keys, ts).distinct().withColumn("step", F.lit(1.0)).checkpoint()
+    spark, keys = weights.sparkSession, list(keys)
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/turnover-{uuid.uuid4().hex}"
+    base = weights.select(*keys, "symbol", ts, "w")
+    # one row per session of the calendar
+    place = F.row_number().over(Window.orderBy(ts)) - 1
+    starts = [r[0] for r in base.select(ts).distinct().withColumn("_n", place).where(F.col("_n") % block == 0).orderBy(ts).collect()]
+    numbered = reduce(lambda c, t: c + (F.col(ts) >= F.lit(t)).cast("int"), starts[1:], F.lit(0))
+    base.withColumn("_block", numbered).write.partitionBy("_block").parquet(f"{folder}/targets")
     fields = base.schema.fields
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", step double, adj double, move double"
-
-    def path(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ts)
-        prev, adj, move = 0.0, [], []
-        for w, step in zip(pdf["w"].to_numpy(), pdf["step"].to_numpy()):
-            gap = w - prev
-            prev = w if step >= 1.0 else prev + gap * step
-            adj.append(prev)
-            move.append(abs(gap))
-        return pdf.assign(adj=adj, move=move)
-    while True:
-        moved = base.join(steps, [*keys, ts]).select(*[f.name for f in fields], "step").groupBy(
-            *keys, "symbol").applyInPandas(path, schema)
-        sums = moved.groupBy(*keys, ts).agg(F.sum("move").alias("m"), F.max("step").alias("old"))
-        fresh = sums.select(*keys, ts, F.when(F.col("m") > max_daily, max_daily / F.col("m")).otherwise(1.0).alias("step"),
-                            "old").checkpoint()
-        changed = fresh.where(F.abs(F.col("step") - F.col("old")) > 1e-14).limit(1).count()
-        steps = fresh.drop("old")
-        if not changed:
-            return moved.select(*keys, "symbol", ts, F.col("adj").alias("w"))
+    typed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    targets = spark.read.schema(f"{typed}, _block int").parquet(f"{folder}/targets")
+
+    def fold(rows: pd.DataFrame, carried: pd.DataFrame) -> pd.DataFrame:
+        whole = pd.concat([carried, rows], ignore_index=True)
+        names, symbols = pd.factorize(whole["symbol"])
+        book = np.zeros(len(symbols))
+        known = len(carried)
+        book[names[:known]] = carried["w"].to_numpy()
+        rows = rows.assign(_s=names[known:]).sort_values(ts, kind="stable")
+        s, w, adj = rows["_s"].to_numpy(), rows["w"].to_numpy(), np.empty(len(rows))
+        for at in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(rows[ts].to_numpy().astype("int64"))) + 1):
+            own = s[at]
+            gap = w[at] - book[own]
+            moved = np.abs(gap).sum()
+            book[own] = book[own] + gap * (max_daily / moved) if moved > max_daily else w[at]
+            adj[at] = book[own]
+        # the book at the end: one row per symbol, without a session
+        of = rows.head(1) if len(rows) else carried.head(1)
+        end = pd.DataFrame({**{k: of[k].iat[0] for k in keys}, "symbol": symbols, ts: pd.NaT, "w": book})
+        return pd.concat([rows.assign(w=adj)[[f.name for f in fields]], end[[f.name for f in fields]]], ignore_index=True)
+    carried = spark.createDataFrame([], base.schema)
+    for b in range(len(starts)):
+        rows = targets.where(F.col("_block") == b).drop("_block")
+        done = rows.groupBy(*keys).cogroup(carried.groupBy(*keys)).applyInPandas(fold, typed)
+        done.write.parquet(f"{folder}/books/part={b}")
+        carried = spark.read.schema(base.schema).parquet(f"{folder}/books/part={b}").where(F.col(ts).isNull())
+    if not starts:
+        return base
+    return spark.read.schema(f"{typed}, part int").parquet(f"{folder}/books").where(F.col(ts).isNotNull()).drop("part")
 
 
 def drawdown_control(df: DataFrame, ret: str, weight: str, trigger: float = -0.10, release: float = -0.04,

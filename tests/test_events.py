@@ -52,10 +52,9 @@ def brute_clusters(rows):
     return {(rows[i][0], rows[i][9]): rows[k][0] for i, k in leader.items()}
 
 
-@pytest.mark.parametrize("fold_rows", [200_000, 0])
-def test_clusters_match_brute_force_by_fold_and_by_rounds(spark, fold_rows):
+def test_clusters_match_brute_force(spark):
     ev, rows = random_events(spark)
-    got = {(r.event_id, r.revision): r.canonical_id for r in pit.assign_stories(ev, fold_rows=fold_rows).collect()}
+    got = {(r.event_id, r.revision): r.canonical_id for r in pit.assign_stories(ev).collect()}
     assert got == brute_clusters(rows)
 
 
@@ -91,12 +90,33 @@ def brute_features(rows, bars, symbol):
     return np.array(out)
 
 
-@pytest.mark.parametrize("fold_rows", [200_000, 0])
-def test_information_features_match_brute_force(spark, fold_rows):
+def test_a_dense_topic_over_ten_years_is_read_once(spark):
+    """One item an hour, three sources each: 13 hours from leader to leader, in one pass and without rounds."""
+    hours = 10 * 365 * 24
+    ev = spark.range(3 * hours).select(
+        F.col("id").alias("event_id"), F.lit(0).alias("revision"), F.lit("A").alias("symbol"), F.lit("x").alias("topic"),
+        F.timestamp_seconds(1_300_000_000 + 3600 * (F.col("id") % hours)).alias("event_time")).withColumns(
+        {"availability_time": F.col("event_time"), "publication_time": F.col("event_time")})
+    found = pit.assign_stories(ev)
+    leaders = found.where("NOT is_copy").agg(F.count(F.lit(1)), F.max("event_id"), F.sum((F.col("event_id") % 13 != 0).cast("int"))).first()
+    assert tuple(leaders) == (-(-hours // 13), (hours - 1) // 13 * 13, 0)
+    assert found.where("canonical_id <> floor((event_id % 87600) / 13) * 13").count() == 0
+
+
+def test_leaders_are_found_among_distinct_times(spark):
+    """A hot instant reaches the ordered pass as one row."""
+    t = "2024-01-01 00:00"
+    ev = make(spark, [(i, "A", t, t, t, "s", 0.1, 0.0, "x", 0) for i in range(500)]).repartition(4)
+    x = ev.withColumns({"_et": F.unix_micros("event_time"), "_bucket": F.lit(3), "_key": F.struct("event_id", "revision")})
+    assert pit.story_leaders(x, 1).count() == 1
+    assert {r.canonical_id for r in pit.assign_stories(ev).collect()} == {0}
+
+
+def test_information_features_match_brute_force(spark):
     ev, rows = random_events(spark, 90, 8)
     stamps = pd.date_range("2024-01-01 05:00", periods=40, freq="9h")
     bars = spark.createDataFrame(pd.DataFrame([{"symbol": s, "ts": t} for s in "AB" for t in stamps]))
-    got = information_features(bars, ev, fold_rows=fold_rows).toPandas().sort_values(["symbol", "ts"])
+    got = information_features(bars, ev).toPandas().sort_values(["symbol", "ts"])
     for s in "AB":
         mine = got[got.symbol == s][list(INFO_FEATURES)].to_numpy(dtype=float)
         np.testing.assert_allclose(mine, brute_features(rows, stamps, s), rtol=1e-9, atol=1e-9)

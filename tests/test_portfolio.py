@@ -138,7 +138,8 @@ def test_two_state_turnover_rule_equals_a_loop(spark):
     np.testing.assert_allclose(have.to_numpy(), np.array(want), atol=1e-12)
 
 
-def test_turnover_control_equals_a_loop(spark):
+@pytest.mark.parametrize("block", [256, 7])
+def test_turnover_control_equals_a_loop(spark, block):
     rng = np.random.default_rng(4)
     n = 40
     m = rng.normal(0, 0.1, (n, 3))
@@ -146,7 +147,7 @@ def test_turnover_control_equals_a_loop(spark):
     days = pd.date_range("2024-01-01", periods=n)
     rows = [("s", f"S{j}", days[i].to_pydatetime(), float(m[i, j])) for i in range(n) for j in range(3)]
     df = spark.createDataFrame(rows, "strategy string, symbol string, ts timestamp, w double")
-    got = pt.turnover_control(df, 0.2).toPandas().pivot(index="ts", columns="symbol", values="w").to_numpy()
+    got = pt.turnover_control(df, 0.2, block=block).toPandas().pivot(index="ts", columns="symbol", values="w").to_numpy()
     prev, want = np.zeros(3), []
     for row in m:
         d = np.abs(row - prev).sum()
@@ -155,6 +156,18 @@ def test_turnover_control_equals_a_loop(spark):
     np.testing.assert_allclose(got, np.array(want), atol=1e-12)
 
 
+def test_turnover_control_carries_symbols_and_strategies_without_rows(spark):
+    """B has no row in the second block and strategy t none in the first; both books are carried."""
+    d = [f"2024-01-0{i}" for i in range(1, 7)]
+    rows = [("s", "A", d[0], 0.4), ("s", "B", d[0], 0.4), ("s", "A", d[2], 0.4), ("s", "A", d[4], 0.4), ("s", "B", d[5], 0.4), ("t", "A", d[3], 0.1), ("t", "A", d[1], 0.5)]
+    df = spark.createDataFrame(rows, "strategy string, symbol string, ts string, w double").withColumn("ts", F.col("ts").cast("timestamp"))
+    for block in (1, 2, 100):
+        got = {(r.strategy, r.symbol, str(r.ts)[:10]): round(r.w, 9) for r in pt.turnover_control(df, 0.2, block=block).collect()}
+        assert got == {("s", "A", d[0]): 0.1, ("s", "B", d[0]): 0.1, ("s", "A", d[2]): 0.3, ("s", "A", d[4]): 0.4, ("s", "B", d[5]): 0.3,
+                       ("t", "A", d[1]): 0.2, ("t", "A", d[3]): 0.1}
+    assert pt.turnover_control(df.limit(0)).count() == 0
+
+
 def test_drawdown_state_has_hysteresis(spark):
     df = series(spark, [-0.12, 0.02, 0.05, 0.05, 0.0], column="ret", one=1.0)
     got = [r.state for r in pt.drawdown_control(df, "ret", "one").orderBy("ts").collect()]
