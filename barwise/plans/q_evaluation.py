@@ -14,11 +14,13 @@ from barwise.operators import metrics as mt
 from barwise.operators import models
 from barwise.operators import portfolio as pt
 from barwise.operators import price_features as pf
+from barwise.operators import search
 from barwise.operators import statistics as st
 from barwise.plans import q_books, q_windows
 from barwise.plans.catalogue import DAY, _win, out, query, s_lag, sel, sql, stages
 from barwise.plans.q_backtest import S_SHARPE, SIGNAL_STAGES, momentum_ledger, path_ctes, signals
 from barwise.plans.q_windows import BASE_STAGES, LIQ_STAGES, RET, grid_bars
+from barwise.session import ensure_checkpoint_dir
 from barwise.sources import views
 
 S = Rolling()
@@ -283,6 +285,49 @@ def fold_boosting(spark, sf):
     return reduce(DataFrame.unionByName, parts)
 
 
+# ---- search over the catalogue of fitted models (no SQL twin) ---------------------------------
+
+def catalogue_scores_of(spark, sf):
+    """Validation scores of all 1,960 candidates on every (symbol, fold); read several times, so written once."""
+    lab = model_frame(spark, sf)
+    ensure_checkpoint_dir(spark)
+    return lab, search.validation_scores(lab, FEATURES, search.catalogue(), THRESHOLDS).checkpoint()
+
+
+@query("wf_10_model_catalogue")
+def model_catalogue(spark, sf):
+    """The catalogue with the mean validation Sharpe of each candidate over symbols and folds."""
+    _, scores = catalogue_scores_of(spark, sf)
+    mean = scores.groupBy("candidate").agg(F.avg("sharpe").alias("mean_sharpe"), F.count(F.lit(1)).alias("n_scored"), F.sum("trades").alias("trades"))
+    return search.catalogue_table(spark, search.catalogue()).join(mean, "candidate")
+
+
+@query("wf_05_model_discovery")
+def model_discovery(spark, sf):
+    """Each fold trades the best of 1,960 candidates by its own validation window; hold and lag restart per fold, turnover is that of the merged path."""
+    lab, scores = catalogue_scores_of(spark, sf)
+    best = ev.best_candidate(scores, ["symbol", "fold"]).drop("sharpe").join(scores.select("symbol", "fold", "candidate", "threshold"), ["symbol", "fold", "candidate"])
+    led = search.chosen_ledger(lab, best, FEATURES, search.catalogue())
+    path = led.withColumn("turnover", F.abs(F.col("position") - F.coalesce(S.lag("position"), F.lit(0.0))))
+    return bt.charge(path, 5.0, 1.0).select("symbol", "fold", "candidate", views.day().alias("session"), "position", "turnover", "net")
+
+
+@query("wf_07_model_confirmation")
+def model_confirmation(spark, sf):
+    """Winner per symbol on pooled validation returns of all folds but the last; read once on the last test window, as is, with higher fees and with delay."""
+    lab, scores = catalogue_scores_of(spark, sf)
+    last = lab.agg(F.max("fold")).scalar()
+    dev = scores.withColumn("_last", last)
+    pooled = search.pooled_sharpe(dev.where(F.col("fold") < F.col("_last")), ["symbol"])
+    best = ev.best_candidate(pooled, ["symbol"]).drop("sharpe")
+    chosen = dev.where(F.col("fold") == F.col("_last")).join(best, ["symbol", "candidate"]).select("symbol", "fold", "candidate", "threshold")
+    variants = {"base": bt.Execution(), "cost": bt.Execution(fee_bps=20.0), "delay": bt.Execution(delay=1)}
+    parts = [search.chosen_ledger(lab, chosen, FEATURES, search.catalogue(), cfg=cfg).groupBy("symbol", "candidate").agg(
+        F.count(F.lit(1)).alias("n_obs"), mt.sharpe("net").alias("sharpe"), mt.total_return("net").alias("net_return")).withColumn("variant", F.lit(name))
+        for name, cfg in variants.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query("wf_09_source_ablation")
 def source_ablation(spark, sf):
     """Price-only against price-and-volume features: fold Sharpe, AUC and Brier side by side."""
