@@ -122,29 +122,13 @@ class Rolling:
     def cov(self, x, y, n) -> Column:
         return F.when(self._pairs(x, y, n), F.covar_samp(_c(x), _c(y)).over(self.rows(n)))
 
-    def _central(self, x, n: int, power: int) -> Column:
-        """Mean central moment of a full frame, from its collected values."""
-        w = self.rows(n)
-
-        def fold(acc, v):
-            d = v - F.avg(_c(x)).over(w)
-            out = d
-            for _ in range(power - 1):
-                out = out * d
-            return acc + out
-        return F.aggregate(self.stat(F.collect_list, x, n), F.lit(0.0), fold) / float(n)
-
     def skew(self, x, n) -> Column:
         """Bias-corrected sample skewness; null on a flat frame."""
-        adj = (n * (n - 1)) ** 0.5 / (n - 2)
-        return safe_div(self._central(x, n, 3), F.pow(self._central(x, n, 2), F.lit(1.5))) * F.lit(adj)
+        return self.stat(F.skewness, x, n) * F.lit((n * (n - 1)) ** 0.5 / (n - 2))
 
     def kurt(self, x, n) -> Column:
         """Bias-corrected excess kurtosis; null on a flat frame."""
-        scale = (n - 1) / ((n - 2) * (n - 3))
-        m2 = self._central(x, n, 2)
-        excess = safe_div(self._central(x, n, 4), m2 * m2) - F.lit(3.0)
-        return (excess * F.lit(n + 1.0) + F.lit(6.0)) * F.lit(scale)
+        return (self.stat(F.kurtosis, x, n) * F.lit(n + 1.0) + F.lit(6.0)) * F.lit((n - 1) / ((n - 2) * (n - 3)))
 
 
 def split_history(bars: DataFrame, head_rows: int, rows_per_chunk: int,

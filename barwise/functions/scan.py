@@ -25,6 +25,31 @@ def running_total(df: DataFrame, keys, seq: str, value: str, width: int = ROWS_P
             .join(starts, [*keys, "chunk"]).withColumn(name, F.col("_start") + F.col("_in")).drop("_start", "_in"))
 
 
+OPERATIONS = {"sum": F.sum, "max": F.max, "min": F.min}
+
+
+def prefix(df: DataFrame, keys, seq: str, columns: dict[str, tuple[str, str]], width: int = ROWS_PER_CHUNK) -> DataFrame:
+    """For each name the sum, max or min of a column over the rows before each row of its key; null where there is none.
+
+    ``columns`` maps name -> (column, operation).  Any such operation is associative, so ranges of ``width`` sequence
+    numbers are reduced first (map-side), the short table of ranges is scanned, and rows then look at their own range.
+    """
+    keys = list(keys)
+    x = df.withColumn("_chunk", F.floor(F.col(seq) / width))
+    per = x.groupBy(*keys, "_chunk").agg(*[OPERATIONS[op](c).alias(f"_c_{name}") for name, (c, op) in columns.items()])
+    earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    starts = per.select(*keys, "_chunk", *[OPERATIONS[op](f"_c_{name}").over(earlier).alias(f"_s_{name}") for name, (_, op) in columns.items()])
+    inside = Window.partitionBy(*keys, "_chunk").orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
+    x = x.withColumns({f"_i_{name}": OPERATIONS[op](c).over(inside) for name, (c, op) in columns.items()}).join(starts, [*keys, "_chunk"])
+
+    def joined(name: str, op: str):
+        a, b = F.col(f"_s_{name}"), F.col(f"_i_{name}")
+        both = a + b if op == "sum" else F.greatest(a, b) if op == "max" else F.least(a, b)
+        return F.coalesce(both, a, b)
+    return x.withColumns({name: joined(name, op) for name, (_, op) in columns.items()}).drop(
+        "_chunk", *[f"{k}{name}" for k in ("_s_", "_i_") for name in columns])
+
+
 def affine_scan(df: DataFrame, keys, seq: str, a: str, b: str, name: str = "state_before") -> DataFrame:
     """State s' = a s + b walked in ``seq`` order per key from 0; adds the state before each row.
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barwise.functions.rolling import safe_div
+from barwise.functions.scan import ROWS_PER_CHUNK, prefix
 
 
 @dataclass(frozen=True)
@@ -101,13 +102,11 @@ def unused_windows(requested: DataFrame, claims: DataFrame) -> DataFrame:
     return requested.join(claims.select("dataset_hash", "test_window").distinct(), ["dataset_hash", "test_window"], "left_anti")
 
 
-def trial_counts(ledger: DataFrame, order: str = "seq") -> DataFrame:
-    """Cumulative trials per family and rows recorded below the high-water mark."""
-    w = Window.partitionBy("family_id").orderBy(order)
-    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    x = ledger.withColumn("high_water", F.max("recorded").over(so_far.rowsBetween(Window.unboundedPreceding, -1)))
-    return x.withColumns({"total": F.sum("n_trials").over(so_far),
-                          "violation": F.coalesce(F.col("recorded") < F.col("high_water"), F.lit(False))})
+def trial_counts(ledger: DataFrame, order: str = "seq", width: int = ROWS_PER_CHUNK) -> DataFrame:
+    """Cumulative trials per family and rows recorded below the high-water mark; ``order`` numbers the rows of a family."""
+    x = prefix(ledger, ["family_id"], order, {"high_water": ("recorded", "max"), "_before": ("n_trials", "sum")}, width)
+    return x.withColumns({"total": F.coalesce("_before", F.lit(0)) + F.col("n_trials"),
+                          "violation": F.coalesce(F.col("recorded") < F.col("high_water"), F.lit(False))}).drop("_before")
 
 
 def paper_evidence(steps: DataFrame, calendar: DataFrame, loss_limit: float = 0.02, days_validated: int = 5,

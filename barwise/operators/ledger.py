@@ -65,36 +65,68 @@ def cost_attribution(fills: DataFrame, keys=("account",)) -> DataFrame:
     ).withColumn("total", F.col("fees") + F.col("slippage") + F.col("spread"))
 
 
-def holdings(fills: DataFrame, marks: DataFrame, width: int = ROWS_PER_CHUNK) -> DataFrame:
-    """Per (account, symbol, session): quantity, basis, cumulated realised profit and the carried mark."""
+def sessions_of(marks: DataFrame) -> DataFrame:
+    """(session, day): the calendar of the marks, numbered from 0."""
+    days = marks.select("session").distinct()
+    return days.select("session", (F.row_number().over(Window.orderBy("session")) - 1).alias("day"))
+
+
+def position_intervals(fills: DataFrame, width: int = ROWS_PER_CHUNK) -> DataFrame:
+    """One row per change of a position: quantity and basis from ``session`` until ``until`` (null: none later), and the profit realised that session."""
     p = positions(fills, width).groupBy(*KEY, "session").agg(
-        F.max_by("q_after", "seq").alias("_q"), F.max_by("basis_after", "seq").alias("_basis"), F.sum("realized").alias("_r"))
-    days = marks.agg(F.array_sort(F.collect_set("session"))).scalar()
-    grid = fills.select(*KEY).distinct().select(*KEY, F.explode(days).alias("session"))
-    s = Rolling(KEY, "session")
-    x = grid.join(p, [*KEY, "session"], "left").join(marks, ["symbol", "session"], "left")
-    return x.select(*KEY, "session", F.coalesce(F.last("_q", True).over(s.so_far), F.lit(0.0)).alias("quantity"),
-                    F.coalesce(F.last("_basis", True).over(s.so_far), F.lit(0.0)).alias("basis"),
-                    F.coalesce(F.sum("_r").over(s.so_far), F.lit(0.0)).alias("realized_pnl"),
-                    F.last(F.when(F.col("mark") > 0, F.col("mark")), True).over(s.so_far).alias("mark"))
+        F.max_by("q_after", "seq").alias("quantity"), F.max_by("basis_after", "seq").alias("basis"), F.sum("realized").alias("realized"))
+    return p.withColumn("until", Rolling(KEY, "session").lead("session"))
+
+
+def carried_marks(marks: DataFrame) -> DataFrame:
+    """(symbol, day, mark): the last positive mark so far, on every session from the first one on."""
+    s = Rolling(("symbol",), "day")
+    days = sessions_of(marks)
+    end = days.agg(F.max("day")).scalar()
+    valid = marks.where("mark > 0").join(days, "session").select("symbol", "day", "mark")
+    valid = valid.withColumn("_to", F.coalesce(s.lead("day") - 1, end))
+    return valid.select("symbol", F.explode(F.sequence("day", "_to")).alias("day"), "mark")
+
+
+def holding_days(fills: DataFrame, marks: DataFrame, width: int = ROWS_PER_CHUNK) -> DataFrame:
+    """Per (account, symbol, session) with an open position or a fill: quantity, basis, profit realised that session and the carried mark.
+
+    Positions are intervals between fills; a session has a row only while one is open, or when it is closed.  So rows grow
+    with fills and open days, not with accounts times symbols times the calendar.
+    """
+    days = sessions_of(marks)
+    end = days.agg(F.max("day")).scalar() + 1
+    x = position_intervals(fills, width).join(days.withColumnRenamed("day", "_from"), "session").join(
+        days.select(F.col("session").alias("until"), F.col("day").alias("_to")), "until", "left")
+    last = F.when(F.abs("quantity") > 1e-12, F.coalesce("_to", end) - 1).otherwise(F.col("_from"))
+    x = x.select(*KEY, "quantity", "basis", "realized", "_from", F.explode(F.sequence(F.col("_from"), last)).alias("day"))
+    x = x.withColumn("realized", F.when(F.col("day") == F.col("_from"), F.col("realized")).otherwise(0.0)).drop("_from")
+    return x.join(days, "day").join(carried_marks(marks), ["symbol", "day"], "left").select(*KEY, "session", "quantity", "basis", "realized", "mark")
+
+
+def holdings(fills: DataFrame, marks: DataFrame, width: int = ROWS_PER_CHUNK) -> DataFrame:
+    """The rows of ``holding_days`` with an open position."""
+    return holding_days(fills, marks, width).where(F.abs("quantity") > 1e-12).drop("realized")
 
 
 def equity(fills: DataFrame, marks: DataFrame, initial_cash: float = INITIAL_CASH, width: int = ROWS_PER_CHUNK) -> DataFrame:
-    """Per (account, session): cash, value, running peak, drawdown and profit split."""
+    """Per (account, session of the calendar): cash, value, running peak, drawdown and profit split."""
     flow = cost_columns(fills).groupBy("account", "session").agg(
         F.sum(-F.col("signed_qty") * F.col("price") - F.col("fee")).alias("_flow"), F.sum("fee").alias("_fee"),
         F.sum("slippage").alias("_slip"), F.sum("spread").alias("_spread"))
-    h = holdings(fills, marks, width)
     value = F.coalesce(F.col("quantity") * F.col("mark"), F.lit(0.0))
     gain = F.coalesce(F.col("quantity") * F.col("mark") - F.signum("quantity") * F.col("basis"), F.lit(0.0))
-    per = h.groupBy("account", "session").agg(
-        F.sum(value).alias("position_value"), F.sum("realized_pnl").alias("realized_pnl"), F.sum(gain).alias("unrealized_pnl"),
+    opened = holding_days(fills, marks, width).groupBy("account", "session").agg(
+        F.sum(value).alias("position_value"), F.sum(gain).alias("unrealized_pnl"), F.sum("realized").alias("_realized"),
         F.count_if(F.abs("quantity") > 1e-12).alias("open_positions"))
+    days = sessions_of(marks).agg(F.array_sort(F.collect_set("session"))).scalar()
     s = Rolling(("account",), "session")
     cum = lambda c: F.coalesce(F.sum(c).over(s.so_far), F.lit(0.0))
-    x = per.join(flow, ["account", "session"], "left")
+    x = fills.select("account").distinct().select("account", F.explode(days).alias("session"))
+    x = x.join(opened, ["account", "session"], "left").join(flow, ["account", "session"], "left")
+    x = x.na.fill(0.0, ["position_value", "unrealized_pnl"]).na.fill(0, ["open_positions"])
     x = x.withColumns({"cash": F.lit(initial_cash) + cum("_flow"), "fees": cum("_fee"), "slippage_cost": cum("_slip"),
-                       "spread_cost": cum("_spread")}).drop("_flow", "_fee", "_slip", "_spread")
+                       "spread_cost": cum("_spread"), "realized_pnl": cum("_realized")}).drop("_flow", "_fee", "_slip", "_spread", "_realized")
     x = x.withColumn("value", F.col("cash") + F.col("position_value"))
     x = x.withColumn("peak", F.greatest(F.lit(initial_cash), F.max("value").over(s.so_far)))
     return x.withColumns({"drawdown": F.when(F.col("peak") > 0, (F.col("value") - F.col("peak")) / F.col("peak")).otherwise(0.0),
@@ -205,9 +237,9 @@ def alerts(equity_rows: DataFrame, orders: DataFrame, holding: DataFrame, as_of:
     stale = rows(last.where(F.datediff(F.lit(as_of).cast("date"), "session") > max_age_days), "DATA_STALENESS", "CRITICAL", F.lit("data_staleness"))
     pnl = rows(last.where(F.col("net_pnl") / initial_cash <= -loss), "PNL_THRESHOLD", "CRITICAL", F.lit("pnl_loss_threshold"))
     rejected = rows(orders.where("status = 'REJECTED'"), "ORDER_REJECTION", "WARNING", F.concat(F.lit("order_rejected:"), F.col("seq").cast("string")))
-    final = holding.groupBy("account", "symbol").agg(F.max_by(F.col("quantity") * F.col("mark"), "session").alias("mv"))
+    final = holding.join(last, ["account", "session"]).withColumn("mv", F.col("quantity") * F.col("mark"))
     weight = F.abs("mv") / F.greatest("value", F.lit(1.0))
-    big = rows(final.join(last, "account").where(weight >= max_position * 0.9), "POSITION_LIMIT", "WARNING", F.concat(F.lit("position_limit:"), F.col("symbol")))
+    big = rows(final.where(weight >= max_position * 0.9), "POSITION_LIMIT", "WARNING", F.concat(F.lit("position_limit:"), F.col("symbol")))
     return stale.unionByName(pnl).unionByName(rejected).unionByName(big).dropDuplicates(["account", "dedupe_key"])
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barwise.functions.normal import norm_ppf
+from barwise.functions.order_statistics import Quantile, Share, with_order_statistics
 from barwise.functions.rolling import Rolling, clip, safe_div
 
 ANNUAL = math.sqrt(252.0)
@@ -209,10 +210,11 @@ def volatility_features(bars: DataFrame, s: Rolling = Rolling(), vix: str | None
     x = parkinson(x, 20, s, lagged=False).withColumn("ret", s.pct_change("close"))
     x = x.withColumns({f"_rv{n}": s.sd("ret", n) * ANNUAL for n in (5, 10, 20, 60)})
     x = x.withColumn("_neg", clip("ret", high=0.0))
+    x = with_order_statistics(x, {"_rv_mid": Quantile("_rv20", 0.5, 252), "_rv_top": Quantile("_rv20", 0.9, 252)}, s.keys, s.ts)
     step = {
         "rv_term_5_20": safe_div("_rv5", "_rv20"), "rv_term_10_60": safe_div("_rv10", "_rv60"),
-        "vol_regime_high": _above(F.col("_rv20"), s.quantile("_rv20", 0.5, 252)),
-        "vol_regime_extreme": _above(F.col("_rv20"), s.quantile("_rv20", 0.9, 252)),
+        "vol_regime_high": _above(F.col("_rv20"), F.col("_rv_mid")),
+        "vol_regime_extreme": _above(F.col("_rv20"), F.col("_rv_top")),
         "vol_trend": safe_div("_rv20", s.lag("_rv20", 20)), "vol_momentum": s.pct_change("_rv20", 10),
         "vol_mean_revert": s.zscore("_rv20", 252),
         "skew_20": s.skew("ret", 20), "skew_60": s.skew("ret", 60),
@@ -232,7 +234,7 @@ def volatility_features(bars: DataFrame, s: Rolling = Rolling(), vix: str | None
             last[f"vrp_{name}_norm"] = safe_div(f"vrp_{name}", "_rv20")
     if vix:
         last["vrp_zscore"] = s.zscore("vrp_vix", 60)
-    return x.withColumns(last).drop("_rv5", "_rv10", "_rv20", "_rv60", "_neg")
+    return x.withColumns(last).drop("_rv5", "_rv10", "_rv20", "_rv60", "_neg", "_rv_mid", "_rv_top")
 
 
 VOLATILITY_FEATURES = ("rv_term_5_20", "rv_term_10_60", "vrp_vix", "vrp_vix_norm", "vrp_zscore", "vol_regime_high",
@@ -313,27 +315,19 @@ def factor_reversion_features(bars: DataFrame, correlation_benchmark: str, s: Ro
     """
     x = bars.withColumns({"ret": s.pct_change("close"), "_b": s.pct_change("bench_close"),
                           "_m": s.pct_change("corr_close")})
+    x = x.withColumns({"_rv20": s.sd("ret", 20) * ANNUAL, "_rv252": s.sd("ret", 252) * ANNUAL})
+    x = with_order_statistics(x, {"_ret_mid": Quantile("ret", 0.5, 252), "_pct": Share("_rv20", 252)}, s.keys, s.ts)
     x = x.withColumns({
         "_beta": safe_div(s.cov("ret", "_b", beta_window), _paired_var(s, "_b", "ret", beta_window)),
         "_corr": s.corr("ret", "_m", beta_window),
-        "_rv20": s.sd("ret", 20) * ANNUAL, "_rv252": s.sd("ret", 252) * ANNUAL,
-        "momentum_deviation": s.pct_change("close", 20) - s.quantile("ret", 0.5, 252),
+        "momentum_deviation": s.pct_change("close", 20) - F.col("_ret_mid"),
         "_dd": safe_div(F.col("close") - s.high("close", 252), s.high("close", 252))})
-    frame = s.rows(252)
-    full = F.count("_rv20").over(frame) == 252
-    x = x.withColumns({
+    pct = F.when(F.col("_pct") == 1.0, 0.999).when(F.col("_pct") == 0.0, 0.001).otherwise(F.col("_pct"))
+    return x.withColumns({
         "beta_z": F.when(F.col("symbol") != F.col("benchmark"), s.zscore("_beta", norm_window)),
         "correlation_extreme": F.when(F.col("symbol") != correlation_benchmark, s.zscore("_corr", norm_window)),
-        "drawdown_recovery": safe_div("_dd", "_rv252"),
-        "_hist": F.when(full, F.collect_list("_rv20").over(frame))})
-    below = F.size(F.filter("_hist", lambda v: v < F.col("_rv20")))
-    equal = F.size(F.filter("_hist", lambda v: v == F.col("_rv20")))
-    pct = (below + (equal + 1) / 2.0) / 252.0
-    pct = F.when(F.col("_hist").isNotNull(), F.when(pct == 1.0, 0.999).when(pct == 0.0, 0.001).otherwise(pct))
-    # Its own stage: the quantile reads the share many times, the list must be scanned once.
-    x = x.withColumn("_pct", pct)
-    return x.withColumn("volatility_percentile", norm_ppf(F.col("_pct"))).drop(
-        "_pct", "_b", "_m", "_beta", "_corr", "_rv20", "_rv252", "_dd", "_hist")
+        "drawdown_recovery": safe_div("_dd", "_rv252"), "_pct": pct}).withColumn("volatility_percentile", norm_ppf(F.col("_pct"))).drop(
+        "_pct", "_ret_mid", "_b", "_m", "_beta", "_corr", "_rv20", "_rv252", "_dd")
 
 
 def _paired_var(s: Rolling, x: str, other: str, n: int) -> Column:

@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import math
-from itertools import combinations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -140,37 +138,54 @@ def deflated_sharpe_pvalue(sharpe: Column, n_trials: Column, n_obs: Column, skew
     return F.lit(1.0) - norm_cdf(t)  # each normal function binds its argument once
 
 
-def split_halves(n_folds: int, limit: int | None = None) -> list[list[int]]:
-    """In-sample fold sets: all halves, or ``limit`` of them drawn with a fixed seed."""
-    halves = [list(c) for c in combinations(range(n_folds), n_folds // 2)]
-    if limit is None or len(halves) <= limit:
-        return halves
-    return [halves[i] for i in sorted(np.random.default_rng(42).choice(len(halves), size=limit, replace=False))]
+SPLITS_PER_ROW = 4096  # halves that one row is exploded to
+
+
+def half_mask(rank: Column, n: int) -> Column:
+    """The ``rank``-th of the C(n, n / 2) halves of n folds as a bit mask, by the combinatorial number system.
+
+    From the highest fold down: fold c belongs to the half when rank is at least C(c, k), with k members still to place.
+    """
+    ways = F.array(*[F.array(*[F.lit(math.comb(c, k)).cast("long") for k in range(n // 2 + 1)]) for c in range(n)])
+
+    def place(st, c):
+        below = F.get(F.get(ways, c), st["k"])
+        taken = (st["k"] > 0) & (st["rank"] >= below)
+        return F.struct(F.when(taken, st["rank"] - below).otherwise(st["rank"]).alias("rank"), (st["k"] - taken.cast("int")).alias("k"),
+                        F.when(taken, st["mask"].bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), c))).otherwise(st["mask"]).alias("mask"))
+    begin = F.struct(rank.cast("long").alias("rank"), F.lit(n // 2).alias("k"), F.lit(0).cast("long").alias("mask"))
+    return F.aggregate(F.sequence(F.lit(n - 1), F.lit(0), F.lit(-1)), begin, place)["mask"]
 
 
 def overfitting_probability(matrix: DataFrame, n_folds: int, variant: str = "variant", fold: str = "fold_no",
-                            score: str = "sharpe", keys=(), limit: int | None = None) -> DataFrame:
-    """Share of fold halves whose in-sample winner lands in the worse half out of sample.
+                            score: str = "sharpe", keys=()) -> DataFrame:
+    """Share of all C(n, n / 2) fold halves whose in-sample winner lands in the worse half out of sample.
 
-    ``matrix``: one row per (keys, variant, fold 0..n-1).  Splits (all halves, or ``limit`` of them) are literal
-    rows exploded onto the matrix; everything is grouped by split.
+    ``matrix``: one row per (keys, variant, fold 0..n-1); the variants of a key with their fold scores make one row.
+    It is exploded to ranges of halves, the ranges are dealt over the tasks, and each half is counted out from its rank
+    there: no list of halves exists anywhere, and only the verdicts are summed up.
     """
     keys = list(keys)
-    splits = split_halves(n_folds, limit) if n_folds >= 4 else []
-    if not splits:
+    if n_folds < 4:
         return matrix.groupBy(*keys).agg(F.lit(None).cast("double").alias("pbo"), F.lit(0).cast("long").alias("n_splits"))
-    masks = F.array(*[F.lit(sum(1 << f for f in half)).cast("long") for half in splits])  # folded to one constant
     checked = F.when(F.col(score).isNull() | F.isnan(score), F.raise_error(F.lit("fold scores must be finite")).cast("double")).otherwise(F.col(score))
-    x = matrix.withColumn("_v", checked).withColumn("split", F.explode(masks)).withColumn(
-        "_in", F.expr(f"shiftright(split, CAST(`{fold}` AS INT)) & 1 = 1"))
-    perf = x.groupBy(*keys, "split", variant).agg(
-        F.avg(F.when(F.col("_in"), F.col("_v"))).alias("ins"), F.avg(F.when(~F.col("_in"), F.col("_v"))).alias("oos"))
-    best = perf.groupBy(*keys, "split").agg(
-        F.max_by("oos", F.struct("ins", (-F.col(variant)).alias("t"))).alias("best_oos"), F.count(F.lit(1)).alias("nv"))
-    rank = perf.join(best, [*keys, "split"]).groupBy(*keys, "split").agg(
-        F.count_if(F.col("oos") > F.col("best_oos")).alias("rank"), F.first("nv").alias("nv"))
-    return rank.groupBy(*keys).agg(
-        F.avg((safe_div(F.col("rank"), F.col("nv") - 1) >= 0.5).cast("double")).alias("pbo"), F.count(F.lit(1)).alias("n_splits"))
+    per = matrix.withColumn("_v", checked).groupBy(*keys, variant).agg(F.sort_array(F.collect_list(F.struct(F.col(fold).cast("int").alias("f"), F.col("_v").alias("v")))).alias("s"))
+    per = per.groupBy(*keys).agg(F.collect_list(F.struct((-F.col(variant)).alias("t"), F.col("s").alias("s"))).alias("_m"))
+    total = math.comb(n_folds, n_folds // 2)
+    dealt = per.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit((total - 1) // SPLITS_PER_ROW)))).repartition(*keys, "_b")
+    first = F.col("_b").cast("long") * SPLITS_PER_ROW
+    ranks = F.sequence(first, F.least(first + SPLITS_PER_ROW, F.lit(total).cast("long")) - 1)
+    x = dealt.select(*keys, "_m", F.explode(ranks).alias("_rank")).withColumn("_mask", half_mask(F.col("_rank"), n_folds))
+
+    def mean(series, inside: bool):
+        bit = lambda p: F.call_function("shiftright", F.col("_mask"), p["f"]).bitwiseAND(F.lit(1).cast("long"))
+        wanted = F.filter(series, lambda p: bit(p) == (1 if inside else 0))
+        return F.aggregate(wanted, F.lit(0.0), lambda acc, p: acc + p["v"]) / F.size(wanted)
+    x = x.withColumn("_p", F.transform("_m", lambda m: F.struct(mean(m["s"], True).alias("ins"), m["t"].alias("t"), mean(m["s"], False).alias("oos"))))
+    x = x.withColumn("_best", F.array_max("_p")["oos"])  # highest in sample, then the lower variant
+    worse = F.size(F.filter("_p", lambda p: p["oos"] > F.col("_best")))
+    bad = safe_div(worse, F.size("_p") - 1) >= 0.5
+    return x.groupBy(*keys).agg(F.avg(bad.cast("double")).alias("pbo"), F.count(F.lit(1)).alias("n_splits"))
 
 
 def robustness_score(cost_ok: Column, delay_ok: Column, stability: Column, boot: Column, placebo: Column, share: Column) -> Column:

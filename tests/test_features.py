@@ -137,3 +137,34 @@ def test_spillover_rejects_non_positive_volatility(spark):
     vix = series(spark, [20, -1, 20], column="vix").drop("symbol")
     with pytest.raises(Exception, match="positive"):
         pf.spillover_features(df, "A", "B", vix).collect()
+
+
+def test_order_statistics_of_half_blocks_equal_each_frame():
+    """Ties, gaps and starts of a series, for frames longer and shorter than it."""
+    from barwise.functions.order_statistics import quantiles, shares
+    rng = np.random.default_rng(8)
+    for n, rows in ((5, 43), (12, 12), (12, 7), (30, 200), (1, 9)):
+        x = rng.normal(size=rows).round(1)
+        gaps = np.where(rng.random(rows) < 0.1, np.nan, x)
+        for values in (x, gaps, np.full(rows, np.nan)):
+            frame = pd.Series(values).rolling(n, min_periods=n)
+            low, high = quantiles(values, n, [(0.5, n), (0.9, n)])
+            np.testing.assert_allclose(low, frame.quantile(0.5), atol=1e-12)
+            np.testing.assert_allclose(high, frame.quantile(0.9), atol=1e-12)
+            np.testing.assert_allclose(quantiles(values, n, [(0.25, max(1, n // 2))])[0], pd.Series(values).rolling(n, min_periods=max(1, n // 2)).quantile(0.25), atol=1e-12)
+            np.testing.assert_allclose(shares(values, n), frame.rank(pct=True), atol=1e-12)
+
+
+def test_order_statistics_as_columns(spark):
+    from barwise.functions.order_statistics import Quantile, Share, with_order_statistics
+    rng = np.random.default_rng(9)
+    a, b = (rng.normal(size=80).round(2).tolist() for _ in range(2))
+    df = series(spark, a, "A").unionByName(series(spark, b, "B")).repartition(3)
+    got = with_order_statistics(df, {"mid": Quantile("close", 0.5, 20), "pct": Share("close", 20)})
+    assert got.columns == [*df.columns, "mid", "pct"]
+    for symbol, values in (("A", a), ("B", b)):
+        own = got.where(F.col("symbol") == symbol).orderBy("ts").toPandas()
+        np.testing.assert_allclose(own["mid"].astype(float), pd.Series(values).rolling(20).quantile(0.5), atol=1e-12)
+        np.testing.assert_allclose(own["pct"].astype(float), pd.Series(values).rolling(20).rank(pct=True), atol=1e-12)
+    plan = got._jdf.queryExecution().toString()
+    assert "collect_list" not in plan

@@ -211,3 +211,21 @@ def test_panel_assembly_checks_names(spark):
                 dict(sources={"s1": one.withColumn("w", one.x)})):
         with pytest.raises(ValueError):
             gov.assemble_panel(index, contract={"s1": {"x": 1, "y": 1}, "s2": {"x": 1, "y": 1}}, **bad)
+
+
+def test_holdings_grow_with_open_days(spark):
+    """A position held for 3 of 400 sessions makes 3 rows; equity still has every session."""
+    import datetime as dt
+    from barwise.operators import ledger as lg
+    d0 = dt.date(2024, 1, 1)
+    day = lambda i: d0 + dt.timedelta(days=i)
+    fills = spark.createDataFrame([(1, "A", 1, day(10), "BUY", 5.0, 10.0, 5.0), (1, "A", 2, day(13), "SELL", 5.0, 12.0, -5.0), (1, "B", 3, day(398), "BUY", 1.0, 7.0, 1.0)],
+                                  "account int, symbol string, seq long, session date, side string, quantity double, price double, signed_qty double")
+    marks = spark.createDataFrame([(s, day(i), 10.0 + i % 2) for s in "AB" for i in range(400) if not (s == "A" and i == 11)], "symbol string, session date, mark double")
+    held = sorted((r.symbol, (r.session - d0).days, r.mark) for r in lg.holdings(fills, marks).collect())
+    assert held == [("A", 10, 10.0), ("A", 11, 10.0), ("A", 12, 10.0), ("B", 398, 10.0), ("B", 399, 11.0)]
+    e = {(r.session - d0).days: r for r in lg.equity(fills, marks).collect()}
+    assert len(e) == 400 and e[0].value == 1_000_000.0 and e[12].open_positions == 1 and e[13].open_positions == 0
+    assert e[13].realized_pnl == pytest.approx(10.0) and e[399].realized_pnl == pytest.approx(10.0)
+    assert e[399].unrealized_pnl == pytest.approx(4.0)
+    assert all(abs(r.net_pnl - (r.realized_pnl + r.unrealized_pnl - r.fees)) < 1e-6 for r in e.values())

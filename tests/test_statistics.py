@@ -81,12 +81,49 @@ def test_placebo_statistics(spark):
     assert r.percentile == pytest.approx(18 / 19) and r.adjusted_p == pytest.approx(2 / 20)
 
 
-def test_halves_follow_lexicographic_order():
-    everything = [list(c) for c in combinations(range(10), 5)]
-    assert st.split_halves(8) == [list(c) for c in combinations(range(8), 4)]
-    picks = np.sort(np.random.default_rng(42).choice(252, size=70, replace=False))
-    assert st.split_halves(10) == everything
-    assert st.split_halves(10, 70) == [everything[i] for i in picks]
+def test_ranks_name_every_half_once(spark):
+    for n in (4, 7, 10):
+        masks = [r.m for r in spark.range(math.comb(n, n // 2)).select(st.half_mask(F.col("id"), n).alias("m")).collect()]
+        assert sorted(masks) == sorted(sum(1 << f for f in c) for c in combinations(range(n), n // 2))
+    last = spark.range(1).select(st.half_mask(F.lit(math.comb(24, 12) - 1), 24).alias("m")).first().m
+    assert last == sum(1 << f for f in range(12, 24))
+
+
+def test_overfitting_counts_every_half_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(st, "SPLITS_PER_ROW", 50)
+    rng = np.random.default_rng(6)
+    scores = {k: rng.normal(size=(5, 9)).round(1) for k in "ab"}
+    rows = [(k, v, f, float(x[v, f])) for k, x in scores.items() for v in range(5) for f in range(9)]
+    got = {r.key: r for r in st.overfitting_probability(spark.createDataFrame(rows, "key string, variant int, fold_no int, sharpe double"), 9, keys=("key",)).collect()}
+    for k, x in scores.items():
+        bad = 0
+        for half in combinations(range(9), 4):
+            rest = [f for f in range(9) if f not in half]
+            ins, oos = x[:, list(half)].sum(axis=1) / 4, x[:, rest].sum(axis=1) / 5
+            best = max(range(5), key=lambda v: (ins[v], -v))
+            bad += sum(o > oos[best] for o in oos) / 4 >= 0.5
+        assert got[k].n_splits == 126 and got[k].pbo == pytest.approx(bad / 126, abs=2 / 126)
+
+
+def test_24_folds_need_no_list_of_halves(spark):
+    rows = [(v, f, float(v + (f % 3) * 0.1)) for v in range(2) for f in range(24)]
+    df = st.overfitting_probability(spark.createDataFrame(rows, "variant int, fold_no int, sharpe double"), 24)
+    assert "16777215" not in df._jdf.queryExecution().toString()
+    r = df.first()
+    assert r.n_splits == math.comb(24, 12) and r.pbo == 0.0
+
+
+def test_prefix_scan_equals_a_walk(spark):
+    from barwise.functions.scan import prefix
+    rng = np.random.default_rng(7)
+    rows = [(k, i, float(rng.integers(0, 50)) if rng.random() > 0.2 else None) for k in "ab" for i in range(60)]
+    df = spark.createDataFrame(rows, "k string, seq int, v double").repartition(5)
+    for width in (7, 1000):
+        got = prefix(df, ["k"], "seq", {"hi": ("v", "max"), "lo": ("v", "min"), "total": ("v", "sum")}, width)
+        assert got.columns == ["k", "seq", "v", "hi", "lo", "total"]
+        for r in got.collect():
+            before = [v for k, i, v in rows if k == r.k and i < r.seq and v is not None]
+            assert (r.hi, r.lo, r.total) == ((max(before), min(before), sum(before)) if before else (None, None, None))
 
 
 def test_overfitting_extremes(spark):
