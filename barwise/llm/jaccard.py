@@ -11,20 +11,22 @@ H of any pair in which it is the smaller one: some segment then holds equal
 subsets in both.  The first d segments of a band also emit the subset with each
 one token left out (the one-deletion neighbourhood), so an error there costs two.
 d and the reserve of segments are allocated per band by a cost model (rows that a
-set emits against the chance that empty segments use up its reserve).  With the
+set emits against the chance that empty segments use up its reserve); bands are as
+wide as their segments stay filled.  With the
 reserve a pair shares not one but ``least`` signatures; only where a set's empty
-segments eat into it (a weak set) may it be fewer.  A set
-whose subsets don't reach H + 1 all the same is ``wild`` and matches by its empty
-segments too, which no partner of it can avoid.
+segments eat into it (a weak set) may it be fewer.  A set whose subsets don't reach H + 1 all
+the same is ``wild`` and has a second way: up to ``SMALL`` tokens, where that can
+happen at all often, by its first tokens in order of a hash, of which a partner has one
+among its own first ones; beyond, by its empty segments, which no partner can avoid.
 
 Of the signatures that a set shares with others it is looked for by its rarest ones only, so many that a pair which
 shares ``least`` still meets; signatures of common passages drop out.  The sets that meet by one signature are a group,
-and groups with the same members count once.  Each set is compared with the least set of its group, first by parity
-sketches (``SKETCH`` bits, which differ in no more places than the sets in tokens), then by its whole tokens; that alone
-makes one class of a group of near copies, at a linear cost.  Only groups with members of several classes are looked at
-inside: sketches of different classes are compared in blocks of ``BLOCK`` sets, and the few sets left are compared whole,
-block against block.  So sets that meet nobody's sketch cost no tokens, classes are never taken apart into pairs, and
-no task holds more than two blocks.
+and groups with the same members count once.  Each set is compared with a hub of its group, first by parity sketches
+(``SKETCH`` bits, which differ in no more places than the sets in tokens), then by its whole tokens; that makes one class
+of most groups of near copies, at a linear cost.  Groups with members of several classes get another hub, ``ROUNDS`` in
+all, and only those that remain are looked at inside: sketches of different classes are compared in blocks of ``BLOCK``
+sets, and families of sets that these join are compared whole, block against block.  So sets that meet nobody's sketch
+cost no tokens, classes are never taken apart into pairs, and no task holds more than two blocks.
 
 Defined results: a null or empty text, or one without words, is an empty set and
 its own class; fewer words than n are one n-gram; equal sets are one class
@@ -51,8 +53,12 @@ BLOCK = 256
 SEEN = 1 << 20  # sets that a task remembers
 SKETCH = 2048  # bits of a set's sketch
 BITMAP = 1 << 24  # bits of the filter that spares tasks the token lists of sets without candidates (2 MB)
-RISK = 1 / 400  # share of sets that may be wild
-WILD_COST = 200.0  # rows that a wild set is reckoned to cost
+RISK = 1 / 400  # share of sets that may be weak
+WEAK_COST = 200.0  # rows that a weak set is reckoned to cost
+BANDS = 255  # largest number of a band
+ROUNDS = 4  # hubs that a group is compared with
+FULL = 2.5  # tokens of a segment that a set at the lower end of a band has at least
+SMALL = 48  # sets up to this size have a second way of being found
 
 
 # ---- bands and allocation ---------------------------------------------------------
@@ -90,25 +96,33 @@ def _tail(mean: float, k: int) -> float:
     return max(0.0, 1.0 - total)
 
 
+def _band(rule: Rule, low: int, exponent: int, share: int) -> Band:
+    high = low * rule.den ** exponent // rule.num ** exponent
+    best, least = None, 1 + (rule.errors(low) + 1) // share
+    for d in (0, 1, 2):
+        for reserve in range(d + least - 1, d + least + 96):
+            k = max(1, rule.errors(low) + 1 - d + reserve)
+            m = max(1, rule.errors(high) + 1 - d + reserve)
+            per = max(1.0, low * rule.num / rule.den) / m  # tokens of a segment in the smallest set that comes here
+            risk = _tail(k * math.exp(-per), reserve - least + 1)
+            cost = k + d * low / m + WEAK_COST * risk
+            if best is None or cost < best[0]:
+                best = cost, Band(low, high, least, d, reserve, m)
+            if risk < RISK:
+                break
+    return best[1]
+
+
 @lru_cache(maxsize=16)
 def bands(rule: Rule) -> tuple[Band, ...]:
+    """Bands as wide as their segments stay ``FULL``: wide ones are entered by fewer sets from below, narrow ones need fewer segments for a set."""
+    probe = 1000
+    choices = [(e, share) for e in (3, 2, 1) for share in (4, 8)]
+    exponent, share = next((c for c in choices if probe / _band(rule, probe, *c).segments >= FULL), choices[-1])
     out, low = [], 1
     while low < 1 << 40:
-        high = low * rule.den ** 3 // rule.num ** 3
-        best, least = None, 1 + (rule.errors(low) + 1) // 4
-        for d in (0, 1, 2):
-            for reserve in range(d + least - 1, d + least + 96):
-                k = max(1, rule.errors(low) + 1 - d + reserve)
-                m = max(1, rule.errors(high) + 1 - d + reserve)
-                per = max(1.0, low * rule.num / rule.den) / m  # tokens of a segment in the smallest set that comes here
-                risk = _tail(k * math.exp(-per), reserve - least + 1)
-                cost = k + d * low / m + WILD_COST * risk
-                if best is None or cost < best[0]:
-                    best = cost, Band(low, high, least, d, reserve, m)
-                if risk < RISK:
-                    break
-        out.append(best[1])
-        low = high + 1
+        out.append(_band(rule, low, exponent, share))
+        low = out[-1].high + 1
     return tuple(out)
 
 
@@ -149,9 +163,9 @@ def set_ids(tokens: np.ndarray, bounds: np.ndarray, seed: int) -> tuple[np.ndarr
 
 
 def signatures(tokens: np.ndarray, bounds: np.ndarray, rule: Rule) -> tuple[np.ndarray, ...]:
-    """(row, signature, weak) of every subset emitted; (row, code) of empty segments; and what each row's subsets weigh beyond its H.
+    """(row, signature, weak) of every subset emitted; (row, code) of the second way; and what each row's subsets weigh beyond its H.
 
-    The low six bits of a signature are its band.  A pair shares at least as many signatures as the subsets of its
+    The low eight bits of a signature are its band.  A pair shares at least as many signatures as the subsets of its
     smaller set weigh beyond H; where that is below the band's ``least`` the row is weak there, and wild below 1.
     """
     table = bands(rule)
@@ -188,7 +202,7 @@ def signatures(tokens: np.ndarray, bounds: np.ndarray, rule: Rule) -> tuple[np.n
         total = _sums(weight[at], np.append(start, len(at)))
         salt = mix((b[local] * 1_000_003 + segment).astype(np.uint64))
         label = b.astype(np.uint64)[local]
-        coded = lambda h, of: (mix(h) & np.uint64(0xFFFFFFFFFFFFFFC0)) | label[of]
+        coded = lambda h, of: (mix(h) & ~np.uint64(BANDS)) | label[of]
         rows.append(which[local[start]])
         sigs.append(coded(total + salt[start], start))
         group = np.repeat(np.arange(len(start)), size)
@@ -206,8 +220,20 @@ def signatures(tokens: np.ndarray, bounds: np.ndarray, rule: Rule) -> tuple[np.n
             r, s = np.nonzero(~full & (np.arange(full.shape[1]) < k[:, None]))
         else:
             r, s = (np.concatenate(x) for x in zip(*[(np.full(len(z), i), z) for i in range(len(which)) for z in [np.setdiff1d(np.arange(k[i]), segment[start][local[start] == i])]]))
-        empty_rows.append(which[r])
-        empties.append(b[r] * (1 << 40) + s)
+        large = n[which[r]] > SMALL
+        empty_rows.append(which[r[large]])
+        empties.append(b[r[large]] * (1 << 40) + s[large])
+    # the first tokens by hash, so many that a linked pair has one in common
+    own = np.flatnonzero((n > 0) & (n <= rule.largest_partner(SMALL)) & (rule.errors(n) > 0))
+    if len(own):
+        at = np.concatenate([np.arange(bounds[r], bounds[r + 1]) for r in own])
+        local = np.repeat(np.arange(len(own)), n[own])
+        code = mix(tokens[at] ^ np.uint64(0x632BE59BD9B4E019))
+        order = np.lexsort((code, local))
+        place = np.arange(len(at)) - np.searchsorted(local, local)
+        first = place < (n[own] - -(-n[own] * rule.num // rule.den) + 1)[local]
+        empty_rows.append(own[local[order][first]])
+        empties.append((((code[order][first]) >> np.uint64(3)) | np.uint64(1 << 61)).astype(np.int64))
     join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
     return join(rows, np.int64), join(sigs, np.uint64), join(weak, bool), join(empty_rows, np.int64), join(empties, np.int64), need
 
@@ -374,33 +400,63 @@ def _verify(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.Record
         yield done()
 
 
-def _near(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
-    """Rows (sig, bi, bj, sid, class, n, sketch) in order of (sig, bi, bj): pairs of different classes whose sketches allow a link."""
-    key, rows = None, []
+def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Which of the edges (a, b) among n nodes join two trees, taken in order."""
+    parent, keep = list(range(n)), np.zeros(len(a), bool)
 
-    def done():
-        sid, cls, n = (np.array([r[k] for r in rows], np.int64) for k in range(3))
-        sketches = np.array([r[3] for r in rows], np.int64).view(np.uint64)
-        a, b = [], []
-        for i in range(len(rows)):
-            gap = np.bitwise_count(sketches[i + 1:] ^ sketches[i]).sum(axis=1, dtype=np.int64)
-            total = n[i + 1:] + n[i]
-            hit = i + 1 + np.flatnonzero((gap * (rule.den + rule.num) <= (rule.den - rule.num) * total) & (cls[i + 1:] != cls[i]))
-            a.append(np.full(len(hit), sid[i]))
-            b.append(sid[hit])
-        a, b = np.concatenate(a), np.concatenate(b)
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+        x, y = find(x), find(y)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            keep[i] = True
+    return keep
+
+
+def near_forest(sid: np.ndarray, cls: np.ndarray, n: np.ndarray, sketches: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (a, b) of a forest that spans whatever pairs of different classes have sketches that allow a link."""
+    a, b = [], []
+    for i in range(len(sid) - 1):
+        other = i + 1 + np.flatnonzero(cls[i + 1:] != cls[i])
+        if len(other):
+            gap = np.bitwise_count(sketches[other] ^ sketches[i]).sum(axis=1, dtype=np.int64)
+            hit = other[gap * (rule.den + rule.num) <= (rule.den - rule.num) * (n[other] + n[i])]
+            a.append(np.full(len(hit), i))
+            b.append(hit)
+    a, b = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (a, b))
+    keep = _forest(a, b, len(sid))
+    a, b = sid[a[keep]], sid[b[keep]]
+    return np.minimum(a, b), np.maximum(a, b)
+
+
+def _near(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
+    """Rows (sig, bi, bj, sid, class, n, sketch) in order of (sig, bi, bj): ``near_forest`` of each such group."""
+    held: list[pa.RecordBatch] = []
+
+    def done(parts):
+        whole = pa.Table.from_batches(parts).combine_chunks()
+        value = lambda c: whole[c].to_numpy()
+        sketches = whole["sketch"].combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(whole.num_rows, -1)
+        a, b = near_forest(value("sid"), value("class"), value("n"), sketches, rule)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+    last = None
     for batch in batches:
-        keys = zip(*(batch.column(c).to_pylist() for c in ("sig", "bi", "bj")))
-        values = zip(*(batch.column(c).to_pylist() for c in ("sid", "class", "n", "sketch")))
-        for k, v in zip(keys, values):
-            if k != key:
-                if len(rows) > 1:
-                    yield done()
-                key, rows = k, []
-            rows.append(v)
-    if len(rows) > 1:
-        yield done()
+        keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("sig", "bi", "bj")], axis=1)
+        if not len(keys):
+            continue
+        starts = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(axis=1)))
+        for lo, hi in zip(starts, np.append(starts[1:], len(keys))):
+            if held and tuple(keys[lo]) != last:
+                yield done(held)
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+            last = tuple(keys[lo])
+    if held:
+        yield done(held)
 
 
 def prefixes(signed: DataFrame, rule: Rule) -> DataFrame:
@@ -414,7 +470,7 @@ def prefixes(signed: DataFrame, rule: Rule) -> DataFrame:
     met = signed.withColumns({"lo": F.min("sid").over(by_sig), "hi": F.max("sid").over(by_sig), "by_weak": F.max("weak").over(by_sig)}).where("lo < hi")
     met = met.groupBy("sig", "sid").agg(F.max("weak").alias("weak"), F.max("by_weak").alias("by_weak"))
     met = met.withColumn("df", F.count(F.lit(1)).over(by_sig))
-    band = F.col("sig").bitwiseAND(63).cast("int")
+    band = F.col("sig").bitwiseAND(BANDS).cast("int")
     own = W.partitionBy("sid", band)
     ranked = met.withColumns({"k": F.count(F.lit(1)).over(own), "rank": F.row_number().over(own.orderBy("df", "sig"))})
     least = F.array(*[F.lit(b.least) for b in bands(rule)])[band]
@@ -442,11 +498,23 @@ def _confirmed(pairs: DataFrame, full: DataFrame, rule: Rule) -> DataFrame:
     return both.where(F.col("common") * rule.den >= (F.col("a_n") + F.col("b_n") - F.col("common")) * rule.num).select("a", "b")
 
 
-def near_pairs(groups: DataFrame, classes: DataFrame, full: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs (a, b) of one group and different classes whose sketches allow a link; groups of one class cost nothing."""
+def mixed_groups(groups: DataFrame, classes: DataFrame) -> DataFrame:
+    """(sig, sid, size, class) of the groups with members of several classes."""
     classed = groups.join(classes.select(F.col("id").alias("sid"), "root"), "sid", "left").select("sig", "sid", "size", F.coalesce("root", "sid").alias("class"))
     mixed = classed.groupBy("sig").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("sig")
-    rows = classed.join(mixed, "sig").join(full.select("sid", "n", "sketch"), "sid")
+    return classed.join(mixed, "sig")
+
+
+def hub_pairs(mixed: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of each member with a hub of its group that is of another class; another hub every turn."""
+    hub = mixed.groupBy("sig").agg(F.min(F.struct(F.xxhash64("sid", F.lit(turn)).alias("h"), "sid", "class")).alias("hub"))
+    met = mixed.join(hub, "sig").where(F.col("class") != F.col("hub.class"))
+    return met.select(F.least("hub.sid", "sid").alias("a"), F.greatest("hub.sid", "sid").alias("b")).distinct()
+
+
+def near_pairs(mixed: DataFrame, full: DataFrame, rule: Rule) -> DataFrame:
+    """Edges (a, b) that join the sets of a group which are of different classes, but whose sketches allow a link."""
+    rows = mixed.join(full.select("sid", "n", "sketch"), "sid")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("sid"), blocks).cast("int")
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("own")).alias("bi"), F.greatest(x, F.col("own")).alias("bj")))
@@ -493,15 +561,24 @@ def _tables(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     wanted = docs.sparkSession.sparkContext.broadcast(_bitmap(groups.select("sid").distinct()))
     full = usable.mapInArrow(lambda it: _sets(it, rule, seed, wanted.value), "sid long, n long, sketch array<long>, tokens array<long>")
     full = scratch.write(full.dropDuplicates(["sid"]), "jaccard-sets")
-    # every set meets the hub of its group; only groups whose members are of several classes then are looked at inside
-    star = groups.where("sid <> hub").select(F.col("hub").alias("a"), F.col("sid").alias("b")).distinct()
-    links = scratch.write(_confirmed(star, full, rule), "jaccard-links")
-    classes = scratch.write(components(links, scratch), "jaccard-classes")
-    pairs = scratch.write(near_pairs(groups, classes, full, rule), "jaccard-pairs")
+    # hubs first: groups that are of one class then cost nothing more
+    mixed, links, classes = groups.select("sig", "sid", "size", F.col("sid").alias("class")), None, None
+    for turn in range(ROUNDS):
+        found = scratch.write(_confirmed(hub_pairs(mixed, turn), full, rule), "jaccard-links")
+        links = found if links is None else links.unionByName(found)
+        if turn and not found.take(1):
+            break
+        labels = scratch.write(components(links, scratch), "jaccard-classes")
+        still = scratch.write(mixed_groups(groups, labels), "jaccard-mixed")
+        if classes is not None:
+            scratch.drop(classes, mixed)
+        classes, mixed = labels, still
+    pairs = scratch.write(near_pairs(mixed, full, rule), "jaccard-pairs")
     if pairs.take(1):
         more = scratch.write(_family_links(pairs, classes, full, rule, scratch), "jaccard-links")
         links = links.unionByName(more)
         classes = scratch.write(components(links, scratch), "jaccard-classes")
+    scratch.drop(mixed)
     scratch.drop(groups, pairs, full)
     first = named.groupBy("sid").agg(F.min("doc_id").alias("first_doc"))
     joined = first.join(classes.select(F.col("id").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))

@@ -112,27 +112,29 @@ def test_sketches_never_exclude_a_link():
         assert np.bitwise_count(s[0] ^ s[1]).sum() <= len(np.setxor1d(a, b))
 
 
-def test_every_link_shares_a_signature_or_is_wild():
+@pytest.mark.parametrize("words,num", [(4, 85), (5, 80)])
+def test_every_link_shares_a_signature_or_is_wild(words, num):
     import numpy as np
-    rule = jaccard.Rule()
+    rule = jaccard.Rule(words, num, 100)
     rng = np.random.default_rng(5)
-    for n in [*range(7, 60), 88, 143, 150, 383, 700]:
+    for n in [*range(4, 80), *range(5, 75, 2), 88, 143, 150, 383, 700]:
         base = rng.integers(0, 1 << 62, n, dtype=np.uint64)
-        most = (15 * 2 * n) // 185
+        most = ((100 - num) * 2 * n) // (100 + num)
         for errors in range(1, most + 1, max(1, most // 4)):
             other = base.copy()[errors // 2:] if errors > 1 else base.copy()
             other = np.concatenate((other, rng.integers(0, 1 << 62, errors - errors // 2 if errors > 1 else 1, dtype=np.uint64)))
             both = [np.unique(base), np.unique(other)]
             inter = len(np.intersect1d(*both))
-            if 100 * inter < 85 * (len(both[0]) + len(both[1]) - inter):
+            if 100 * inter < num * (len(both[0]) + len(both[1]) - inter):
                 continue
             tokens, bounds = np.concatenate(both), np.cumsum([0, len(both[0]), len(both[1])])
             rows, sigs, weak, erows, codes, need = jaccard.signatures(tokens, bounds, rule)
             small = int(np.argmin(np.diff(bounds)))
             shared = np.intersect1d(sigs[rows == 0], sigs[rows == 1])
             band = int(np.searchsorted([b.low for b in jaccard.bands(rule)], max(np.diff(bounds)), side="right")) - 1
-            if not weak[(rows == small) & (sigs & np.uint64(63) == band)].any():
-                assert (shared & np.uint64(63) == band).sum() >= jaccard.bands(rule)[band].least
+            if not weak[(rows == small) & (sigs & np.uint64(jaccard.BANDS) == band)].any():
+                assert (shared & np.uint64(jaccard.BANDS) == band).sum() >= jaccard.bands(rule)[band].least
             if not len(shared):
                 assert need[small] < 1
+            if need[small] < 1:
                 assert len(np.intersect1d(codes[erows == 0], codes[erows == 1]))
