@@ -48,30 +48,53 @@ def stream_bars(spark, sf):
     return x.select("symbol", F.date_format("ts", "yyyy-MM-dd HH").alias("hour"), "open", "high", "low", "close", "volume")
 
 
+CHUNKS = 4
+
+
+def fill_chunks(spark, sf):
+    """Fills with the chunk they arrive in: by order key, a part of them up to 3,000 keys later than their place."""
+    f = views.fills(spark, sf).select("account", "symbol", "seq", "signed_qty", "price")
+    top = f.agg(F.max("seq")).scalar()
+    return f.withColumn("chunk", F.least(F.lit(CHUNKS - 1), F.floor((F.col("seq") + F.col("seq") % 7 * 500) * CHUNKS / top)))
+
+
 @query("stm_03_running_positions", sql("SELECT account, symbol, arg_max(q, rn) AS quantity, round(coalesce(arg_max(basis, rn) / nullif(abs(arg_max(q, rn)), 0), 0), 6) + 0.0 AS avg_entry, "
                                        "round(sum(realized), 5) + 0.0 AS realized_pnl, count(*) AS n_fills FROM pos GROUP BY 1, 2", "fills", ctes=q_ledger.POS_CTE))
 def stream_positions(spark, sf):
-    """Stateful positions from the order stream equal the batch ledger."""
-    o = jobs.stream_table(spark, sf, "orders")
-    buy = (F.col("o_orderstatus") == "F") | ((F.col("o_orderstatus") == "P") & (F.col("o_orderkey") % 2 == 0))
-    qty = (F.lit(1) + F.col("o_orderkey") % 7).cast("double")
-    fills = o.select((F.col("o_custkey") % 10).alias("account"), F.col("o_orderpriority").alias("symbol"), F.col("o_orderkey").alias("seq"),
-                     F.when(buy, qty).otherwise(-qty).alias("signed_qty"), (F.col("o_totalprice") / 1000.0).alias("price"))
-    x = jobs.drain_latest(jobs.running_positions(fills), "positions", ["account", "symbol"], "n_fills")
+    """Stateful positions equal the batch ledger: fills come out of order in four chunks, the job restarts after each, and fills settle in between."""
+    updates = jobs.replay(fill_chunks(spark, sf), "chunk", CHUNKS, lambda s: jobs.running_positions(s, 5000), "positions")
+    x = jobs.newest(updates.where("kind = 'row'"), ["account", "symbol"], "n_fills")
     return x.select("account", "symbol", "quantity", (F.round("avg_entry", 6) + F.lit(0.0)).alias("avg_entry"),
                     (F.round("realized_pnl", 5) + F.lit(0.0)).alias("realized_pnl"), "n_fills")
 
 
+@query("stm_03_late_fills", """WITH c AS (SELECT o_custkey % 10 AS account, o_orderpriority AS symbol, o_orderkey AS seq,
+  least(3, (o_orderkey + (o_orderkey % 7) * 500) * 4 // (SELECT max(o_orderkey) FROM orders)) AS chunk FROM orders),
+w AS (SELECT chunk, max(max(seq)) OVER (ORDER BY chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM c GROUP BY chunk)
+SELECT account, symbol, seq FROM c JOIN w USING (chunk) WHERE seq < top - 400""")
+def late_fills(spark, sf):
+    """With less disorder allowed than there is, the fills behind the watermark come out as rows of their own."""
+    updates = jobs.replay(fill_chunks(spark, sf), "chunk", CHUNKS, lambda s: jobs.running_positions(s, 400), "late-fills")
+    return updates.where("kind = 'late'").select("account", "symbol", F.col("number").alias("seq"))
+
+
 @query("stm_04_sticky_stops", sql("SELECT account, strftime(session, '%Y-%m-%d') AS session, loss_breach, dd_breach, stopped FROM bs", "fills", "marks", ctes=q_ledger.BREACH_CTE))
 def sticky_stops(spark, sf):
     """The batch equity table replayed as a stream with a sticky stop in state."""
     path = files.scratch(spark, "equity")
     e = lg.equity(*q_ledger.books(spark, sf), width=q_ledger.WIDTH).select("account", "session", "value", "drawdown")
     e.write.parquet(path)
-    x = jobs.drain_latest(jobs.sticky_stops(spark.readStream.schema(e.schema).parquet(path)), "stops", ["account", "session"], "value")
+    x = jobs.drain_latest(jobs.sticky_stops(spark.readStream.schema(e.schema).parquet(path)), "stops", ["account", "session"], "kind")
     return q_ledger.ses(x).select("account", "session", "loss_breach", "dd_breach", "stopped")
 
 
+@query("stm_05_stream_staleness", """SELECT event_type AS symbol, epoch_us(max(ts)) // 1000 AS last_ms FROM events GROUP BY 1
+  HAVING epoch_us(max(ts)) // 1000 + 600000 <= (SELECT epoch_us(max(ts)) // 1000 FROM events)""")
+def stream_staleness(spark, sf):
+    """Symbols that were silent for the last ten minutes of event time, reported by timers."""
+    return jobs.drain(jobs.stale_symbols(ticks(spark, sf), 600_000), "stale")
+
+
 @query("stm_06_stream_alerts", sql("SELECT account, category, severity, dedupe_key FROM al", "fills", "marks", ctes=q_ledger.ALERT_CTE))
 def stream_alerts(spark, sf):
     """Rule hits written twice and deduplicated by stream state."""

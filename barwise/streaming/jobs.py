@@ -7,13 +7,12 @@ is how batch and stream are compared.
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from barwise.operators.ledger import INITIAL_CASH
 from barwise.sources.files import scratch
@@ -74,23 +73,132 @@ def last_marks(ticks: DataFrame, ts: str = "ts", price: str = "price") -> DataFr
     return ticks.groupBy("symbol").agg(F.max_by(F.when(ok, F.col(price)), F.when(ok, order)).alias("mark"), F.count(F.lit(1)).alias("n_ticks"))
 
 
-# ---- positions --------------------------------------------------------------------------
+# ---- rows that count in order --------------------------------------------------------------
 
-POSITION_STATE = "quantity double, basis double, realized_pnl double, n_fills long, n_rejected long, pending string"
-POSITION_ROWS = "account long, symbol string, quantity double, avg_entry double, realized_pnl double, n_fills long, n_rejected long"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _merge_pending(pending: str, frames: Iterator[pd.DataFrame], order: str, columns: list[str], settled: int) -> tuple[list[list], int]:
-    """Waiting and new rows in order, one per order value, and how many new ones came after their place was settled."""
-    rows, late = {r[0]: r for r in json.loads(pending)}, 0
-    for frame in frames:
-        for r in frame[[order, *columns]].itertuples(index=False):
-            if int(r[0]) <= settled:
-                late += 1
-            else:
-                rows.setdefault(int(r[0]), [int(r[0]), *map(float, r[1:])])
-    return [rows[k] for k in sorted(rows)], late
+@dataclass(frozen=True)
+class Ordered:
+    """What a job does with rows that count in the order of a number.
 
+    ``apply(state, number, values)`` returns the state after a row and the cells it shows.  ``every``: each row shows its
+    cells; otherwise only the last one of an update.
+    """
+
+    order: str
+    unit_ms: int  # event time of a step of the order number
+    values: tuple[str, ...]
+    state: str
+    start: tuple
+    shown: str
+    apply: Callable
+    every: bool = False
+
+    @property
+    def shown_names(self) -> list[str]:
+        return [part.split()[0] for part in self.shown.split(",")]
+
+
+class InOrder(StatefulProcessor):
+    """Rows come in any order and are settled in the order of their number.
+
+    A row waits in a map by its number (a replay finds it taken) until the watermark is past it; an event-time timer
+    settles what waits of a key that gets no rows.  A row behind the watermark comes too late to be applied in order: it
+    goes out as it is, with kind "late".  Each update shows the key with its waiting rows applied too, kind "row".  So a
+    key holds as many rows as the disorder allows, each an entry of the state store, whatever came before.
+    """
+
+    def __init__(self, job: Ordered, keys: list[str]):
+        self.job, self.keys = job, keys
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.carried = handle.getValueState("carried", self.job.state)
+        self.waiting = handle.getMapState("waiting", "number long", ", ".join(f"`{v}` double" for v in self.job.values))
+
+    def _rows(self, key, passed: int, show: bool):
+        job = self.job
+        state = tuple(self.carried.get()) if self.carried.exists() else job.start
+        waiting = sorted((k[0], tuple(v)) for k, v in self.waiting.iterator())
+        shown = None
+        for number, values in waiting:
+            if number >= passed:
+                break
+            state, shown = job.apply(state, number, values)
+            self.waiting.removeKey((number,))
+            if show and job.every:
+                yield self._row(key, "row", number, None, shown)
+        self.carried.update(state)
+        later = [w for w in waiting if w[0] >= passed]
+        if later:
+            self.handle.registerTimer((later[0][0] + 1) * job.unit_ms)
+        for number, values in later:
+            state, shown = job.apply(state, number, values)
+            if show and job.every:
+                yield self._row(key, "row", number, None, shown)
+        if show and shown is not None and not job.every:
+            yield self._row(key, "row", None, None, shown)
+
+    def _row(self, key, kind, number, values, shown) -> Row:
+        cells = dict.fromkeys(self.job.shown_names) if shown is None else dict(zip(self.job.shown_names, shown))
+        given = dict.fromkeys(self.job.values) if values is None else dict(zip(self.job.values, values))
+        return Row(**dict(zip(self.keys, key)), kind=kind, number=number, **given, **cells)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        passed = timerValues.getCurrentWatermarkInMs() // self.job.unit_ms
+        for r in rows:
+            number, values = int(r[self.job.order]), tuple(float(r[v]) for v in self.job.values)
+            if number < passed:
+                yield self._row(key, "late", number, values, None)
+            elif not self.waiting.containsKey((number,)):
+                self.waiting.updateValue((number,), values)
+        yield from self._rows(key, passed, True)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        yield from self._rows(key, timerValues.getCurrentWatermarkInMs() // self.job.unit_ms, False)
+
+
+def in_order(rows: DataFrame, job: Ordered, keys: list[str], at, disorder: str) -> DataFrame:
+    """Stream of (keys, kind, number, values, shown): rows of ``job`` per key, late ones included.
+
+    ``at`` is the event time of a row.  It sets the watermark and is not handed on, as Spark would drop late rows by it.
+    """
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    timed = rows.withColumn("_at", at).withWatermark("_at", disorder).select(*keys, job.order, *job.values)
+    key_types = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+    schema = f"{key_types}, kind string, number long, {', '.join(f'`{v}` double' for v in job.values)}, {job.shown}"
+    return timed.groupBy(*keys).transformWithState(InOrder(job, keys), schema, "Update", "EventTime")
+
+
+def replay(rows: DataFrame, chunk: str, chunks: int, build, name: str) -> DataFrame:
+    """Let the rows of chunk 0, 1, ... arrive one after the other in a job that is stopped and started again in between.
+
+    Returns all its update rows with their ``batch_id``; a batch that is repeated overwrites its own folder.
+    """
+    spark = rows.sparkSession
+    path = scratch(spark, name)
+    source = rows.drop(chunk)
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/out/batch_id={batch_id}")
+    for c in range(chunks):
+        rows.where(F.col(chunk) == c).drop(chunk).write.mode("append").parquet(f"{path}/in")
+        stream = build(spark.readStream.schema(source.schema).parquet(f"{path}/in"))
+        query = (stream.writeStream.outputMode("update").foreachBatch(save)
+                 .option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start())
+        query.awaitTermination()
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema.fields)
+    return spark.read.schema(f"{fields}, batch_id long").parquet(f"{path}/out")
+
+
+def newest(updates: DataFrame, keys: list[str], version: str) -> DataFrame:
+    """Newest update row of each key."""
+    value = F.struct(*[c for c in updates.columns if c not in (*keys, "batch_id")])
+    return updates.groupBy(*keys).agg(F.max_by(value, F.struct("batch_id", version)).alias("v")).select(*keys, "v.*")
+
+
+# ---- positions and stops --------------------------------------------------------------------
 
 def _apply_fill(q: float, basis: float, d: float, px: float) -> tuple[float, float, float]:
     after = q + d
@@ -101,86 +209,80 @@ def _apply_fill(q: float, basis: float, d: float, px: float) -> tuple[float, flo
     return after, abs(after) * px if abs(d) > abs(q) else basis * abs(after) / abs(q), gain
 
 
-def running_positions(fills: DataFrame, disorder: int = 1_000_000) -> DataFrame:
-    """Average-cost positions per (account, symbol), updated batch by batch.
+def _fill_step(state: tuple, _: int, fill: tuple) -> tuple[tuple, tuple]:
+    q, basis, gain = _apply_fill(state[0], state[1], *fill)
+    after = (q, basis, state[2] + gain, state[3] + 1)
+    return after, (q, basis / abs(q) if q else 0.0, after[2], after[3])
+
+
+FILLS = Ordered("seq", 1000, ("signed_qty", "price"), "quantity double, basis double, gain double, n long", (0.0, 0.0, 0.0, 0),
+                "quantity double, avg_entry double, realized_pnl double, n_fills long", _fill_step)
+
+
+def running_positions(fills: DataFrame, disorder: int = 1_000) -> DataFrame:
+    """Average-cost positions per (account, symbol); fills may come up to ``disorder`` sequence numbers out of order.
 
-    Fills may come in any order.  They wait in state, one per sequence number
-    (a replay finds its number taken), until the watermark is ``disorder``
-    numbers past them; then they are settled in order and leave the state.  Every
-    update holds the position with the waiting fills applied too, so the newest
-    row counts all fills so far.  A fill behind the watermark can't be applied
-    in order: Spark drops it, or it is counted in ``n_rejected``.
+    The newest row of kind "row" counts all fills so far; fills that come later than that are rows of kind "late".
     """
-    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        q, basis, gain, n, rejected, pending = state.get if state.exists else (0.0, 0.0, 0.0, 0, 0, "[]")
-        settled = state.getCurrentWatermarkMs() // 1000
-        rows, late = _merge_pending(pending, frames, "seq", ["signed_qty", "price"], settled - 1)
-        rejected += late
-        keep = [r for r in rows if r[0] >= settled]
-        for _, d, px in (r for r in rows if r[0] < settled):
-            q, basis, g = _apply_fill(q, basis, d, px)
-            gain, n = gain + g, n + 1
-        state.update((q, basis, gain, n, rejected, json.dumps(keep)))
-        for _, d, px in keep:
-            q, basis, g = _apply_fill(q, basis, d, px)
-            gain, n = gain + g, n + 1
-        yield pd.DataFrame({"account": [key[0]], "symbol": [key[1]], "quantity": [q], "avg_entry": [basis / abs(q) if q else 0.0],
-                            "realized_pnl": [gain], "n_fills": [n], "n_rejected": [rejected]})
-    timed = fills.withColumn("_at", F.timestamp_seconds("seq")).withWatermark("_at", f"{disorder} seconds")
-    return timed.groupBy("account", "symbol").applyInPandasWithState(
-        step, POSITION_ROWS, POSITION_STATE, "update", GroupStateTimeout.NoTimeout)
-
-
-def sticky_stops(equity: DataFrame, daily_loss: float = 0.05, max_drawdown: float = 0.20, disorder: str = "3650 days") -> DataFrame:
-    """Breach flags per account and session with a stop that never resets by itself.
-
-    Update mode.  Sessions may come in any order: they wait in state until the watermark has passed them, and
-    each update holds the waiting sessions anew, so the newest row of a session is its result.
+    return in_order(fills, FILLS, ["account", "symbol"], F.timestamp_seconds("seq"), f"{disorder} seconds")
+
+
+def sticky_stops(equity: DataFrame, daily_loss: float = 0.05, max_drawdown: float = 0.20, disorder: str = "30 days") -> DataFrame:
+    """Breach flags per account and session with a stop that never resets by itself; sessions may come ``disorder`` out of order.
+
+    The newest row of a session is its result; a session that comes later than that is a row of kind "late".
     """
-    fields = "account long, session date, value double, drawdown double, loss_breach boolean, dd_breach boolean, stopped boolean"
-    epoch = pd.Timestamp("1970-01-01")
-
-    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        previous, stopped, pending = state.get if state.exists else (INITIAL_CASH, False, "[]")
-        settled = state.getCurrentWatermarkMs() // 86_400_000
-        days = (f.assign(_day=(pd.to_datetime(f["session"]) - epoch).dt.days) for f in frames)
-        rows, _ = _merge_pending(pending, days, "_day", ["value", "drawdown"], settled - 1)
-        saved, out = (previous, stopped), []
-        for day, value, drop in rows:
-            loss = bool(value / previous - 1.0 <= -daily_loss) if previous else False
-            dd = bool(drop < -max_drawdown)
-            stopped = stopped or loss or dd
-            out.append((key[0], (epoch + pd.Timedelta(days=day)).date(), value, drop, loss, dd, stopped))
-            previous = value
-            if day < settled:
-                saved = previous, stopped
-        state.update((*saved, json.dumps([r for r in rows if r[0] >= settled])))
-        yield pd.DataFrame(out, columns=["account", "session", "value", "drawdown", "loss_breach", "dd_breach", "stopped"])
-    timed = equity.withColumn("_at", F.col("session").cast("timestamp")).withWatermark("_at", disorder)
-    return timed.groupBy("account").applyInPandasWithState(
-        step, fields, "previous double, stopped boolean, pending string", "update", GroupStateTimeout.NoTimeout)
+    def step(state: tuple, _: int, row: tuple) -> tuple[tuple, tuple]:
+        previous, stopped = state
+        value, drop = row
+        loss = bool(value / previous - 1.0 <= -daily_loss) if previous else False
+        dd = bool(drop < -max_drawdown)
+        stopped = bool(stopped or loss or dd)
+        return (value, stopped), (loss, dd, stopped)
+    job = Ordered("day", 86_400_000, ("value", "drawdown"), "previous double, stopped boolean", (INITIAL_CASH, False),
+                  "loss_breach boolean, dd_breach boolean, stopped boolean", step, every=True)
+    numbered = equity.withColumn("day", F.unix_date("session").cast("long"))
+    found = in_order(numbered, job, ["account"], F.col("session").cast("timestamp"), disorder)
+    return found.withColumn("session", F.date_from_unix_date(F.col("number").cast("int"))).drop("number")
+
+
+class Silence(StatefulProcessor):
+    """Keeps the last event time of a key and reports it once ``max_age_ms`` of event time have passed without another."""
+
+    def __init__(self, max_age_ms: int):
+        self.max_age_ms = max_age_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "ms long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        known = self.last.get()[0] if self.last.exists() else None
+        last = max([int(r["_ms"]) for r in rows] + ([known] if known is not None else []))
+        if last + self.max_age_ms <= timerValues.getCurrentWatermarkInMs():  # already silent for as long
+            self.last.clear()
+            yield Row(symbol=key[0], last_ms=last)
+            return
+        self.last.update((last,))
+        if known is not None and known != last:
+            self.handle.deleteTimer(known + self.max_age_ms)
+        self.handle.registerTimer(last + self.max_age_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        if self.last.exists():
+            last = self.last.get()[0]
+            self.last.clear()
+            yield Row(symbol=key[0], last_ms=last)
 
 
 def stale_symbols(ticks: DataFrame, max_age_ms: int, ts: str = "ts", late: str = "0 seconds") -> DataFrame:
     """One row when a symbol has been silent for ``max_age_ms`` of event time."""
-    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            last = state.get[0]
-            state.remove()
-            yield pd.DataFrame({"symbol": [key[0]], "last_ms": [last]})
-            return
-        last = max([int(f["_ms"].max()) for f in frames] + ([state.get[0]] if state.exists else []))
-        state.update((last,))
-        due = last + max_age_ms
-        if due > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(due)
-            return
-        state.remove()
-        yield pd.DataFrame({"symbol": [key[0]], "last_ms": [last]})
-    x = ticks.withWatermark(ts, late).withColumn("_ms", F.unix_millis(ts)).select("symbol", ts, "_ms")
-    return x.groupBy("symbol").applyInPandasWithState(
-        step, "symbol string, last_ms long", "last_ms long", "append", GroupStateTimeout.EventTimeTimeout)
+    ticks.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    x = ticks.withWatermark(ts, late).withColumn("_ms", F.unix_millis(ts)).select("symbol", "_ms")
+    return x.groupBy("symbol").transformWithState(Silence(max_age_ms), "symbol string, last_ms long", "Append", "EventTime")
+
 
+# ---- alerts and news ------------------------------------------------------------------------
 
 def deduplicated_alerts(candidates: DataFrame, ts: str | None = None, late: str = "7 days") -> DataFrame:
     """First alert per (account, dedupe key); with an event time, keys leave the state once the watermark has passed them."""

@@ -75,7 +75,7 @@ def test_stream_positions_over_two_batches_equal_batch(spark, tmp_path):
              .foreachBatch(lambda b, n, i=i: b.write.mode("append").parquet(str(tmp_path / "out")))
              .option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start())
         q.awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "out")).orderBy(F.desc("n_fills")).first()
+    got = spark.read.parquet(str(tmp_path / "out")).where("kind = 'row'").orderBy(F.desc("n_fills")).first()
     q, avg, gain = walk_fills(rows)[-1]
     assert got.n_fills == 60
     assert (got.quantity, got.avg_entry, got.realized_pnl) == pytest.approx((q, avg, gain))
@@ -166,7 +166,7 @@ def test_stream_positions_take_fills_in_any_order(spark, tmp_path, batches):
         query = (jobs.running_positions(stream).writeStream.outputMode("update").foreachBatch(
             lambda b, i: b.write.mode("append").parquet(str(tmp_path / "out"))).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start())
         query.awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "out")).orderBy(F.desc("n_fills")).first()
+    got = spark.read.parquet(str(tmp_path / "out")).where("kind = 'row'").orderBy(F.desc("n_fills")).first()
     q = basis = gain = 0.0
     for k in sorted(rows):
         q, basis, g = jobs._apply_fill(q, basis, rows[k][1], rows[k][2])
@@ -229,3 +229,22 @@ def test_holdings_grow_with_open_days(spark):
     assert e[13].realized_pnl == pytest.approx(10.0) and e[399].realized_pnl == pytest.approx(10.0)
     assert e[399].unrealized_pnl == pytest.approx(4.0)
     assert all(abs(r.net_pnl - (r.realized_pnl + r.unrealized_pnl - r.fees)) < 1e-6 for r in e.values())
+
+
+def test_fills_settle_behind_the_watermark_and_late_ones_come_out(spark):
+    """Disorder of 5: chunk 1 settles fills 1 to 3 and rejects a late 4 of chunk 2, which is a row of its own."""
+    rows = [(1, 1.0, 10.0, 0), (2, 1.0, 12.0, 0), (3, -1.0, 15.0, 0), (10, 2.0, 11.0, 0), (9, 1.0, 9.0, 1), (10, 99.0, 1.0, 1), (20, 1.0, 8.0, 1), (4, 5.0, 5.0, 2), (30, 1.0, 7.0, 3)]
+    f = fills(spark, [r[:3] for r in rows]).withColumn("chunk", F.lit(0)).limit(0)
+    schema = f.schema
+    base = fills(spark, [r[:3] for r in rows])
+    numbered = spark.createDataFrame([(r[0], r[1], r[3]) for r in rows], "seq long, signed_qty double, chunk int")
+    chunks = base.join(numbered, ["seq", "signed_qty"]).select(*[c.name for c in schema])
+    updates = jobs.replay(chunks, "chunk", 4, lambda s: jobs.running_positions(s, 5), "late-test")
+    late = updates.where("kind = 'late'").select("number", "signed_qty", "price").collect()
+    assert [tuple(r) for r in late] == [(4, 5.0, 5.0)]
+    last = jobs.newest(updates.where("kind = 'row'"), ["account", "symbol"], "n_fills").first()
+    q = basis = gain = 0.0
+    for _, d, px in [(1, 1.0, 10.0), (2, 1.0, 12.0), (3, -1.0, 15.0), (9, 1.0, 9.0), (10, 2.0, 11.0), (20, 1.0, 8.0), (30, 1.0, 7.0)]:
+        q, basis, g = jobs._apply_fill(q, basis, d, px)
+        gain += g
+    assert (last.n_fills, last.quantity) == (7, q) and last.avg_entry == pytest.approx(basis / q) and last.realized_pnl == pytest.approx(gain)
