@@ -154,16 +154,62 @@ def history_delta(before: DataFrame, after: DataFrame, columns: list[str], keys=
         F.max("p.d").alias("max_delta"), F.count(F.lit(1)).alias("checked_rows")).withColumn("passed", F.col("max_delta") < 1e-12)
 
 
-def leakage_audit(bars: DataFrame, build, columns: list[str], split, dimensions: dict[str, list[str]], ts: str = "ts") -> DataFrame:
-    """Change only rows after ``split`` in one dimension at a time and compare history before it.
+def worlds_of(rows: DataFrame, later, worlds: dict[str, dict[str, Column]]) -> DataFrame:
+    """``rows`` once per world in a column ``world``: "base" as they are, the others with the named columns replaced where ``later`` holds."""
+    x = rows.withColumn("world", F.explode(F.array(*[F.lit(w) for w in ("base", *worlds)])))
+    touched = sorted({c for cells in worlds.values() for c in cells})
+    changes = {}
+    for c in touched:
+        value = F.col(c)
+        for w, cells in worlds.items():
+            if c in cells:
+                value = F.when((F.col("world") == w) & later, cells[c]).otherwise(value)
+        changes[c] = value
+    return x.withColumns(changes)
+
+
+def compare_worlds(features: DataFrame, columns: list[str], worlds: list[str], keys=("symbol", "ts"), tolerance: float = 1e-12) -> DataFrame:
+    """Per world and feature: rows looked at, rows that differ from the base world, and by how much at most.
+
+    The worlds of a row meet in one aggregation by ``keys``; a value on one side only counts as an infinite difference.
+    """
+    own = lambda w, c: F.max(F.when(F.col("world") == w, F.col(c))).alias(f"{w}__{c}")
+    x = features.groupBy(*keys).agg(*[own(w, c) for w in ("base", *worlds) for c in columns])
+
+    def delta(w: str, c: str) -> Column:
+        a, b = F.col(f"base__{c}"), F.col(f"{w}__{c}")
+        return F.when(a.isNull() & b.isNull(), 0.0).otherwise(F.coalesce(F.abs(a - b), F.lit(float("inf"))))
+    cells = F.array(*[F.struct(F.lit(w).alias("dimension"), F.lit(c).alias("feature"), delta(w, c).alias("d")) for w in worlds for c in columns])
+    x = x.select(F.explode(cells).alias("p")).groupBy("p.dimension", "p.feature").agg(
+        F.count(F.lit(1)).alias("checked_rows"), F.count_if(F.col("p.d") > tolerance).alias("n_changed"), F.max("p.d").alias("max_delta"))
+    return x.withColumn("passed", F.col("n_changed") == 0)
+
+
+def leakage_audit(rows: DataFrame, build, columns: list[str], split: Column, worlds: dict[str, dict[str, Column]], ts: str = "ts") -> DataFrame:
+    """Change only rows from ``split`` on, one dimension per world, and compare the features before it; all worlds in one job.
+
+    ``build`` maps rows with a column ``world`` to features; it must treat (world, symbol) as a series and a world as a market.
+    """
+    made = build(worlds_of(rows, F.col(ts) >= split, worlds))
+    return compare_worlds(made.where(F.col(ts) < split), columns, list(worlds), ("symbol", ts))
+
+
+def event_audit(bars: DataFrame, events: DataFrame, build, columns: list[str], split: Column, ts: str = "ts") -> DataFrame:
+    """The audit for dated events: from ``split`` on their content is changed in one world, in another a third is removed and a third doubled.
 
-    ``build`` maps bars to features.  One row per (dimension, feature).
+    ``build`` maps (bars, events) to features per symbol; worlds are told apart by a prefix of the symbol.
     """
-    base = build(bars).where(F.col(ts) < split)
-    out = None
-    for name, touched in dimensions.items():
-        bump = F.when(F.col(ts) >= split, 1.0 + (F.dayofyear(ts) % 7 + 1) / 100.0).otherwise(1.0)
-        changed = bars.withColumns({c: F.col(c) * bump for c in touched})
-        row = history_delta(base, build(changed).where(F.col(ts) < split), columns).withColumn("dimension", F.lit(name))
-        out = row if out is None else out.unionByName(row)
-    return out
+    later = F.col("availability_time") >= split
+    worlds = {"event_content": {"sentiment": -F.col("sentiment") + 0.1, "novelty": 1.0 - F.col("novelty")}, "event_add_remove": {}}
+    x = worlds_of(events, later, worlds)
+    moved = (F.col("world") == "event_add_remove") & later
+    ids = F.when(moved & (F.col("event_id") % 3 == 0), F.array().cast("array<bigint>")).when(
+        moved & (F.col("event_id") % 3 == 1), F.array(F.col("event_id").cast("long"), F.col("event_id").cast("long") + 1_000_000_007)).otherwise(
+        F.array(F.col("event_id").cast("long")))
+    number = F.when(F.col("world") == "base", 0).when(F.col("world") == "event_content", 1).otherwise(2)  # an event is one of its world
+    x = x.withColumn("event_id", F.explode(ids)).withColumn("event_id", F.col("event_id") * 3 + number)
+    x = x.withColumn("symbol", F.concat_ws("|", "world", "symbol")).drop("world")
+    grid = bars.withColumn("world", F.explode(F.array(*[F.lit(w) for w in ("base", *worlds)]))).withColumn("symbol", F.concat_ws("|", "world", "symbol")).drop("world")
+    made = build(grid, x).where(F.col(ts) < split)
+    named = made.withColumns({"world": F.split("symbol", "[|]", 2)[0], "symbol": F.split("symbol", "[|]", 2)[1]})
+    return compare_worlds(named, columns, list(worlds), ("symbol", ts), 1e-9)

@@ -49,12 +49,13 @@ def momentum(bars: DataFrame, n: int, s: Rolling = Rolling(), name: str | None =
 def price_volume_features(bars: DataFrame, s: Rolling = Rolling(), market: str | None = None) -> DataFrame:
     """The eleven baseline features.
 
-    Relative strength needs the mean return of each session over all symbols: a
-    small per-session aggregate joined back, not a window over one session.
+    Relative strength needs the mean return of each session over all symbols (of
+    the same market, where ``s`` has further keys): a small per-session aggregate joined back, not a window over one session.
     """
     x = returns(bars, s)
-    mean_ret = x.groupBy(s.ts).agg(F.avg("ret").alias("_market_ret"))
-    x = x.join(mean_ret, s.ts)
+    market_keys = [*[k for k in s.keys if k != "symbol"], s.ts]
+    mean_ret = x.groupBy(*market_keys).agg(F.avg("ret").alias("_market_ret"))
+    x = x.join(mean_ret, market_keys)
     x = x.withColumns({
         "mom_63": s.pct_change("close", 63), "mom_252": s.pct_change("close", 252),
         "trend_50": safe_div("close", s.mean("close", 50)) - 1.0,

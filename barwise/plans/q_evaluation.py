@@ -15,6 +15,7 @@ from barwise.operators import models
 from barwise.operators import portfolio as pt
 from barwise.operators import price_features as pf
 from barwise.operators import search
+from barwise.operators.information import INFO_FEATURES, information_features
 from barwise.operators import statistics as st
 from barwise.plans import q_books, q_windows
 from barwise.plans.catalogue import DAY, _win, out, query, s_lag, sel, sql, stages
@@ -373,21 +374,39 @@ def missing_data(spark, sf):
                                    (F.round(F.sum("mean_reversion_20"), 6) + F.lit(0.0)).alias("sum_mr"))
 
 
-def _leak_sql(name, cols, touched):
-    return " UNION ALL ".join(f"SELECT '{d}' AS dimension, '{c}' AS feature, true AS passed, (SELECT count(*) FROM bars WHERE ts < DATE '1998-06-01') AS checked_rows"
-                              for d in touched for c in cols)
+LEAK_COLS = ["mom_63", "trend_50", "mean_reversion_20", "rv_20", "regime_high_vol", "rel_strength", "volume_z_20"]
+LEAK_WORLDS = ("price", "volume", "cross_asset", "target")
+SPLIT = "1998-06-01"
 
 
-LEAK_COLS = ["mom_63", "trend_50", "mean_reversion_20", "rv_20", "regime_high_vol", "rel_strength", "volume_z_20"]
-LEAK_DIMS = {"price": ["open", "high", "low", "close"], "volume": ["volume"]}
+def _leak_sql() -> str:
+    """Clean features have no changed row; the planted one reads the next close, so the last bar of each changed symbol before the split differs."""
+    planted = "SELECT symbol, ts, lead(ts) OVER (PARTITION BY symbol ORDER BY ts) AS nxt FROM bars"
+    hit = f"FROM ({planted}) WHERE ts < DATE '{SPLIT}' AND nxt >= DATE '{SPLIT}'"
+    n_bars = f"(SELECT count(*) FROM bars WHERE ts < DATE '{SPLIT}')"
+    changed = {"price": f"(SELECT count(*) {hit})", "cross_asset": f"(SELECT count(*) {hit} AND symbol <> 'ECONOMY')"}
+    parts = [f"SELECT '{w}' AS dimension, '{c}' AS feature, {n_bars} AS checked_rows, CAST(0 AS BIGINT) AS n_changed" for w in LEAK_WORLDS for c in LEAK_COLS]
+    parts += [f"SELECT '{w}', 'planted_next_close', {n_bars}, CAST({changed.get(w, '0')} AS BIGINT)" for w in LEAK_WORLDS]
+    parts += [f"SELECT '{w}', '{c}', (SELECT count(*) FROM hbars WHERE ts < TIMESTAMP '2024-01-15 00:00:00'), CAST(0 AS BIGINT)" for w in ("event_content", "event_add_remove") for c in INFO_FEATURES]
+    return "SELECT *, n_changed = 0 AS passed FROM (" + " UNION ALL ".join(parts) + ")"
 
 
-@query("rb_07_leakage_audit", sql(_leak_sql("x", LEAK_COLS, LEAK_DIMS), "bars"))
+@query("rb_07_leakage_audit", sql(_leak_sql(), "bars", "hbars"))
 def leakage(spark, sf):
-    """Features rebuilt from bars changed after mid-sample must agree before it."""
-    split = F.lit("1998-06-01").cast("timestamp")
-    x = ev.leakage_audit(views.bars(spark, sf), pf.price_volume_features, LEAK_COLS, split, LEAK_DIMS)
-    return x.select("dimension", "feature", "passed", "checked_rows")
+    """Six dimensions: features of changed futures must agree before the change; one planted feature reads the next close and is found."""
+    split = F.lit(SPLIT).cast("timestamp")
+    bump = 1.0 + (F.dayofyear("ts") % 7 + 1) / 100.0
+    prices = {c: F.col(c) * bump for c in ("open", "high", "low", "close")}
+    other = {c: F.when(F.col("symbol") != "ECONOMY", v).otherwise(F.col(c)) for c, v in prices.items()}
+    worlds = {"price": prices, "volume": {"volume": F.col("volume") * bump}, "cross_asset": other, "target": {"label": 1 - F.col("label"), "fwd_ret": -F.col("fwd_ret")}}
+    s = Rolling(("world", "symbol"))
+
+    def build(rows):
+        return pf.price_volume_features(rows, s).withColumn("planted_next_close", s.lead("close"))
+    x = ev.leakage_audit(pf.labels(views.bars(spark, sf)), build, [*LEAK_COLS, "planted_next_close"], split, worlds)
+    news = ev.event_audit(views.hourly_bars(spark, sf), views.pit_events(spark, sf), lambda bars, events: information_features(bars, events, pin="later"),
+                          list(INFO_FEATURES), F.to_timestamp(F.lit("2024-01-15T00:00:00Z")))
+    return x.unionByName(news).select("dimension", "feature", "checked_rows", "n_changed", "passed")
 
 
 @query("ag_26_history_delta", sql("SELECT 'ret' AS feature, round(max(abs(a - b)), 6) + 0.0 AS max_delta, count(*) AS checked_rows FROM (SELECT close / lag(close) OVER w - 1 AS a, "
