@@ -22,9 +22,9 @@ among its own first ones; beyond, by its empty segments, which no partner can av
 Of the signatures that a set shares with others it is looked for by its rarest ones only, so many that a pair which
 shares ``least`` still meets; signatures of common passages drop out.  The sets that meet by one signature are a group,
 and groups with the same members count once.  Each set is compared with a hub of its group, first by parity sketches
-(``SKETCH`` bits, which differ in no more places than the sets in tokens), then by its whole tokens; that makes one class
-of most groups of near copies, at a linear cost.  Groups with members of several classes get another hub, ``ROUNDS`` in
-all, and only those that remain are looked at inside: sketches of different classes are compared in blocks of ``BLOCK``
+(``FIRST`` or ``SKETCH`` bits, which differ in no more places than the sets in tokens), then by its whole tokens; that makes one
+class of most groups of near copies, at a linear cost.  Groups with members of several classes, of which some are linked,
+get another hub, ``ROUNDS`` in all, and only those that remain are looked at inside: sketches of different classes are compared in blocks of ``BLOCK``
 sets, and families of sets that these join are compared whole, block against block.  So sets that meet nobody's sketch
 cost no tokens, classes are never taken apart into pairs, and no task holds more than two blocks.
 
@@ -51,7 +51,7 @@ from barwise.llm.common import SPACES, Scratch, Words, mix, rows_of, word_table
 WORD = word_table(SPACES)
 BLOCK = 256
 SEEN = 1 << 20  # sets that a task remembers
-SKETCH = 2048  # bits of a set's sketch
+SKETCH, FIRST = 2048, 512  # bits of a set's sketches; the longer one is for sets with more than FIRST tokens
 BITMAP = 1 << 24  # bits of the filter that spares tasks the token lists of sets without candidates (2 MB)
 RISK = 1 / 400  # share of sets that may be weak
 WEAK_COST = 200.0  # rows that a weak set is reckoned to cost
@@ -274,22 +274,22 @@ def _signed(batches: Iterator[pa.RecordBatch], rule: Rule, seed: int) -> Iterato
             yield pa.RecordBatch.from_arrays([pa.array(sigs.view(np.int64)), pa.array(sid[rows]), pa.array(weak)], names=["sig", "sid", "weak"])
 
 
-def sketch(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """(rows, SKETCH / 64) words: bit i is set where an odd number of the row's tokens falls to i.
+def sketch(tokens: np.ndarray, bounds: np.ndarray, bits: int = SKETCH) -> np.ndarray:
+    """(rows, bits / 64) words: bit i is set where an odd number of the row's tokens falls to i.
 
     Where two sets differ in k tokens their sketches differ in k bits at most.
     """
-    place = (mix(tokens ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(SKETCH)).astype(np.int64)
+    place = (mix(tokens ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(bits)).astype(np.int64)
     row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    key, times = np.unique(row * SKETCH + place, return_counts=True)
+    key, times = np.unique(row * bits + place, return_counts=True)
     key = key[times % 2 == 1]
-    bits = np.zeros((len(bounds) - 1) * SKETCH, np.uint8)
-    bits[key] = 1
-    return np.packbits(bits.reshape(-1, SKETCH), axis=1, bitorder="little").view(np.int64) if len(bounds) > 1 else np.zeros((0, SKETCH // 64), np.int64)
+    flags = np.zeros((len(bounds) - 1) * bits, np.uint8)
+    flags[key] = 1
+    return np.packbits(flags.reshape(-1, bits), axis=1, bitorder="little").view(np.int64) if len(bounds) > 1 else np.zeros((0, bits // 64), np.int64)
 
 
 def _sets(batches: Iterator[pa.RecordBatch], rule: Rule, seed: int, wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(sid, n, sketch, tokens) of the sets whose place in the bitmap ``wanted`` is set."""
+    """(sid, n, brief, sketch, tokens) of the sets whose place in the bitmap ``wanted`` is set; a set of ``FIRST`` tokens or fewer has no long sketch."""
     for batch in batches:
         for part in rows_of(batch, "text", 1 << 20):
             tokens, bounds = token_sets(part.column("text"), rule.words)
@@ -300,9 +300,11 @@ def _sets(batches: Iterator[pa.RecordBatch], rule: Rule, seed: int, wanted: np.n
             ends = np.cumsum([0, *map(len, own)])
             flat = np.concatenate([*own, np.zeros(0, np.uint64)])
             to_list = lambda values, offsets: pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
-            found = sketch(flat, ends)
-            yield pa.RecordBatch.from_arrays([pa.array(sid[keep]), pa.array(np.diff(ends), pa.int64()), to_list(found.ravel(), np.arange(len(keep) + 1) * found.shape[1]),
-                                              to_list(flat.view(np.int64), ends)], names=["sid", "n", "sketch", "tokens"])
+            brief, long = sketch(flat, ends, FIRST), sketch(flat, ends)
+            big = np.diff(ends) > FIRST
+            yield pa.RecordBatch.from_arrays([pa.array(sid[keep]), pa.array(np.diff(ends), pa.int64()), to_list(brief.ravel(), np.arange(len(keep) + 1) * brief.shape[1]),
+                                              to_list(long[big].ravel(), np.concatenate([[0], np.cumsum(big)]) * long.shape[1]), to_list(flat.view(np.int64), ends)],
+                                             names=["sid", "n", "brief", "sketch", "tokens"])
 
 
 def _bitmap(sids: DataFrame) -> np.ndarray:
@@ -417,14 +419,17 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return keep
 
 
-def near_forest(sid: np.ndarray, cls: np.ndarray, n: np.ndarray, sketches: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (a, b) of a forest that spans whatever pairs of different classes have sketches that allow a link."""
+def near_forest(sid: np.ndarray, cls: np.ndarray, n: np.ndarray, brief: np.ndarray, long: dict[int, np.ndarray], rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (a, b) of a forest that spans whatever pairs of different classes have sketches that allow a link; ``long`` by row."""
+    allowed = lambda i, other, gap: gap * (rule.den + rule.num) <= (rule.den - rule.num) * (n[other] + n[i])
     a, b = [], []
     for i in range(len(sid) - 1):
         other = i + 1 + np.flatnonzero(cls[i + 1:] != cls[i])
         if len(other):
-            gap = np.bitwise_count(sketches[other] ^ sketches[i]).sum(axis=1, dtype=np.int64)
-            hit = other[gap * (rule.den + rule.num) <= (rule.den - rule.num) * (n[other] + n[i])]
+            hit = other[allowed(i, other, np.bitwise_count(brief[other] ^ brief[i]).sum(axis=1, dtype=np.int64))]
+            if i in long and len(hit):
+                gap = np.array([np.bitwise_count(long[j] ^ long[i]).sum(dtype=np.int64) if j in long else 0 for j in hit.tolist()])
+                hit = hit[allowed(i, hit, gap)]
             a.append(np.full(len(hit), i))
             b.append(hit)
     a, b = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (a, b))
@@ -434,14 +439,16 @@ def near_forest(sid: np.ndarray, cls: np.ndarray, n: np.ndarray, sketches: np.nd
 
 
 def _near(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
-    """Rows (sig, bi, bj, sid, class, n, sketch) in order of (sig, bi, bj): ``near_forest`` of each such group."""
+    """Rows (sig, bi, bj, sid, class, n, brief, sketch) in order of (sig, bi, bj): ``near_forest`` of each such group."""
     held: list[pa.RecordBatch] = []
 
     def done(parts):
         whole = pa.Table.from_batches(parts).combine_chunks()
         value = lambda c: whole[c].to_numpy()
-        sketches = whole["sketch"].combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(whole.num_rows, -1)
-        a, b = near_forest(value("sid"), value("class"), value("n"), sketches, rule)
+        brief = whole["brief"].combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(whole.num_rows, -1)
+        rows = np.flatnonzero(value("n") > FIRST)
+        flat = whole["sketch"].combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(rows), -1) if len(rows) else []
+        a, b = near_forest(value("sid"), value("class"), value("n"), brief, dict(zip(rows.tolist(), flat)), rule)
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
     last = None
     for batch in batches:
@@ -492,17 +499,20 @@ def _gap(a: str, b: str):
 def _confirmed(pairs: DataFrame, full: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (a, b) that link: sketches first, then the whole sets."""
     of = lambda side, *names: full.select(F.col("sid").alias(side), *[F.col(n).alias(f"{side}_{n}") for n in names])
-    near = pairs.join(of("a", "n", "sketch"), "a").join(of("b", "n", "sketch"), "b").where(
-        _gap("a_sketch", "b_sketch") * (rule.den + rule.num) <= (rule.den - rule.num) * (F.col("a_n") + F.col("b_n"))).select("a", "b", "a_n", "b_n")
+    allowed = (rule.den - rule.num) * (F.col("a_n") + F.col("b_n"))
+    near = pairs.join(of("a", "n", "brief", "sketch"), "a").join(of("b", "n", "brief", "sketch"), "b")
+    both_long = (F.size("a_sketch") > 0) & (F.size("b_sketch") > 0)
+    near = near.where((_gap("a_brief", "b_brief") * (rule.den + rule.num) <= allowed) & (
+        ~both_long | (_gap("a_sketch", "b_sketch") * (rule.den + rule.num) <= allowed))).select("a", "b", "a_n", "b_n")
     both = near.join(of("a", "tokens"), "a").join(of("b", "tokens"), "b").withColumn("common", F.size(F.array_intersect("a_tokens", "b_tokens")))
     return both.where(F.col("common") * rule.den >= (F.col("a_n") + F.col("b_n") - F.col("common")) * rule.num).select("a", "b")
 
 
 def mixed_groups(groups: DataFrame, classes: DataFrame) -> DataFrame:
-    """(sig, sid, size, class) of the groups with members of several classes."""
+    """(sig, sid, size, class, linked) of the groups with members of several classes; ``linked``: some member has a link already."""
     classed = groups.join(classes.select(F.col("id").alias("sid"), "root"), "sid", "left").select("sig", "sid", "size", F.coalesce("root", "sid").alias("class"))
-    mixed = classed.groupBy("sig").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("sig")
-    return classed.join(mixed, "sig")
+    mixed = classed.groupBy("sig").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.max((F.col("class") != F.col("sid")).cast("int")).alias("linked")).where("lo < hi")
+    return classed.join(mixed.select("sig", "linked"), "sig")
 
 
 def hub_pairs(mixed: DataFrame, turn: int) -> DataFrame:
@@ -514,11 +524,11 @@ def hub_pairs(mixed: DataFrame, turn: int) -> DataFrame:
 
 def near_pairs(mixed: DataFrame, full: DataFrame, rule: Rule) -> DataFrame:
     """Edges (a, b) that join the sets of a group which are of different classes, but whose sketches allow a link."""
-    rows = mixed.join(full.select("sid", "n", "sketch"), "sid")
+    rows = mixed.join(full.select("sid", "n", "brief", "sketch"), "sid")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("sid"), blocks).cast("int")
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("own")).alias("bi"), F.greatest(x, F.col("own")).alias("bj")))
-    dealt = rows.withColumns({"blocks": blocks, "own": own}).withColumn("pair", F.explode(pair)).select("sig", "pair.bi", "pair.bj", "sid", "class", "n", "sketch")
+    dealt = rows.withColumns({"blocks": blocks, "own": own}).withColumn("pair", F.explode(pair)).select("sig", "pair.bi", "pair.bj", "sid", "class", "n", "brief", "sketch")
     work = dealt.repartition("sig", "bi", "bj").sortWithinPartitions("sig", "bi", "bj")
     return work.mapInArrow(lambda it: _near(it, rule), "a long, b long").distinct()
 
@@ -559,12 +569,13 @@ def _tables(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     groups = scratch.write(groups_of(kept), "jaccard-groups")
     scratch.drop(kept)
     wanted = docs.sparkSession.sparkContext.broadcast(_bitmap(groups.select("sid").distinct()))
-    full = usable.mapInArrow(lambda it: _sets(it, rule, seed, wanted.value), "sid long, n long, sketch array<long>, tokens array<long>")
+    full = usable.mapInArrow(lambda it: _sets(it, rule, seed, wanted.value), "sid long, n long, brief array<long>, sketch array<long>, tokens array<long>")
     full = scratch.write(full.dropDuplicates(["sid"]), "jaccard-sets")
     # hubs first: groups that are of one class then cost nothing more
     mixed, links, classes = groups.select("sig", "sid", "size", F.col("sid").alias("class")), None, None
     for turn in range(ROUNDS):
-        found = scratch.write(_confirmed(hub_pairs(mixed, turn), full, rule), "jaccard-links")
+        met = hub_pairs(mixed.where("linked = 1") if turn else mixed, turn)  # another hub only where one found somebody
+        found = scratch.write(_confirmed(met, full, rule), "jaccard-links")
         links = found if links is None else links.unionByName(found)
         if turn and not found.take(1):
             break
