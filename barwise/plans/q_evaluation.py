@@ -329,27 +329,40 @@ def model_confirmation(spark, sf):
     return reduce(DataFrame.unionByName, parts)
 
 
+ABLATION = ev.FoldConfig(train=250, val=60, test=80, step=80, purge=5, embargo=5)
+
+
 @query("wf_09_source_ablation")
 def source_ablation(spark, sf):
-    """Price-only against price-and-volume features: fold Sharpe, AUC and Brier side by side."""
-    parts = []
-    for name, feats in (("price", FEATURES[:3]), ("price_and_risk", FEATURES)):
-        x = fitted(spark, sf, feats).where("split = 'test'").withColumn("dir", F.when(F.col("p") > 0.5, 1.0).otherwise(0.0))
-        led = ev.ledger(x, ["symbol"])
-        m = led.groupBy("symbol").agg(mt.sharpe("net").alias("sharpe"), F.avg(F.pow(F.col("p") - F.col("label"), F.lit(2.0))).alias("brier"))
-        a = mt.auc(x.where("label IS NOT NULL"), "label", "p", ["symbol"])
-        parts.append(m.join(a.select("symbol", "auc"), "symbol").withColumn("source", F.lit(name)))
-    return parts[0].unionByName(parts[1])
+    """Price features against price and news features on hourly bars: test Sharpe, AUC and Brier of the same folds, and the difference."""
+    bars = views.hourly_bars(spark, sf)
+    x = pf.labels(pf.price_volume_features(bars), 1).withColumn("scale", bt.vol_scale("ret", bt.Execution(), S))
+    news = information_features(bars, views.pit_events(spark, sf), pin="later").select("symbol", "ts", *INFO_FEATURES)
+    plan = ev.fold_plan(bars.select("ts").distinct().count(), ABLATION)
+    lab = ev.label_folds(pt.session_index(x.join(news, ["symbol", "ts"])), plan, splits=("train", "test"))
+    features = [*FEATURES[1:], *INFO_FEATURES]
+    price = tuple(range(len(FEATURES) - 1))
+    every = [search.Candidate(0, "logistic", 1.0, 0, 0, 1, price), search.Candidate(1, "logistic", 1.0, 0, 0, 1, None)]
+    chosen = lab.select("symbol", "fold").distinct().withColumn("candidate", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("threshold", F.lit(0.5))
+    led = search.chosen_ledger(lab, chosen, features, every).join(lab.where("split = 'test'").select("symbol", "fold", "ts", "label"), ["symbol", "fold", "ts"])
+    m = led.groupBy("symbol", "candidate").agg(mt.sharpe("net").alias("sharpe"), F.avg(F.pow(F.col("p") - F.col("label"), F.lit(2.0))).alias("brier"))
+    m = m.join(mt.auc(led.where("label IS NOT NULL"), "label", "p", ["symbol", "candidate"]).select("symbol", "candidate", "auc"), ["symbol", "candidate"])
+    of = lambda k: m.where(F.col("candidate") == k).select("symbol", *[F.col(c).alias(f"{c}_{'with_news' if k else 'price'}") for c in ("sharpe", "auc", "brier")])
+    return of(0).join(of(1), "symbol").withColumn("auc_delta", F.col("auc_with_news") - F.col("auc_price"))
 
 
 @query("rb_03_parameter_perturbation")
 def parameter_perturbation(spark, sf):
-    """Refit with C x {0.5, 2}, thresholds pinned."""
-    outs = []
-    for k in (0.5, 2.0):
-        x = fitted(spark, sf, FEATURES, c=k).where("split = 'test'").withColumn("dir", F.when(F.col("p") > 0.5, 1.0).otherwise(0.0))
-        outs.append(ev.ledger(x, ["symbol"]).groupBy("symbol").agg(mt.sharpe("net").alias("sharpe")).withColumn("multiplier", F.lit(k)))
-    return outs[0].unionByName(outs[1])
+    """Refit with C x {0.5, 0.8, 1.25, 2} and the base, thresholds pinned; all in one job."""
+    lab = model_frame(spark, sf)
+    factors = (1.0, 0.5, 0.8, 1.25, 2.0)
+    every = [search.Candidate(i, "logistic", c, 0, 0, 1) for i, c in enumerate(factors)]
+    chosen = lab.select("symbol", "fold").distinct().withColumn("candidate", F.explode(F.sequence(F.lit(0), F.lit(len(factors) - 1)))).withColumn("threshold", F.lit(0.5))
+    led = search.chosen_ledger(lab, chosen, FEATURES, every)
+    x = led.groupBy("symbol", "candidate").agg(mt.sharpe("net").alias("sharpe"), mt.total_return("net").alias("net_return"))
+    base = x.where("candidate = 0").select("symbol", F.col("sharpe").alias("base_sharpe"))
+    x = x.where("candidate > 0").join(base, "symbol")
+    return x.select("symbol", F.array(*[F.lit(f) for f in factors])[F.col("candidate")].alias("multiplier"), "sharpe", "net_return", (F.col("sharpe") - F.col("base_sharpe")).alias("sharpe_delta"))
 
 
 # ---- stresses of inputs and leakage -------------------------------------------------------------
