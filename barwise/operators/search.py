@@ -260,7 +260,8 @@ def chosen_ledger(labelled: DataFrame, chosen: DataFrame, features: list[str], c
                 out.append(rows[[*keys, ts, fwd, "scale"]].assign(candidate=c.candidate, p=p, staged=staged))
         return pd.concat(out) if out else pd.DataFrame(columns=[*keys, ts, fwd, "scale", "candidate", "p", "staged"])
     rows = labelled.where(F.col("split").isin("train", split)).select(*keys, "split", ts, *features, fwd, "scale", F.col(label).cast("double").alias(label))
-    told = rows.groupBy(*keys).cogroup(chosen.select(*keys, "candidate", "threshold").groupBy(*keys)).applyInPandas(
+    picked = chosen.select(*[F.col(k).alias(f"_{k}") for k in keys], "candidate", "threshold")  # own names: both may stem from one table
+    told = rows.groupBy(*keys).cogroup(picked.groupBy(*[f"_{k}" for k in keys])).applyInPandas(
         score, f"{_typed(labelled, [*keys, ts, fwd, 'scale'])}, candidate int, p double, staged double")
     told = told.withColumn(fwd, F.when(~F.isnan(fwd), F.col(fwd)))
     return bt.price(told, cfg, (*keys, "candidate"), ts, fwd)

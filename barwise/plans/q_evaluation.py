@@ -288,11 +288,17 @@ def fold_boosting(spark, sf):
 
 # ---- search over the catalogue of fitted models (no SQL twin) ---------------------------------
 
+CATALOGUE_SCORES: dict[tuple[str, str], DataFrame] = {}  # by application and folder: three queries read the same table
+
+
 def catalogue_scores_of(spark, sf):
-    """Validation scores of all 1,960 candidates on every (symbol, fold); read several times, so written once."""
+    """Validation scores of all 1,960 candidates on every (symbol, fold); written once in an application."""
     lab = model_frame(spark, sf)
     ensure_checkpoint_dir(spark)
-    return lab, search.validation_scores(lab, FEATURES, search.catalogue(), THRESHOLDS).checkpoint()
+    key = spark.sparkContext.applicationId, sf
+    if key not in CATALOGUE_SCORES:
+        CATALOGUE_SCORES[key] = search.validation_scores(lab, FEATURES, search.catalogue(), THRESHOLDS).checkpoint()
+    return lab, CATALOGUE_SCORES[key]
 
 
 @query("wf_10_model_catalogue")
