@@ -10,6 +10,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -100,62 +102,94 @@ class Ordered:
         return [part.split()[0] for part in self.shown.split(",")]
 
 
+BLOCK = 16_384  # numbers in one entry of the state store
+
+
 class InOrder(StatefulProcessor):
     """Rows come in any order and are settled in the order of their number.
 
-    A row waits in a map by its number (a replay finds it taken) until the watermark is past it; an event-time timer
-    settles what waits of a key that gets no rows.  A row behind the watermark comes too late to be applied in order: it
-    goes out as it is, with kind "late".  Each update shows the key with its waiting rows applied too, kind "row".  So a
-    key holds as many rows as the disorder allows, each an entry of the state store, whatever came before.
+    A row waits by its number (a replay finds it taken) until the watermark is past it; an event-time timer settles what
+    waits of a key that gets no rows.  A row behind the watermark comes too late to be applied in order: it goes out as it
+    is, with kind "late".  Each update shows the key with its waiting rows applied too, kind "row".
+
+    Waiting rows lie in a map by block of ``BLOCK`` numbers, each block one sorted table of bytes, so a micro-batch reads
+    and writes a block once, however many of its rows it brings.  A task holds the micro-batch's rows of one key and one
+    block; a key keeps as many rows as the disorder allows, whatever came before.
     """
 
     def __init__(self, job: Ordered, keys: list[str]):
         self.job, self.keys = job, keys
+        self.row = np.dtype([("number", "<i8"), *[(v, "<f8") for v in job.values]])
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.carried = handle.getValueState("carried", self.job.state)
-        self.waiting = handle.getMapState("waiting", "number long", ", ".join(f"`{v}` double" for v in self.job.values))
-
-    def _rows(self, key, passed: int, show: bool):
+        self.waiting = handle.getMapState("waiting", "block long", "rows binary")
+
+    def _read(self, block: int) -> np.ndarray:
+        return np.frombuffer(self.waiting.getValue((block,))[0], self.row)
+
+    def _wait(self, found: np.ndarray) -> None:
+        """Merge rows into their blocks; of equal numbers the one that came first stays."""
+        found = found[np.argsort(found["number"], kind="stable")]
+        blocks, starts = np.unique(found["number"] // BLOCK, return_index=True)
+        for block, rows in zip(blocks.tolist(), np.split(found, starts[1:])):
+            if self.waiting.containsKey((block,)):
+                rows = np.concatenate([self._read(block), rows])
+            _, first = np.unique(rows["number"], return_index=True)
+            self.waiting.updateValue((block,), (rows[first].tobytes(),))
+
+    def _rows(self, key, passed: int, show: bool) -> Iterator[pd.DataFrame]:
         job = self.job
         state = tuple(self.carried.get()) if self.carried.exists() else job.start
-        waiting = sorted((k[0], tuple(v)) for k, v in self.waiting.iterator())
-        shown = None
-        for number, values in waiting:
-            if number >= passed:
+        settled, shown, first = state, None, None
+        for block in sorted(k[0] for k in self.waiting.keys()):
+            if not show and first is not None:
                 break
-            state, shown = job.apply(state, number, values)
-            self.waiting.removeKey((number,))
+            rows = self._read(block)
+            cut = int(np.searchsorted(rows["number"], passed))
+            cells = []
+            for i, (number, *values) in enumerate(rows.tolist() if show else rows[:cut].tolist()):
+                state, shown = job.apply(state, number, values)
+                if i < cut:
+                    settled = state
+                if job.every:
+                    cells.append(shown)
+            if cut == len(rows):
+                self.waiting.removeKey((block,))
+            else:
+                if cut:
+                    self.waiting.updateValue((block,), (rows[cut:].tobytes(),))
+                first = int(rows["number"][cut]) if first is None else first
             if show and job.every:
-                yield self._row(key, "row", number, None, shown)
-        self.carried.update(state)
-        later = [w for w in waiting if w[0] >= passed]
-        if later:
-            self.handle.registerTimer((later[0][0] + 1) * job.unit_ms)
-        for number, values in later:
-            state, shown = job.apply(state, number, values)
-            if show and job.every:
-                yield self._row(key, "row", number, None, shown)
+                yield self._frame(key, "row", len(rows), {"number": rows["number"]}, cells)
+        self.carried.update(settled)
+        if first is not None:
+            self.handle.registerTimer((first + 1) * job.unit_ms)
         if show and shown is not None and not job.every:
-            yield self._row(key, "row", None, None, shown)
+            yield self._frame(key, "row", 1, {}, [shown])
 
-    def _row(self, key, kind, number, values, shown) -> Row:
-        cells = dict.fromkeys(self.job.shown_names) if shown is None else dict(zip(self.job.shown_names, shown))
-        given = dict.fromkeys(self.job.values) if values is None else dict(zip(self.job.values, values))
-        return Row(**dict(zip(self.keys, key)), kind=kind, number=number, **given, **cells)
+    def _frame(self, key, kind: str, n: int, given: dict, cells: list) -> pd.DataFrame:
+        shown = zip(*cells) if cells else [[None] * n for _ in self.job.shown_names]
+        parts = {**{k: [v] * n for k, v in zip(self.keys, key)}, "kind": [kind] * n,
+                 **{c: given.get(c, [None] * n) for c in ("number", *self.job.values)}, **dict(zip(self.job.shown_names, shown))}
+        return pd.DataFrame({c: pd.Series(v, dtype=None if len(v) and v[0] is not None else object) for c, v in parts.items()})
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() // self.job.unit_ms
-        for r in rows:
-            number, values = int(r[self.job.order]), tuple(float(r[v]) for v in self.job.values)
-            if number < passed:
-                yield self._row(key, "late", number, values, None)
-            elif not self.waiting.containsKey((number,)):
-                self.waiting.updateValue((number,), values)
+        parts = []
+        for pdf in rows:
+            part = np.empty(len(pdf), self.row)
+            for c, name in zip((self.job.order, *self.job.values), self.row.names):
+                part[name] = pdf[c]
+            late = part[part["number"] < passed]
+            if len(late):
+                yield self._frame(key, "late", len(late), {c: late[c] for c in late.dtype.names}, [])
+            parts.append(part[part["number"] >= passed])
+        self._wait(np.concatenate(parts))
         yield from self._rows(key, passed, True)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         yield from self._rows(key, timerValues.getCurrentWatermarkInMs() // self.job.unit_ms, False)
 
 
@@ -163,12 +197,15 @@ def in_order(rows: DataFrame, job: Ordered, keys: list[str], at, disorder: str)
     """Stream of (keys, kind, number, values, shown): rows of ``job`` per key, late ones included.
 
     ``at`` is the event time of a row.  It sets the watermark and is not handed on, as Spark would drop late rows by it.
+    A row without number or value is an error.
     """
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    timed = rows.withColumn("_at", at).withWatermark("_at", disorder).select(*keys, job.order, *job.values)
+    given = [F.coalesce(F.col(c).cast(t), F.raise_error(F.lit(f"a row has no {c}"))).alias(c)
+             for c, t in ((job.order, "long"), *((v, "double") for v in job.values))]
+    timed = rows.withColumn("_at", at).withWatermark("_at", disorder).select(*keys, *given)
     key_types = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
     schema = f"{key_types}, kind string, number long, {', '.join(f'`{v}` double' for v in job.values)}, {job.shown}"
-    return timed.groupBy(*keys).transformWithState(InOrder(job, keys), schema, "Update", "EventTime")
+    return timed.groupBy(*keys).transformWithStateInPandas(InOrder(job, keys), schema, "Update", "EventTime")
 
 
 def replay(rows: DataFrame, chunk: str, chunks: int, build, name: str) -> DataFrame:

@@ -248,3 +248,77 @@ def test_fills_settle_behind_the_watermark_and_late_ones_come_out(spark):
         q, basis, g = jobs._apply_fill(q, basis, d, px)
         gain += g
     assert (last.n_fills, last.quantity) == (7, q) and last.avg_entry == pytest.approx(basis / q) and last.realized_pnl == pytest.approx(gain)
+
+
+def test_ordered_rows_touch_the_state_once_per_block():
+    """20,000 rows of a micro-batch are a write per block of numbers; replays, late rows and the part behind the watermark count as before."""
+    class State:
+        def __init__(self):
+            self.rows, self.calls = {}, 0
+
+        def getValue(self, key):
+            self.calls += 1
+            return self.rows[key]
+
+        def updateValue(self, key, value):
+            self.calls += 1
+            self.rows[key] = value
+
+        def removeKey(self, key):
+            self.calls += 1
+            del self.rows[key]
+
+        def containsKey(self, key):
+            self.calls += 1
+            return key in self.rows
+
+        def keys(self):
+            return iter(list(self.rows))
+
+        def exists(self):
+            return "v" in self.rows
+
+        def get(self):
+            return self.rows["v"]
+
+        def update(self, value):
+            self.rows["v"] = value
+
+    class Handle:
+        timers: list = []
+
+        def getValueState(self, *_):
+            return State()
+
+        def getMapState(self, *_):
+            return State()
+
+        def registerTimer(self, ms):
+            self.timers.append(ms)
+
+    class Times:
+        def __init__(self, seconds):
+            self.seconds = seconds
+
+        def getCurrentWatermarkInMs(self):
+            return self.seconds * 1000
+
+    rng = np.random.default_rng(4)
+    n = 20_000
+    d, px = rng.choice([-2.0, -1.0, 1.0, 2.0], n), rng.uniform(50, 150, n)
+    pdf = pd.DataFrame({"seq": np.arange(n), "signed_qty": d, "price": px}).sample(frac=1.0, random_state=1)
+    job = jobs.InOrder(jobs.FILLS, ["account", "symbol"])
+    job.init(Handle())
+    want = [(0.0, 0.0, 0.0)]
+    for step in zip(d, px):
+        q, basis, g = jobs._apply_fill(*want[-1][:2], *step)
+        want.append((q, basis, want[-1][2] + g))
+    shown = pd.concat(job.handleInputRows((1, "A"), iter([pdf[:9_000], pdf[9_000:]]), Times(-1)))
+    assert job.waiting.calls <= 10 and Handle.timers == [1000]
+    assert (shown["n_fills"].tolist(), shown["quantity"].tolist()) == ([n], [want[-1][0]])
+    assert list(job.handleExpiredTimer((1, "A"), Times(17_000), None)) == []
+    assert job.carried.get()[:3] == pytest.approx(want[17_000]) and Handle.timers[-1] == 17_001_000
+    again = pd.DataFrame({"seq": [16_999, 19_999], "signed_qty": [9.0, 9.0], "price": [1.0, 1.0]})
+    late, row = job.handleInputRows((1, "A"), iter([again]), Times(17_000))
+    assert (late["kind"].tolist(), late["number"].tolist(), late["signed_qty"].tolist()) == (["late"], [16_999], [9.0])
+    assert row["n_fills"].tolist() == [n] and row["realized_pnl"].tolist() == pytest.approx([want[-1][2]])
