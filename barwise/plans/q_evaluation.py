@@ -22,7 +22,7 @@ from barwise.plans.catalogue import DAY, _win, out, query, s_lag, sel, sql, stag
 from barwise.plans.q_backtest import S_SHARPE, SIGNAL_STAGES, momentum_ledger, path_ctes, signals
 from barwise.plans.q_windows import BASE_STAGES, LIQ_STAGES, RET, grid_bars
 from barwise.session import ensure_checkpoint_dir
-from barwise.sources import views
+from barwise.sources import files, views
 
 S = Rolling()
 CFG = ev.FoldConfig(train=300, val=150, test=150, step=150, purge=5, embargo=5)
@@ -252,8 +252,15 @@ def fixed_split(spark, sf):
 FEATURES = ["mom_63", "trend_50", "mean_reversion_20", "rv_20", "volume_z_20"]
 
 
+def stored_bars(spark, sf):
+    """Bars written once, for queries of many jobs: their number is bounded by symbols and sessions, the trades behind them are not."""
+    path = files.scratch(spark, "bars")
+    views.bars(spark, sf).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def model_frame(spark, sf):
-    b = views.bars(spark, sf)
+    b = stored_bars(spark, sf)
     x = pf.labels(pf.price_volume_features(b), 1)
     x = x.withColumn("scale", bt.vol_scale("ret", bt.Execution(), S))
     return ev.label_folds(pt.session_index(x), plan_of(b))
@@ -276,10 +283,9 @@ def fold_logistic(spark, sf):
 @query("wf_03_fold_boosting")
 def fold_boosting(spark, sf):
     """Gradient boosting of each fold's pooled training rows on Spark ML (five trees a fold)."""
-    b = views.bars(spark, sf)
     lab = model_frame(spark, sf).persist()
     parts = []
-    for fold in plan_of(b):
+    for fold in lab.select("fold").distinct().orderBy("fold").collect():
         own = lab.where(F.col("fold") == fold["fold"])
         x = models.boosted_trees(own.where("split = 'train'"), own.where("split = 'test'"), FEATURES, "label", trees=5)
         parts.append(x.groupBy("symbol", "fold").agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("mean_p")))

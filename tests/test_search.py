@@ -160,3 +160,12 @@ def test_catalogue_numbers_the_grids_in_order():
     assert every[0] == Candidate(0, "logistic", 0.05, 0, 0, 1) and every[47].hold == 20 and every[47].strength == 8.0
     assert every[48] == Candidate(48, "boosting", 0.01, 50, 1, 3) and every[264].family == "logistic" and every[-1] == Candidate(1959, "boosting", 0.15, 200, 4, 30)
     assert len(search.catalogue([None, (0, 1)])) == 3920
+
+
+def test_model_rows_stem_from_stored_bars(spark, sf):
+    """Fits read a table of bars, not the trades behind them, as often as they like; the bars are the same."""
+    from barwise.plans import q_evaluation as qe
+    from barwise.sources import views
+    assert not [p for p in qe.model_frame(spark, sf).inputFiles() if "lineitem" in p]
+    stored, made = qe.stored_bars(spark, sf), views.bars(spark, sf)
+    assert stored.count() == made.count() and stored.exceptAll(made).count() == 0
