@@ -169,3 +169,17 @@ def test_model_rows_stem_from_stored_bars(spark, sf):
     assert not [p for p in qe.model_frame(spark, sf).inputFiles() if "lineitem" in p]
     stored, made = qe.stored_bars(spark, sf), views.bars(spark, sf)
     assert stored.count() == made.count() and stored.exceptAll(made).count() == 0
+
+
+def test_shuffled_features_stem_from_stored_bars(spark, sf, monkeypatch):
+    """The permuted rows are read once per column, fold and Newton step, the trades only for the bars."""
+    from barwise.plans import q_evaluation as qe
+    seen = []
+
+    def fit(train, *_):
+        seen.extend(train.inputFiles())
+        raise InterruptedError
+    monkeypatch.setattr(qe.models, "fit_logistic", fit)
+    with pytest.raises(InterruptedError):
+        qe.feature_shuffle(spark, sf)
+    assert seen and not [p for p in seen if "lineitem" in p]
