@@ -59,6 +59,7 @@ BANDS = 255  # largest number of a band
 ROUNDS = 4  # hubs that a group is compared with
 FULL = 2.5  # tokens of a segment that a set at the lower end of a band has at least
 SMALL = 48  # sets up to this size have a second way of being found
+EDGES = 1 << 18  # edges of a graph that a task takes, at least
 
 
 # ---- bands and allocation ---------------------------------------------------------
@@ -319,16 +320,23 @@ def _bitmap(sids: DataFrame) -> np.ndarray:
 
 # ---- classes ------------------------------------------------------------------------------
 
+def _dealt(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of about ``rows`` rows, in as many tasks as they are worth: a small graph goes through many rounds, and every task of a shuffle leaves files."""
+    return df.coalesce(max(1, -(-rows // EDGES)))
+
+
 def components(edges: DataFrame, scratch: Scratch, name: str = "components") -> DataFrame:
     """(id, root) of every id in ``edges`` (a, b): the smallest id reachable.  Rounds of hooking to the smallest neighbour."""
     both = edges.where("a <> b").select("a", "b").unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = scratch.write(both, name)
     while True:
+        rows = both.count()
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         # every neighbour, and the node itself, is tied to the smallest of them instead
         tied = both.join(least, "a").select(F.col("b").alias("x"), F.col("m").alias("y")).unionByName(least.select(F.col("a").alias("x"), F.col("m").alias("y")))
-        tied = tied.where("x <> y").distinct()
-        new = scratch.write(tied.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(tied.select(F.col("y").alias("a"), F.col("x").alias("b"))).distinct(), name)
+        tied = _dealt(tied.where("x <> y"), rows)
+        turned = tied.select(F.explode(F.array(F.struct(F.col("x").alias("a"), F.col("y").alias("b")), F.struct(F.col("y").alias("a"), F.col("x").alias("b")))).alias("e"))
+        new = scratch.write(_dealt(turned.select("e.*").distinct(), rows), name)
         scratch.drop(both)
         # done when every edge ties an id to the least of its class and no id has two
         open_ends = new.where("b < a").groupBy("a").agg(F.count(F.lit(1)).alias("k"), F.max("b").alias("b"))

@@ -138,3 +138,19 @@ def test_every_link_shares_a_signature_or_is_wild(words, num):
                 assert need[small] < 1
             if need[small] < 1:
                 assert len(np.intersect1d(codes[erows == 0], codes[erows == 1]))
+
+
+def test_rounds_over_a_small_graph_leave_few_files(spark):
+    """A chain and a star in many shuffle partitions: right classes, and tables in as many files as the edges are worth."""
+    from barwise.llm.common import Scratch
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        edges = [(i, i + 1) for i in range(60)] + [(100, 101 + i) for i in range(200)] + [(7, 7)]
+        roots = jaccard.components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark))
+        assert len(set(roots.inputFiles())) == 1
+        assert {(r["id"], r["root"]) for r in roots.collect()} == {(i, 0) for i in range(61)} | {(i, 100) for i in range(100, 301)}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
