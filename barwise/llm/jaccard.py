@@ -22,9 +22,10 @@ among its own first ones; beyond, by its empty segments, which no partner can av
 Of the signatures that a set shares with others it is looked for by its rarest ones only, so many that a pair which
 shares ``least`` still meets; signatures of common passages drop out.  The sets that meet by one signature are a group,
 and groups with the same members count once.  Each set is compared with a hub of its group, first by parity sketches
-(``FIRST`` or ``SKETCH`` bits, which differ in no more places than the sets in tokens), then by its whole tokens; that makes one
-class of most groups of near copies, at a linear cost.  Groups with members of several classes, of which some are linked,
-get another hub, ``ROUNDS`` in all, and only those that remain are looked at inside: sketches of different classes are compared in blocks of ``BLOCK``
+(``FIRST`` bits, and beyond as many tokens a power of two from ``SKETCH`` on, no less than the set has tokens; they differ in no more
+places than the sets in tokens), then by its whole tokens; that makes one
+class of most groups of near copies, at a linear cost.  Only the sets of pairs that their sketches let through have their tokens moved.  Groups with members of several classes, of which some are linked,
+get another hub, ``ROUNDS`` in all, and only those that remain are looked at inside, groups of much the same members as one: sketches of different classes are compared in blocks of ``BLOCK``
 sets, and families of sets that these join are compared whole, block against block.  So sets that meet nobody's sketch
 cost no tokens, classes are never taken apart into pairs, and no task holds more than two blocks.
 
@@ -42,6 +43,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -51,7 +53,7 @@ from barwise.llm.common import SPACES, Scratch, Words, mix, rows_of, word_table
 WORD = word_table(SPACES)
 BLOCK = 256
 SEEN = 1 << 20  # sets that a task remembers
-SKETCH, FIRST = 2048, 512  # bits of a set's sketches; the longer one is for sets with more than FIRST tokens
+SKETCH, FIRST = 2048, 512  # bits of a set's sketches; the longer one, of SKETCH at least, is for sets with more than FIRST tokens
 BITMAP = 1 << 24  # bits of the filter that spares tasks the token lists of sets without candidates (2 MB)
 RISK = 1 / 400  # share of sets that may be weak
 WEAK_COST = 200.0  # rows that a weak set is reckoned to cost
@@ -289,6 +291,23 @@ def sketch(tokens: np.ndarray, bounds: np.ndarray, bits: int = SKETCH) -> np.nda
     return np.packbits(flags.reshape(-1, bits), axis=1, bitorder="little").view(np.int64) if len(bounds) > 1 else np.zeros((0, bits // 64), np.int64)
 
 
+def long_sketches(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """A sketch per set, of no fewer bits than it has tokens, so that it isn't full; none for sets of up to ``FIRST`` tokens."""
+    n = np.array([len(s) for s in sets], np.int64)
+    out = [np.zeros(0, np.int64)] * len(sets)
+    bits = np.where(n > FIRST, np.maximum(SKETCH, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64)), 0)
+    for b in np.unique(bits[bits > 0]).tolist():
+        rows = np.flatnonzero(bits == b)
+        for r, words in zip(rows.tolist(), sketch(np.concatenate([sets[r] for r in rows]), np.cumsum([0, *n[rows]]), b)):
+            out[r] = words
+    return out
+
+
+def fold_sketch(words: np.ndarray, width: int) -> np.ndarray:
+    """Sketches (the last axis) as they are with ``width`` words: a power of two, so bits fall together whose places agree modulo it."""
+    return np.bitwise_xor.reduce(words.reshape(*words.shape[:-1], -1, width), axis=-2)
+
+
 def _sets(batches: Iterator[pa.RecordBatch], rule: Rule, seed: int, wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
     """(sid, n, brief, sketch, tokens) of the sets whose place in the bitmap ``wanted`` is set; a set of ``FIRST`` tokens or fewer has no long sketch."""
     for batch in batches:
@@ -301,13 +320,23 @@ def _sets(batches: Iterator[pa.RecordBatch], rule: Rule, seed: int, wanted: np.n
             ends = np.cumsum([0, *map(len, own)])
             flat = np.concatenate([*own, np.zeros(0, np.uint64)])
             to_list = lambda values, offsets: pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
-            brief, long = sketch(flat, ends, FIRST), sketch(flat, ends)
-            big = np.diff(ends) > FIRST
+            brief, long = sketch(flat, ends, FIRST), long_sketches(own)
             yield pa.RecordBatch.from_arrays([pa.array(sid[keep]), pa.array(np.diff(ends), pa.int64()), to_list(brief.ravel(), np.arange(len(keep) + 1) * brief.shape[1]),
-                                              to_list(long[big].ravel(), np.concatenate([[0], np.cumsum(big)]) * long.shape[1]), to_list(flat.view(np.int64), ends)],
+                                              to_list(np.concatenate([*long, np.zeros(0, np.int64)]), np.cumsum([0, *map(len, long)])), to_list(flat.view(np.int64), ends)],
                                              names=["sid", "n", "brief", "sketch", "tokens"])
 
 
+def _only(full: DataFrame, sids: DataFrame) -> DataFrame:
+    """(sid, tokens) of ``full`` for the ``sids``, and few others: token lists that nobody asks for aren't shuffled."""
+    wanted = full.sparkSession.sparkContext.broadcast(_bitmap(sids))
+
+    def kept(batches):
+        for batch in batches:
+            place = batch.column("sid").to_numpy(zero_copy_only=False) & (BITMAP - 1)
+            yield batch.filter(pa.array(((wanted.value[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)))
+    return full.select("sid", "tokens").mapInArrow(kept, "sid long, tokens array<long>")
+
+
 def _bitmap(sids: DataFrame) -> np.ndarray:
     """Which of BITMAP places (of constant size, whatever the number of sets) hold a set id."""
     place = F.col("sid").bitwiseAND(F.lit(BITMAP - 1))
@@ -427,17 +456,30 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return keep
 
 
-def near_forest(sid: np.ndarray, cls: np.ndarray, n: np.ndarray, brief: np.ndarray, long: dict[int, np.ndarray], rule: Rule) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (a, b) of a forest that spans whatever pairs of different classes have sketches that allow a link; ``long`` by row."""
+def near_forest(sid: np.ndarray, cls: np.ndarray, n: np.ndarray, brief: np.ndarray, long: list[np.ndarray], rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (a, b) of a forest that spans whatever pairs of different classes have sizes and sketches that allow a link; ``long`` is empty where a set has none."""
     allowed = lambda i, other, gap: gap * (rule.den + rule.num) <= (rule.den - rule.num) * (n[other] + n[i])
+    width = np.array([len(x) for x in long], np.int64)
+    by = {w: np.stack([long[r] for r in np.flatnonzero(width == w)]) for w in np.unique(width[width > 0]).tolist()}
+    at = np.zeros(len(width), np.int64)
+    for w in by:
+        at[width == w] = np.arange(len(by[w]))
+
+    def gaps(i, other):
+        out = np.zeros(len(other), np.int64)
+        for w in np.unique(width[other]).tolist():
+            if w:
+                these, short = width[other] == w, min(w, int(width[i]))
+                out[these] = np.bitwise_count(fold_sketch(by[w][at[other[these]]], short) ^ fold_sketch(long[i], short)).sum(axis=1, dtype=np.int64)
+        return out
     a, b = [], []
     for i in range(len(sid) - 1):
-        other = i + 1 + np.flatnonzero(cls[i + 1:] != cls[i])
+        later, mine = n[i + 1:], n[i]
+        other = i + 1 + np.flatnonzero((cls[i + 1:] != cls[i]) & (np.minimum(later, mine) * rule.den >= np.maximum(later, mine) * rule.num))
         if len(other):
             hit = other[allowed(i, other, np.bitwise_count(brief[other] ^ brief[i]).sum(axis=1, dtype=np.int64))]
-            if i in long and len(hit):
-                gap = np.array([np.bitwise_count(long[j] ^ long[i]).sum(dtype=np.int64) if j in long else 0 for j in hit.tolist()])
-                hit = hit[allowed(i, hit, gap)]
+            if width[i] and len(hit):
+                hit = hit[allowed(i, hit, gaps(i, hit))]
             a.append(np.full(len(hit), i))
             b.append(hit)
     a, b = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (a, b))
@@ -454,9 +496,10 @@ def _near(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBa
         whole = pa.Table.from_batches(parts).combine_chunks()
         value = lambda c: whole[c].to_numpy()
         brief = whole["brief"].combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(whole.num_rows, -1)
-        rows = np.flatnonzero(value("n") > FIRST)
-        flat = whole["sketch"].combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(rows), -1) if len(rows) else []
-        a, b = near_forest(value("sid"), value("class"), value("n"), brief, dict(zip(rows.tolist(), flat)), rule)
+        lists = whole["sketch"].combine_chunks()
+        flat = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        long = np.split(flat, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))[:-1])
+        a, b = near_forest(value("sid"), value("class"), value("n"), brief, long, rule)
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
     last = None
     for batch in batches:
@@ -500,19 +543,24 @@ def groups_of(rows: DataFrame) -> DataFrame:
 
 
 def _gap(a: str, b: str):
-    """Bits in which two sketches differ."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+    """Bits in which two sketches differ, both as they are with the words of the shorter one."""
+    width = F.least(F.size(a), F.size(b))
+    folded = lambda x, i: F.aggregate(F.sequence(i, F.size(x) - 1, width), F.lit(0).cast("long"), lambda acc, j: acc.bitwiseXOR(F.get(x, j)))
+    differ = F.transform(F.sequence(F.lit(0), width - 1), lambda i: F.bit_count(folded(a, i).bitwiseXOR(folded(b, i))))
+    return F.when(width > 0, F.aggregate(differ, F.lit(0), lambda acc, x: acc + x)).otherwise(0)
 
 
-def _confirmed(pairs: DataFrame, full: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (a, b) that link: sketches first, then the whole sets."""
+def _confirmed(pairs: DataFrame, full: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) that link: sizes and sketches first, then the whole sets of those that remain."""
     of = lambda side, *names: full.select(F.col("sid").alias(side), *[F.col(n).alias(f"{side}_{n}") for n in names])
     allowed = (rule.den - rule.num) * (F.col("a_n") + F.col("b_n"))
     near = pairs.join(of("a", "n", "brief", "sketch"), "a").join(of("b", "n", "brief", "sketch"), "b")
-    both_long = (F.size("a_sketch") > 0) & (F.size("b_sketch") > 0)
-    near = near.where((_gap("a_brief", "b_brief") * (rule.den + rule.num) <= allowed) & (
-        ~both_long | (_gap("a_sketch", "b_sketch") * (rule.den + rule.num) <= allowed))).select("a", "b", "a_n", "b_n")
-    both = near.join(of("a", "tokens"), "a").join(of("b", "tokens"), "b").withColumn("common", F.size(F.array_intersect("a_tokens", "b_tokens")))
+    near = near.where(F.least("a_n", "b_n") * rule.den >= F.greatest("a_n", "b_n") * rule.num)
+    near = near.where(_gap("a_brief", "b_brief") * (rule.den + rule.num) <= allowed).where(_gap("a_sketch", "b_sketch") * (rule.den + rule.num) <= allowed)
+    near = scratch.write(near.select("a", "b", "a_n", "b_n"), "jaccard-near")
+    some = _only(full, near.select(F.explode(F.array("a", "b")).alias("sid")).distinct())
+    of = lambda side: some.select(F.col("sid").alias(side), F.col("tokens").alias(f"{side}_tokens"))
+    both = near.join(of("a"), "a").join(of("b"), "b").withColumn("common", F.size(F.array_intersect("a_tokens", "b_tokens")))
     return both.where(F.col("common") * rule.den >= (F.col("a_n") + F.col("b_n") - F.col("common")) * rule.num).select("a", "b")
 
 
@@ -530,6 +578,20 @@ def hub_pairs(mixed: DataFrame, turn: int) -> DataFrame:
     return met.select(F.least("hub.sid", "sid").alias("a"), F.greatest("hub.sid", "sid").alias("b")).distinct()
 
 
+def merged_groups(mixed: DataFrame) -> DataFrame:
+    """(sig, sid, size, class) where the groups of one hub are one group, if that makes no more pairs than they do apart.
+
+    Near copies share very many signatures, whose groups differ in a few members each; hubs, being least ids, are mostly the
+    same.  Any two sets that meet in a group still meet.
+    """
+    tagged = mixed.join(mixed.groupBy("sig").agg(F.min("sid").alias("hub"), F.count(F.lit(1)).alias("k")), "sig")
+    apart = tagged.groupBy("hub", "sig").agg(F.max("k").alias("k")).groupBy("hub").agg(F.min("sig").alias("one"), F.sum(F.col("k") * F.col("k")).alias("apart"))
+    whole = tagged.select("hub", "sid").distinct().groupBy("hub").agg(F.count(F.lit(1)).alias("whole"))
+    as_one = F.col("whole") * F.col("whole") <= F.col("apart")
+    dealt = tagged.join(apart.join(whole, "hub"), "hub")
+    return dealt.select(F.when(as_one, F.col("one")).otherwise(F.col("sig")).alias("sig"), "sid", F.when(as_one, F.col("whole")).otherwise(F.col("k")).alias("size"), "class").distinct()
+
+
 def near_pairs(mixed: DataFrame, full: DataFrame, rule: Rule) -> DataFrame:
     """Edges (a, b) that join the sets of a group which are of different classes, but whose sketches allow a link."""
     rows = mixed.join(full.select("sid", "n", "brief", "sketch"), "sid")
@@ -548,7 +610,7 @@ def _family_links(pairs: DataFrame, classes: DataFrame, full: DataFrame, rule: R
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("own")).alias("bi"), F.greatest(x, F.col("own")).alias("bj")))
     placed = family.join(per, "family").withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")).withColumn("pair", F.explode(pair))
     labelled = placed.select("family", "pair.bi", "pair.bj", "own", "sid").join(classes.select(F.col("id").alias("sid"), "root"), "sid", "left")
-    work = labelled.select("family", "bi", "bj", "own", "sid", F.coalesce("root", "sid").alias("class")).join(full.select("sid", "tokens"), "sid")
+    work = labelled.select("family", "bi", "bj", "own", "sid", F.coalesce("root", "sid").alias("class")).join(_only(full, family.select("sid")), "sid")
     work = work.repartition("family", "bi", "bj").sortWithinPartitions("family", "bi", "bj")
     return work.mapInArrow(lambda it: _verify(it, rule), "a long, b long")
 
@@ -583,7 +645,7 @@ def _tables(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     mixed, links, classes = groups.select("sig", "sid", "size", F.col("sid").alias("class")), None, None
     for turn in range(ROUNDS):
         met = hub_pairs(mixed.where("linked = 1") if turn else mixed, turn)  # another hub only where one found somebody
-        found = scratch.write(_confirmed(met, full, rule), "jaccard-links")
+        found = scratch.write(_confirmed(met, full, rule, scratch), "jaccard-links")
         links = found if links is None else links.unionByName(found)
         if turn and not found.take(1):
             break
@@ -592,13 +654,14 @@ def _tables(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
         if classes is not None:
             scratch.drop(classes, mixed)
         classes, mixed = labels, still
-    pairs = scratch.write(near_pairs(mixed, full, rule), "jaccard-pairs")
+    joint = scratch.write(merged_groups(mixed), "jaccard-joint")
+    pairs = scratch.write(near_pairs(joint, full, rule), "jaccard-pairs")
     if pairs.take(1):
         more = scratch.write(_family_links(pairs, classes, full, rule, scratch), "jaccard-links")
         links = links.unionByName(more)
         classes = scratch.write(components(links, scratch), "jaccard-classes")
     scratch.drop(mixed)
-    scratch.drop(groups, pairs, full)
+    scratch.drop(groups, joint, pairs, full)
     first = named.groupBy("sid").agg(F.min("doc_id").alias("first_doc"))
     joined = first.join(classes.select(F.col("id").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least = joined.groupBy("root").agg(F.min("first_doc").alias("least"))

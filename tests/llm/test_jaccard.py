@@ -154,3 +154,53 @@ def test_rounds_over_a_small_graph_leave_few_files(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_unlike_sets_of_many_tokens_are_no_near_pairs(spark):
+    """Sketches grow with the sets: 30 unrelated texts of 6,000 words that met by one signature make no edge."""
+    import numpy as np
+    rule = jaccard.Rule(5, 80, 100)
+    df = spark.createDataFrame([(i, " ".join(f"u{i}x{j}" for j in range(6000))) for i in range(30)], "doc_id long, text string").repartition(4)
+    everyone = np.full(jaccard.BITMAP >> 6, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    full = df.mapInArrow(lambda it: jaccard._sets(it, rule, 0, everyone), "sid long, n long, brief array<long>, sketch array<long>, tokens array<long>").cache()
+    mixed = full.selectExpr("1L AS sig", "sid", "30L AS size", "sid AS class")
+    assert jaccard.near_pairs(mixed, full, rule).count() == 0
+
+
+def test_links_between_sets_with_sketches_of_different_lengths(spark):
+    """2,048 tokens or fewer, and more: sketches are folded to the shorter one; so are 4,096."""
+    import numpy as np
+    docs = []
+    for k, n in enumerate((1900, 2040, 3900, 4090)):
+        base = [f"d{k}w{j}" for j in range(n + 4)]
+        docs += [(10 * k, " ".join(base)), (10 * k + 1, " ".join(base + [f"more{k}x{j}" for j in range(n // 8)])), (10 * k + 2, " ".join(base[:n * 7 // 10] + [f"other{k}x{j}" for j in range(n // 3)]))]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(df).collect()} == brute(docs, 4, 85, 100)
+    rng = np.random.default_rng(3)
+    a = np.unique(rng.integers(0, 1 << 62, 2000, dtype=np.uint64))
+    b = np.unique(np.concatenate([a, rng.integers(0, 1 << 62, 200, dtype=np.uint64)]))
+    x, y = jaccard.long_sketches([a, b])
+    assert (len(x), len(y)) == (32, 64)
+    assert (jaccard.fold_sketch(y, 32) == jaccard.sketch(b, np.array([0, len(b)]), 2048)[0]).all()
+    gap = spark.createDataFrame([(x.tolist(), y.tolist())], "a array<long>, b array<long>").select(jaccard._gap("a", "b")).first()[0]
+    assert gap == np.bitwise_count(x.view(np.uint64) ^ jaccard.fold_sketch(y, 32).view(np.uint64)).sum() <= 200
+
+
+def test_groups_of_much_the_same_members_are_one_group(spark):
+    """Forty groups of a hub, each without a few members, are looked at inside once; groups that have only the hub in common stay apart."""
+    alike = [(s, i, 1) for s in range(40) for i in range(500) if i == 0 or (i + s) % 50]
+    apart = [(100 + s, i, 1) for s in range(3) for i in [1000, *range(1001 + 20 * s, 1021 + 20 * s)]]
+    mixed = spark.createDataFrame(alike + apart, "sig long, sid long, size long").selectExpr("sig", "sid", "size", "sid AS class")
+    got = jaccard.merged_groups(mixed).collect()
+    groups = {}
+    for r in got:
+        groups.setdefault(r["sig"], set()).add(r["sid"])
+        assert r["class"] == r["sid"]
+    assert sorted(map(len, groups.values())) == [21, 21, 21, 500] and all(r["size"] == len(groups[r["sig"]]) for r in got)
+    assert {frozenset(g) for g in groups.values()} == {frozenset(range(500)), *(frozenset([1000, *range(1001 + 20 * s, 1021 + 20 * s)]) for s in range(3))}
+
+
+def test_only_the_sets_of_near_pairs_have_their_tokens_moved(spark):
+    full = spark.createDataFrame([(i * 7919, [i, i + 1]) for i in range(1000)], "sid long, tokens array<long>")
+    wanted = spark.createDataFrame([(7919,), (3 * 7919,)], "sid long")
+    assert sorted((r["sid"], r["tokens"]) for r in jaccard._only(full, wanted).collect()) == [(7919, [1, 2]), (3 * 7919, [3, 4])]
