@@ -341,9 +341,8 @@ def _bitmap(sids: DataFrame) -> np.ndarray:
     """Which of BITMAP places (of constant size, whatever the number of sets) hold a set id."""
     place = F.col("sid").bitwiseAND(F.lit(BITMAP - 1))
     words = sids.select(F.shiftright(place, 6).alias("word"), F.expr("shiftleft(1L, CAST(sid & 63 AS INT))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    out = np.zeros(BITMAP >> 6, np.uint64)
-    for r in words.collect():  # BITMAP / 64 rows at most
-        out[r["word"]] = np.int64(r["bits"]).astype(np.uint64)
+    out, found = np.zeros(BITMAP >> 6, np.uint64), words.toArrow()  # BITMAP / 64 rows at most
+    out[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
     return out
 
 
@@ -354,10 +353,55 @@ def _dealt(df: DataFrame, rows: int) -> DataFrame:
     return df.coalesce(max(1, -(-rows // EDGES)))
 
 
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(id, root) of every id in the edges (a, b): the smallest id that they tie it to."""
+    ids, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    parent = list(range(len(ids)))
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+    for x, y in zip(at[:len(a)].tolist(), at[len(a):].tolist()):
+        x, y = find(x), find(y)
+        parent[max(x, y)] = min(x, y)
+    return ids, ids[[find(x) for x in range(len(ids))]] if len(ids) else ids
+
+
+def _stars(batches: Iterator[pa.RecordBatch], most: int, loops: bool) -> Iterator[pa.RecordBatch]:
+    """``stars`` of the edges (a, b) that a task reads, ``most`` or a batch more at a time; ``loops``: with the roots' own rows."""
+    held, rows = [], 0
+
+    def done():
+        ids, root = stars(*(np.concatenate([x.column(c).to_numpy(zero_copy_only=False) for x in held]) for c in ("a", "b")))
+        keep = np.full(len(ids), True) if loops else ids != root
+        return pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(root[keep])], names=["a", "b"])
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows > most:
+            yield done()
+            held, rows = [], 0
+    if held:
+        yield done()
+
+
 def components(edges: DataFrame, scratch: Scratch, name: str = "components") -> DataFrame:
-    """(id, root) of every id in ``edges`` (a, b): the smallest id reachable.  Rounds of hooking to the smallest neighbour."""
-    both = edges.where("a <> b").select("a", "b").unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = scratch.write(both, name)
+    """(id, root) of every id in ``edges`` (a, b): the smallest id reachable.
+
+    Each task makes stars of the edges that it reads.  If no more than ``EDGES`` are left, one task takes them all: rounds over
+    so small a graph would be hundreds of stages, which the driver keeps track of.  Larger graphs go through rounds of hooking to
+    the smallest neighbour.
+    """
+    most = EDGES
+    left = scratch.write(edges.where("a <> b").select("a", "b").mapInArrow(lambda it: _stars(it, most, False), "a long, b long"), name)
+    if left.count() <= most:
+        roots = scratch.write(left.coalesce(1).mapInArrow(lambda it: _stars(it, most, True), "a long, b long"), name)
+        scratch.drop(left)
+        return roots.select(F.col("a").alias("id"), F.col("b").alias("root"))
+    both = scratch.write(left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), name)
+    scratch.drop(left)
     while True:
         rows = both.count()
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))

@@ -26,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -131,12 +132,14 @@ def fit(docs: DataFrame, grades: DataFrame, n_grades: int = 2, sample_rows: int
             for b in it:
                 own = [[shared.value[f] for f in fs if f in shared.value] for fs in b.column("features").to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column("grade"), pa.array(own, pa.list_(pa.int32()))], names=["grade", "own"])
-        design = sample.select("grade", "features").mapInArrow(narrowed, "grade int, own array<int>").collect()
+        design = sample.select("grade", "features").mapInArrow(narrowed, "grade int, own array<int>").toArrow()
     finally:
         sample.unpersist()
-    y = np.array([min(max(r[0], 0), n_grades) for r in design], np.int64)
-    cols = np.array([c for r in design for c in r[1]], np.int64)
-    rows = np.repeat(np.arange(len(design)), [len(r[1]) for r in design])
+    y = np.clip(design["grade"].to_numpy().astype(np.int64), 0, n_grades)
+    own = design["own"].combine_chunks()
+    cols = own.flatten().to_numpy().astype(np.int64)
+    rows = np.repeat(np.arange(len(y)), pc.list_value_length(own).to_numpy())
+    del design, own
     weights, cuts = fit_ordinal(rows, cols, y, len(index), n_grades, penalty)
     return Model(index, weights, cuts)
 

@@ -204,3 +204,56 @@ def test_only_the_sets_of_near_pairs_have_their_tokens_moved(spark):
     full = spark.createDataFrame([(i * 7919, [i, i + 1]) for i in range(1000)], "sid long, tokens array<long>")
     wanted = spark.createDataFrame([(7919,), (3 * 7919,)], "sid long")
     assert sorted((r["sid"], r["tokens"]) for r in jaccard._only(full, wanted).collect()) == [(7919, [1, 2]), (3 * 7919, [3, 4])]
+
+
+def test_classes_of_a_small_graph_take_few_jobs(spark):
+    """The driver keeps track of every job: rounds over a path of 5,000 ids took dozens."""
+    from barwise.llm.common import Scratch
+    edges = spark.range(5000).selectExpr("(id * 7919) % 5003 AS a", "((id + 1) * 7919) % 5003 AS b").union(spark.range(3).selectExpr("9000L AS a", "9001 + id AS b")).repartition(6)
+    want = {((i * 7919) % 5003, 0) for i in range(5001)} | {(i, 9000) for i in (9000, 9001, 9002, 9003)}
+    spark.sparkContext.setJobGroup("classes of a path", "")
+    try:
+        roots = jaccard.components(edges, Scratch(spark))
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("classes of a path"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    got = [(r["id"], r["root"]) for r in roots.collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert 0 < jobs <= 6
+
+
+@pytest.mark.parametrize("edges", [[], [(1, 1)], "many"])
+def test_classes_of_a_graph_beyond_what_one_task_takes(spark, monkeypatch, edges):
+    from barwise.llm.common import Scratch
+    monkeypatch.setattr(jaccard, "EDGES", 16)
+    rng = random.Random(5)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] if edges == "many" else edges
+    parent = {i: i for e in edges for i in e if e[0] != e[1]}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+    for a, b in edges:
+        if a != b:
+            x, y = find(a), find(b)
+            parent[max(x, y)] = min(x, y)
+    got = [(r["id"], r["root"]) for r in jaccard.components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark)).collect()]
+    assert sorted(got) == sorted((i, find(i)) for i in parent)
+
+
+def test_bitmap_comes_to_the_driver_as_numbers(spark):
+    """Fifty thousand words of the bitmap: no Python object for each."""
+    import tracemalloc
+
+    import numpy as np
+    sids = spark.range(50_000).selectExpr("id * 64 + id % 64 AS sid")
+    tracemalloc.start()
+    try:
+        got = jaccard._bitmap(sids)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    want = np.zeros(jaccard.BITMAP >> 6, np.uint64)
+    want[:50_000] = np.uint64(1) << (np.arange(50_000) % 64).astype(np.uint64)
+    assert (got == want).all() and peak < 8 << 20
